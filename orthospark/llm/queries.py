@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash_dedup
+from . import decontaminate, minhash_dedup, quality_fm, toxicity
 from ._tables import table
 
 
@@ -12,14 +12,24 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.report(found)
 
 
+def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op6_toxicity": op6_toxicity,
     "op8_decontaminate": op8_decontaminate,
+    "op10_quality_fm": op10_quality_fm,
 }
 
 ORACLES: dict[str, str] = {}
