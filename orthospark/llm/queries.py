@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash_dedup, quality_fm, toxicity
+from . import _tokenizers, decontaminate, minhash_dedup, packing, quality_fm, toxicity
 from ._tables import table
 
 
@@ -12,6 +12,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), **_tokenizers.BYTE_BPE)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -27,6 +31,7 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op3_pack": op3_pack,
     "op6_toxicity": op6_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op10_quality_fm": op10_quality_fm,
