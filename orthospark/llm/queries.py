@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import _tokenizers, decontaminate, minhash_dedup, packing, quality_fm, toxicity
+from . import _tokenizers, decontaminate, line_dedup, minhash_dedup, packing, quality_fm, toxicity
 from ._tables import table
 
 
@@ -16,6 +16,10 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), **_tokenizers.BYTE_BPE)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,9 +36,12 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op3_pack": op3_pack,
+    "op4_line_dedup": op4_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op10_quality_fm": op10_quality_fm,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": line_dedup.ORACLE,
+}
