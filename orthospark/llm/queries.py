@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import _tokenizers, decontaminate, line_dedup, minhash_dedup, packing, quality_fm, toxicity
+from . import _tokenizers, decontaminate, line_dedup, minhash_dedup, packing, quality_fm, quality_rules, toxicity, url_filter
 from ._tables import table
 
 
@@ -20,6 +20,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -29,6 +33,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(found)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,11 +45,14 @@ QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op3_pack": op3_pack,
     "op4_line_dedup": op4_line_dedup,
+    "op5_url_filter": op5_url_filter,
     "op6_toxicity": op6_toxicity,
     "op8_decontaminate": op8_decontaminate,
+    "op9_quality_rules": op9_quality_rules,
     "op10_quality_fm": op10_quality_fm,
 }
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,
+    "op5_url_filter": url_filter.ORACLE,
 }

@@ -177,14 +177,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled:
     spark = docs.sparkSession
     sample = identified(docs).join(F.broadcast(labelled_ids(labels, label, max_labelled)), "doc_id").withColumnRenamed(label, "toxic")
     calibrates = fold(F.col("doc_id"), 5) == 1
-    rows = sample.where(~calibrates).select("text", "toxic").mapInArrow(_count, "cell long, other long, toxic long").groupBy("cell").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toPandas()
-    cells = rows[rows.cell >= 0]
-    documents = rows[rows.cell < 0][["other", "toxic"]].sum()
-    if not documents.toxic or not documents.other:
+    rows = sample.where(~calibrates).select("text", "toxic").mapInArrow(_count, "cell long, other long, toxic long").groupBy("cell").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    rows = rows.select(F.col("cell").cast("int"), F.col("other").cast("float"), F.col("toxic").cast("float")).toArrow()
+    # The last place takes the numbers of documents, cell -1.
+    counts = np.zeros((2, CELLS + 1), np.float32)
+    counts[0][rows["cell"].to_numpy()], counts[1][rows["cell"].to_numpy()] = rows["toxic"].to_numpy(), rows["other"].to_numpy()
+    del rows
+    toxic, other = counts[:, -1]
+    if not toxic or not other:
         return None
-    counts = np.zeros((2, CELLS), np.float32)
-    counts[0][cells.cell], counts[1][cells.cell] = cells.toxic, cells.other
-    m = Model(counts[0], counts[1], float(documents.toxic / documents.sum()))
+    m = Model(counts[0], counts[1], float(toxic / (toxic + other)))
 
     held = sample.where(calibrates).select("toxic", "text").mapInArrow(_segmenter(spark.sparkContext.broadcast(m), ["toxic"], True), f"toxic int, n_tokens long, segments {_SEGMENTS}, token_scores array<double>")
     held = held.select("toxic", "n_tokens", F.transform("segments", lambda s: s["score"]).alias("scores"), "token_scores")
