@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import _tokenizers, decontaminate, line_dedup, minhash_dedup, packing, quality_fm, quality_rules, toxicity, url_filter
+from . import _tokenizers, decontaminate, line_dedup, lm_score, minhash_dedup, packing, quality_fm, quality_rules, toxicity, url_filter
 from ._tables import table
 
 
@@ -28,6 +28,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), lm_score.load(_tokenizers.PIECES))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.report(found)
@@ -47,6 +51,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_toxicity": op6_toxicity,
+    "op7_lm_score": op7_lm_score,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_fm": op10_quality_fm,
