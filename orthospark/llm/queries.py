@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import _tokenizers, decontaminate, line_dedup, lm_score, minhash_dedup, packing, quality_fm, quality_rules, toxicity, url_filter
+from . import _tokenizers, decontaminate, line_dedup, lm_score, minhash_dedup, packing, quality_fm, quality_rules, suffix_dedup, toxicity, url_filter
 from ._tables import table
 
 
@@ -12,6 +12,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), **_tokenizers.BYTE_BPE)
 
@@ -47,6 +51,7 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_pack": op3_pack,
     "op4_line_dedup": op4_line_dedup,
     "op5_url_filter": op5_url_filter,
