@@ -78,10 +78,10 @@ def remove(docs: DataFrame) -> DataFrame:
     joined = docs.join(gone, F.col("doc_id") == F.col("__id"), "left").withColumn("__row", F.struct(*[F.col(c) for c in docs.columns]))
     parts = _chunked(joined.select("__row", F.col("__places").alias("places"), F.coalesce("text", F.lit("")).alias("text")))
     text = F.when(F.col("places").isNull(), F.col("__row.text")).otherwise(F.array_join(_left(), "\n"))
-    out = parts.withColumn("__text", text).select("__text", "places", "__row.*")
+    out = parts.withColumn("__text", text).select("__text", F.col("places").isNull().alias("__whole"), "__row.*")
     changed = {"text": F.col("__text")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("places").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast(docs.schema["n_chars"].dataType))
+        changed["n_chars"] = F.when(F.col("__whole"), F.col("n_chars")).otherwise(F.length("__text").cast(docs.schema["n_chars"].dataType))
     return out.withColumns(changed).select(*docs.columns)
 
 
