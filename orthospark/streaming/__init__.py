@@ -1 +1 @@
-
+"""Verdicts on streaming score tables."""
