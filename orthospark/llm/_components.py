@@ -23,17 +23,26 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct()
 
 
+def _edges(edges: DataFrame) -> DataFrame:
+    return edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """``(node, root)`` after a single contraction: nodes with one root are in one component, but a component
+    may still have several roots."""
+    return _small_star(_large_star(_edges(edges))).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges(u, v)`` but the roots; root: the smallest node reachable.
 
     Rounds grow with the logarithm of the longest path; each is a written table and only two
     numbers of it come to the driver. Loops (u = v) and nulls are ignored.
     """
-    e = written(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
+    e, seen = written(_small_star(_large_star(_edges(edges))), "edges"), None
     while True:
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen or not state[0]:
+        state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == seen or not state[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = tuple(state)
+        seen = state
         e = written(_small_star(_large_star(e)), "edges")

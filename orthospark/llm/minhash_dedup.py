@@ -7,9 +7,10 @@ of a signature is a bucket key.
 
 Documents with equal sets are one class and go on as its smallest id. Within a bucket the
 edges are stars: the member that shares most buckets is the hub and is compared with every other.
-Buckets whose members are then not all in one component get further hubs, twice as many each
-round, and only pairs still in different components are compared. So a bucket of true
-copies costs a pair a member, and no pair that shares a bucket stays undecided. Links are
+Buckets whose members are then not all in one component get further hubs, and only pairs
+still in different components are compared, first by how both differ from the first hub, which
+tells exactly what they share. So a bucket of true copies costs a pair a member, and no pair that
+shares a bucket stays undecided. Links are
 confirmed on the full shingle sets (64-bit hashes of the shingles).
 
 Null and empty texts have no shingles and are linked with nothing; a text of fewer words than a shingle
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
-from ._components import components
+from ._components import components, contracted
 from ._tables import identified, written
 
 WORDS = 5
@@ -123,11 +124,18 @@ def _close(n: str, m: str, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs(u, v) with the sizes of both sets and of what they share, and for pairs at least half
+    alike what u has and v lacks, and what v has of its own."""
     x = sets.select(F.col("id").alias("u"), F.col("shingles").alias("su"))
     y = sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv"))
-    common = F.size(F.array_intersect("su", "sv")).cast("long")
-    return pairs.join(x, "u").join(y, "v").where(common * 100 >= percent * (F.size("su") + F.size("sv") - common)).select("u", "v")
+    both = pairs.join(x, "u").join(y, "v").withColumn("common", F.size(F.array_intersect("su", "sv")))
+    alike = 3 * F.col("common") >= F.size("su") + F.size("sv")
+    return both.select("u", "v", F.size("su").alias("nu"), F.size("sv").alias("nv"), "common", F.when(alike, F.array_except("su", "sv")).alias("lacks"), F.when(alike, F.array_except("sv", "su")).alias("own"))
+
+
+def _linked(common, n: str, m: str, percent: int):
+    return common * 100 >= percent * (F.col(n) + F.col(m) - common)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -151,25 +159,40 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     sets = written(read.join(wanted, "doc_id", "left_semi").mapInArrow(_setter(words), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
 
-    pairs = members.where("place > 0").where(_close("n", "hub.n", percent)).select(F.least("id", "hub.id").alias("u"), F.greatest("id", "hub.id").alias("v")).distinct()
-    links = written(_verified(pairs, sets, percent), "links")
-    labels = components(links)
-    done, hubs = 1, 2
+    star = members.where("place > 0").where(_close("n", "hub.n", percent)).select(F.col("hub.id").alias("u"), F.col("id").alias("v")).distinct()
+    views = written(_compared(star, sets), "views")
+    links = views.where(_linked(F.col("common"), "nu", "nv", percent)).select("u", "v")
+    # As seen from the hub: x and y share what of the hub neither lacks, and what their own sets share.
+    seen = views.select(F.col("u").alias("hub"), F.col("v").alias("id"), "nu", "lacks", "own")
+    done, hubs, allowed = 1, 4, 512 * max(members.count(), 10_000)
     while True:
-        # Members that haven't been hubs, in buckets that still span several components.
-        at = members.where(F.col("place") >= done).join(labels, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", "place", F.coalesce("root", "id").alias("root"))
-        open_ = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-        left = written(at.join(open_, "bucket", "left_semi"), "open")
-        if left.isEmpty():
+        # Members that haven't been hubs, in buckets that still span several components (as far as one contraction tells).
+        labels = written(contracted(links), "labels")
+        at = members.where(F.col("place") >= done).join(labels, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", "place", F.col("hub.id").alias("hub"), F.coalesce("root", "id").alias("root"))
+        of_bucket = Window.partitionBy("bucket")
+        open_ = at.withColumn("size", F.count("*").over(of_bucket)).withColumn("several", F.min("root").over(of_bucket) < F.max("root").over(of_bucket)).where("several")
+        left = written(open_.drop("several").join(seen, ["hub", "id"], "left"), "open")
+        sizes = left.groupBy(F.ceil(F.log2("size")).alias("power")).count().collect()
+        if not sizes:
             break
-        hub = left.where(F.col("place") < done + hubs).select("bucket", F.col("id").alias("h"), F.col("n").alias("hn"), F.col("place").alias("hp"), F.col("root").alias("hr"))
-        fresh = left.join(hub, "bucket").where((F.col("place") > F.col("hp")) & (F.col("root") != F.col("hr")) & _close("n", "hn", percent))
-        more = written(_verified(fresh.select(F.least("id", "h").alias("u"), F.greatest("id", "h").alias("v")).distinct(), sets, percent), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
-        done, hubs = done + hubs, hubs * 2
-    degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+        # The first rounds join most of what there is to join; then all hubs that can be afforded.
+        most = 1 << max(r["power"] for r in sizes)
+        while done > 1 and hubs < most and sum(r["count"] * min(2 * hubs, 1 << r["power"]) for r in sizes) <= allowed:
+            hubs *= 2
+        hub = left.where(F.col("place") < done + hubs).select("bucket", F.col("id").alias("h"), F.col("n").alias("hn"), F.col("place").alias("hp"), F.col("root").alias("hr"), F.col("lacks").alias("hl"), F.col("own").alias("ho"))
+        at_most = F.col("nu") - F.greatest(F.size("lacks"), F.size("hl")) + F.least(F.size("own"), F.size("ho"))
+        shared = F.col("nu") - F.size(F.array_union("lacks", "hl")) + F.size(F.array_intersect("own", "ho"))
+        may = F.col("lacks").isNull() | F.col("hl").isNull() | (_linked(at_most, "n", "hn", percent) & _linked(shared, "n", "hn", percent))
+        fresh = left.join(hub, (left["bucket"] == hub["bucket"]) & (F.col("place") > F.col("hp")) & (F.col("root") != F.col("hr")) & _close("n", "hn", percent) & may)
+        pairs = fresh.select(F.least("id", "h").alias("u"), F.greatest("id", "h").alias("v")).distinct()
+        more = written(_compared(pairs, sets).where(_linked(F.col("common"), "nu", "nv", percent)).select("u", "v"), "links")
+        links = links.unionByName(more)
+        done += hubs
+        if hubs >= most:
+            break
+    labels = components(links)
+    edges = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    degree = edges.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     roots = classes.select("a", "b", "n", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("a", "b", "n", "rep", F.coalesce("root", "rep").alias("root")).join(degree, "rep", "left")
     component = F.coalesce("root", "doc_id")
     return marks.select("doc_id", "n", "a", "b").join(roots, ["a", "b", "n"], "left").select(
