@@ -35,6 +35,8 @@ PREFIXES = (4, 5, 6)
 #: Pseudo-counts with which a level is drawn to the one above it.
 STRENGTH = 10.0
 DRIFT = 0.3
+#: A segment is significant from this -log expected count (0.1 by chance in a text of its length).
+SIGNIFICANT = 2.3
 
 
 @dataclass
@@ -56,12 +58,18 @@ def _cells(words: _text.Words) -> np.ndarray:
     return np.stack([(_text.mix(h + np.uint64(i)) >> np.uint64(44)).astype(np.int64) for i, h in enumerate(levels)])
 
 
-def _scores(cells: np.ndarray, m: Model) -> np.ndarray:
+def _scores(words: _text.Words, m: Model) -> np.ndarray:
+    """A word counts once in a text, as it did in training: when it comes again it has no score of its own."""
+    cells = _cells(words)
     share = np.full(cells.shape[1], m.base)
     for level in cells:
         toxic, other = m.toxic[level], m.other[level]
         share = (toxic + STRENGTH * share) / (toxic + other + STRENGTH)
-    return np.log(share / (1 - share)) - np.log(m.base / (1 - m.base)) - DRIFT
+    scores = np.log(share / (1 - share)) - np.log(m.base / (1 - m.base))
+    first = np.unique(words.text * CELLS + cells[-1], return_index=True)[1]
+    again = np.ones(len(scores), bool)
+    again[first] = False
+    return np.where(again, np.minimum(scores, 0), scores) - DRIFT
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -112,7 +120,7 @@ def _segmenter(model, keep: list[str], typical: bool = False):
         for batch in batches:
             for part, buf, offsets in _text.text_slices(batch):
                 words = _text.find_words(buf, offsets, _text.SPACE)
-                scores = _scores(_cells(words), m)
+                scores = _scores(words, m)
                 out = []
                 for d in range(part.num_rows):
                     a, b = words.first[d], words.first[d + 1]
@@ -152,7 +160,7 @@ def _karlin(scores: np.ndarray, weights: np.ndarray) -> float:
 
 def _evidence(scores: np.ndarray, n: int, m: Model) -> float:
     e = m.lam * scores - np.log(m.k * max(n, 1))
-    return float(np.log1p(e[e > 0].sum()))
+    return float(np.log1p(e[e > SIGNIFICANT].sum()))
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -213,7 +221,7 @@ def segments(docs: DataFrame, m: Model | None) -> DataFrame:
         return read.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_tokens"), F.array().cast(_SEGMENTS).alias("segments"))
     found = read.mapInArrow(_segmenter(docs.sparkSession.sparkContext.broadcast(m), ["doc_id"]), f"doc_id long, n_tokens long, segments {_SEGMENTS}")
     level = F.log(F.lit(m.k) * F.greatest("n_tokens", F.lit(1)))
-    found = found.withColumn("segments", F.filter(F.transform("segments", lambda s: s.withField("score", m.lam * s["score"] - level)), lambda s: s["score"] > 0))
+    found = found.withColumn("segments", F.filter(F.transform("segments", lambda s: s.withField("score", m.lam * s["score"] - level)), lambda s: s["score"] > SIGNIFICANT))
     evidence = F.log1p(F.aggregate("segments", F.lit(0.0), lambda a, s: a + s["score"]))
     return found.select("doc_id", (1 / (1 + F.exp(-(m.slope * evidence + m.shift)))).alias("score"), "n_tokens", "segments")
 
