@@ -590,3 +590,117 @@ def weighted_mean(spark, sf_dir):
 def names(spark, sf_dir):
     path = F.concat(F.lit("/data/"), F.col("event_type"), F.lit(".tif"))
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", C.run_id(F.col("ts")).alias("run_id"), C.unique_id(path).alias("unique_id"))
+
+
+# Scalars, layers and sets.
+@query("""SELECT l_orderkey, l_linenumber, (100.0)::DOUBLE + l_linenumber * (0.5)::DOUBLE AS wx, (200.0)::DOUBLE - l_linenumber * (0.25)::DOUBLE AS wy, floor((l_quantity - (3.0)::DOUBLE) / (0.5)::DOUBLE)::BIGINT AS px, floor((l_quantity - (9.0)::DOUBLE) / (-0.25)::DOUBLE)::BIGINT AS py,
+  trunc(trunc(l_extendedprice / abs((-1e-6)::DOUBLE * l_linenumber)) * (1e-6)::DOUBLE)::INT AS patch, trunc((0.37)::DOUBLE * l_partkey)::INT AS w, trunc((0.37)::DOUBLE * l_suppkey)::INT AS h, (0.5)::DOUBLE * l_tax + (0.5)::DOUBLE * l_discount AS blended FROM lineitem""")
+def pixel_geometry(spark, sf_dir):
+    n, q, lit = F.col("l_linenumber"), F.col("l_quantity"), F.lit
+    wx, wy = C.pixel_to_world(n, n, lit(100.0), lit(200.0), lit(0.5), lit(-0.25))
+    px, py = C.world_to_pixel(q, q, lit(3.0), lit(9.0), lit(0.5), lit(-0.25))
+    w, h = C.scaled_size(lit(0.37), F.col("l_partkey"), F.col("l_suppkey"), lit(1), lit(1))
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rows.select("l_orderkey", "l_linenumber", wx.alias("wx"), wy.alias("wy"), px.alias("px"), py.alias("py"), C.patch_pixels(F.col("l_extendedprice"), lit(-1e-6) * n).alias("patch"), w.alias("w"), h.alias("h"), C.blend(F.col("l_tax"), F.col("l_discount")).alias("blended"))
+
+
+@query("SELECT event_id, event_type || '_' || (user_id % 7) || '_' || event_id AS result_key, 'site' AS clsname, CASE user_id % 2 WHEN 0 THEN 0 ELSE 255 END * 12 AS mask_sum FROM events")
+def result_keys(spark, sf_dir):
+    path = F.concat(F.lit("root/site/test/"), F.col("user_id") % 7, F.lit("/"), F.col("event_id"), F.lit(".npy"))
+    total = F.aggregate(C.constant_mask((F.col("user_id") % 2).cast("int"), F.lit(3), F.lit(4)), F.lit(0), lambda s, v: s + v)
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return rows.select("event_id", C.result_key(F.col("event_type"), path).alias("result_key"), C.path_class(path).alias("clsname"), total.alias("mask_sum"))
+
+
+@query("SELECT vec_id AS tile_id, round((2 * embedding[1] + embedding[2])::DOUBLE, 5) AS two, round((3 * embedding[1])::DOUBLE, 5) AS one, round((embedding[1] + embedding[2] + embedding[3])::DOUBLE, 5) AS three FROM (SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings)")
+def adapt_channels(spark, sf_dir):
+    total = lambda k: F.round(F.aggregate(C.three_channels(F.slice("data", 1, k)), F.lit(0.0), lambda s, v: s + v), 5)
+    return demo.tiles(spark, sf_dir).select("tile_id", total(2).alias("two"), total(1).alias("one"), total(5).alias("three"))
+
+
+@query("WITH " + TILES_SQL + " SELECT tile_id, round(sum((p.i + y * 8 + x + 1) * v * (1 + p.i)), 3) AS digest, 128 AS n FROM cells, (SELECT 0 AS i UNION ALL SELECT 64 * 0 + 1) p GROUP BY tile_id")
+def stack_layers(spark, sf_dir):
+    tiles = demo.tiles(spark, sf_dir).select("tile_id", "data")
+    twice = T.stack_layers([tiles, tiles.withColumn("data", F.transform("data", lambda v: 2 * v))], "tile_id")
+    digest = F.aggregate(F.transform("data", lambda v, k: v * (k % 64 + 1 + F.when(k >= 64, 1).otherwise(0))), F.lit(0.0), lambda s, v: s + v)
+    return twice.select("tile_id", F.round(digest, 3).alias("digest"), F.size("data").alias("n"))
+
+
+@query("WITH " + SCORES_SQL + " SELECT s.tile_id, s.clsname, s.score, o.o_custkey AS pred FROM scores s JOIN orders o ON o.o_orderkey = s.tile_id")
+def zip_results(spark, sf_dir):
+    scores = demo.scores(spark, sf_dir).withColumnRenamed("tile_id", "result_key")
+    pred = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("result_key"), F.col("o_custkey").alias("pred"))
+    return E.zip_results(scores.select("result_key", "clsname"), pred, scores.select("result_key", "score")).withColumnRenamed("result_key", "tile_id")
+
+
+@query("WITH " + RASTER_SQL + " SELECT raster_id, y, x, v AS a, v AS b FROM raster")
+def concat_features(spark, sf_dir):
+    cells = demo.raster(spark, sf_dir)
+    return rounded(G.concat_features([cells, cells], 64, 64).select("raster_id", "y", "x", F.col("feat")[0].alias("a"), F.col("feat")[1].alias("b")), "a", "b")
+
+
+@query("WITH " + ROC_SQL + ", " + YOUDEN_SQL + ", " + COUNTS_SQL + " SELECT round(avg((tp + tn) / (tp + fp + fn + tn)), 6) AS mean_accuracy FROM counts")
+def class_accuracy_mean(spark, sf_dir):
+    scores = demo.scores(spark, sf_dir)
+    return rounded(E.class_accuracy_mean(E.classification_metrics(scores, E.youden_threshold(scores, "clsname"), "clsname")), "mean_accuracy")
+
+
+@query("WITH " + TEST_SQL + " SELECT clsname, orchard, tile_id, label FROM meta")
+def order_test_rows(spark, sf_dir):
+    return D.order_test_rows(_test_metadata(spark, sf_dir), "tile_id").select("clsname", "orchard", "tile_id", "label")
+
+
+@query("WITH " + TILES_SQL + " SELECT tile_id, md5(tile_id || '|seed') AS place FROM tiles")
+def shuffle(spark, sf_dir):
+    return D.shuffle(demo.tiles(spark, sf_dir), "tile_id", SEED).select("tile_id", D.draw(F.col("tile_id"), SEED).alias("place"))
+
+
+@query("WITH " + SPLIT_SQL + ", n AS (SELECT orchard FROM split WHERE split = 'test' AND case_ = 'normal') SELECT tile_id, orchard IN (SELECT orchard FROM n) AS has_normals FROM split WHERE split = 'test' AND case_ <> 'normal'")
+def cases_and_normals(spark, sf_dir):
+    split = D.train_test_split(demo.tiles(spark, sf_dir), "tile_id", SEED)
+    one = D.cases_with_normals(split).select("tile_id", F.lit(True).alias("has_normals"))
+    return one.unionByName(D.cases_without_normals(split).select("tile_id", F.lit(False).alias("has_normals")))
+
+
+@query("WITH RECURSIVE " + _regions_sql(4) + ", a AS (SELECT raster_id, comp_id FROM regions GROUP BY ALL HAVING count(*) < 3) SELECT raster_id, id // 64 AS y, id % 64 AS x FROM regions ANTI JOIN a USING (raster_id, comp_id)")
+def remove_labels(spark, sf_dir):
+    regions = M.label_components(_few(spark, sf_dir), 4)
+    return G.remove_labels(regions, M.region_areas(regions).where("area < 3")).select("raster_id", "y", "x")
+
+
+@query("WITH RECURSIVE " + _regions_sql(4) + ", s AS (SELECT g.raster_id, comp_id, stddev_pop(r.v) AS std FROM regions g JOIN raster r ON r.raster_id = g.raster_id AND r.y * 64 + r.x = g.id GROUP BY ALL) SELECT raster_id, comp_id::BIGINT AS comp_id, round(std, 5) AS std FROM s")
+def segment_spread(spark, sf_dir):
+    regions = M.label_components(_few(spark, sf_dir), 4)
+    return rounded(M.segment_spread(regions, demo.raster(spark, sf_dir).withColumn("b", F.lit(0))), "std", places=5).drop("b")
+
+
+@query("WITH RECURSIVE " + _regions_sql(4) + """, s AS (SELECT g.raster_id, comp_id, round(stddev_pop(r.v), 5) AS std FROM regions g JOIN raster r ON r.raster_id = g.raster_id AND r.y * 64 + r.x = g.id GROUP BY ALL),
+z AS (SELECT *, (std - avg(std) OVER (PARTITION BY raster_id)) / nullif(stddev_pop(std) OVER (PARTITION BY raster_id), 0) AS z FROM s) SELECT raster_id, comp_id::BIGINT AS comp_id, coalesce(z < -0.9, false) AS outlier FROM z""")
+def zscore_outliers(spark, sf_dir):
+    return M.zscore_outliers(segment_spread(spark, sf_dir).withColumn("b", F.lit(0)), 0.9)
+
+
+@query("WITH " + MASK_SQL + " " + _BOX.format(f="max", t="mask", lo=3, hi=3))
+def buffer_mask(spark, sf_dir):
+    return M.buffer_mask(demo.mask(spark, sf_dir), 3)
+
+
+@query()
+def prepare_training(spark, sf_dir):
+    from orthospark.plans.pipelines import training_tiles
+
+    cells, on = demo.raster(spark, sf_dir), demo.mask(spark, sf_dir)
+    kind = F.when(on["v"] == 0, -999).otherwise(1 + cells["v"].cast("int") % 3)
+    mask = cells.join(on, ["raster_id", "y", "x"]).select("raster_id", "y", "x", kind.alias("mask"))
+    ref = cells.select("raster_id", "y", "x", F.lit(0.0).alias("ref"))
+    _, scaled = training_tiles(cells.withColumn("b", F.lit(0)), mask, ref, 64, 64, 8, 2, 0.2, SEED)
+    return rounded(T.map_scores(scaled, "tile_id", "case", "split"), "score")
+
+
+@query()
+def reconstruction_scores(spark, sf_dir):
+    from orthospark.operators import scoring
+
+    tiles = demo.tiles(spark, sf_dir)
+    rebuilt = scoring.reconstruct(tiles, scoring.fit_reconstruction(tiles.where("case = 'normal'"), 8))
+    return rounded(rebuilt.select("tile_id", "case", "mse", "distance"), "mse", "distance", places=4)
