@@ -7,7 +7,8 @@ BPE vocabulary are negative ranks, read as Zipf's law) and are re-estimated by e
 distinct training words (each once: the pieces are there for words not seen before). Whole words seen in training are further arcs of the lattice, weighted by their discounted
 counts; the mass that the discount frees goes to the pieces. A document is of one of
 ``TOPICS`` kinds (in practice its language), which weigh the ``COMMON`` commonest words each in its own way;
-its probability sums over them. Topics start from which common words occur together.
+its probability sums over them. Topics start from which common words occur together. Which less common words
+there are is drawn from an urn (Dirichlet-multinomial), so one that has come is likelier to come again.
 
 Word counts come from all training documents and stay distributed. The ``FREQUENT`` most frequent words are
 sent to the tasks; the others meet the counts in one join. Nothing that grows with the corpus comes to the driver.
@@ -35,6 +36,8 @@ DISCOUNT = 0.5
 TOPICS, SEEDS, COMMON, PASSES = 8, 256, 4096, 2
 ROUNDS = 2
 SLICE_BYTES = 8 << 20
+#: Tokens that the whole corpus weighs in a document's urn of less common words.
+URN = 1000.0
 _CELL_BYTES = 1 << 19
 
 
@@ -74,6 +77,23 @@ def load(path: str) -> Pieces:
     return Pieces(list(weights), np.array(list(weights.values())) / total)
 
 
+_STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680)
+_HALF_LOG_2PI = 0.9189385332046727
+
+
+def _log_gamma(x, log):
+    """Logarithm of the gamma function for x > 0, of arrays or columns alike: Stirling's series, eight steps up."""
+    down = log(x * (x + 1) * (x + 2) * (x + 3)) + log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+    y = x + 8
+    series = (_STIRLING[0] + (_STIRLING[1] + (_STIRLING[2] + _STIRLING[3] / (y * y)) / (y * y)) / (y * y)) / y
+    return (y - 0.5) * log(y) - y + _HALF_LOG_2PI + series - down
+
+
+def _drawn(weight, times, log):
+    """Logarithm of drawing a word ``times`` times where the urn holds ``weight`` of it."""
+    return _log_gamma(weight + times, log) - _log_gamma(weight, log)
+
+
 @dataclass
 class Topics:
     """Kinds of documents: how much likelier each makes a common word, and any other word, than the whole corpus does."""
@@ -82,6 +102,11 @@ class Topics:
     ratios: np.ndarray  # logarithms, a row a common word and one for all others
     share: np.ndarray  # logarithms
 
+    def keep(self, hashes: np.ndarray) -> None:
+        """Only these of the common words stay such; their sorted hashes are given."""
+        there = np.isin(self.hashes, hashes)
+        self.ratios, self.hashes = self.ratios[np.append(there, True)], self.hashes[there]
+
     def places(self, h: np.ndarray) -> np.ndarray:
         """Row of each word."""
         at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
@@ -208,7 +233,9 @@ def _occurrences(frequent):
     """Frequent words are summed here, a row a document; of others a row for each document and word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known, base, model, topics = frequent.value
+        hashes, known, base, model, topics, urn, other = frequent.value
+        common = np.zeros(len(hashes), bool)
+        common[topics.places(hashes) < len(topics.hashes)] = True
         for batch in batches:
             for part, buf, offsets in _text.text_slices(batch, most=SLICE_BYTES // 2):
                 words = _text.find_words(buf, offsets, _text.SPACE)
@@ -216,8 +243,16 @@ def _occurrences(frequent):
                 at = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
                 often = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
                 n = part.num_rows
-                each = [np.bincount(words.text[often], v[at[often]], minlength=n) for v in (known, base, model)]
-                each[2] += np.logaddexp.reduce(topics.evidence(h, words.first), axis=1) / np.log(10)
+                each = [np.bincount(words.text[often], v[at[often]], minlength=n) for v in (known, base)]
+                usual = often.copy()
+                usual[often] = common[at[often]]
+                log = np.bincount(words.text[usual], model[at[usual]], minlength=n) * np.log(10) + np.logaddexp.reduce(topics.evidence(h, words.first), axis=1)
+                # Of the others first how many, then which.
+                others = np.diff(words.first) - np.bincount(words.text[usual], minlength=n)
+                log += others * np.log(other) - _drawn(urn, others, np.log)
+                pairs, drawn = np.unique(words.text[often & ~usual] * max(len(hashes), 1) + at[often & ~usual], return_counts=True)
+                log += np.bincount(pairs // max(len(hashes), 1), _drawn(urn / other * 10 ** model[pairs % max(len(hashes), 1)], drawn, np.log), minlength=n)
+                each.append(log / np.log(10))
                 rare, text = h[~often], words.text[~often]
                 order = np.lexsort((rare, text))
                 rare, text = rare[order], text[order]
@@ -315,7 +350,7 @@ def find_topics(train: DataFrame, words: DataFrame, k: int = TOPICS) -> Topics:
     return topics
 
 
-def score(docs: DataFrame, pieces: Pieces, held_out=None, discount: float = DISCOUNT, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, pieces: Pieces, held_out=None, discount: float = DISCOUNT, rounds: int = ROUNDS, urn: float = URN) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-0.1 unigram words) and score
     (the lattice), both log10 probabilities. ``held_out``: Column; by default crc32 of the id modulo 10 is 0."""
     spark = docs.sparkSession
@@ -338,15 +373,22 @@ def score(docs: DataFrame, pieces: Pieces, held_out=None, discount: float = DISC
     weighed = written(words.mapInArrow(_weigher(spark.sparkContext.broadcast(pieces), discount, tokens, distinct, none), "h long, n long, known boolean, base double, model double"), "weights")
     top = weighed.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
     order = np.argsort(top.h.to_numpy().view(np.uint64))
-    frequent = [top.h.to_numpy().view(np.uint64)[order], *(top[c].to_numpy(float)[order] for c in ("known", "base", "model")), find_topics(read.where(~F.col("held_out")).select("text"), words)]
+    hashes = top.h.to_numpy().view(np.uint64)[order]
+    known, base, model = (top[c].to_numpy(float)[order] for c in ("known", "base", "model"))
+    topics = find_topics(read.where(~F.col("held_out")).select("text"), words)
+    end_share = max(ends - discount, 0) / max(tokens, 1) + (discount * distinct / tokens if tokens else 1.0) / (distinct + 1)
+    # What the common words and the end leave for all others. Common words are frequent, but for ties at the bound.
+    common = topics.places(hashes) < len(topics.hashes)
+    topics.keep(hashes[common])
+    other = max(1 - end_share - float((10 ** model[common]).sum()), 1e-9)
+    frequent = [hashes, known, base, model, topics, urn, other]
     rows = read.select("doc_id", "text").mapInArrow(_occurrences(spark.sparkContext.broadcast(frequent)), f"h long, doc_id long, times int, own {_OWN}")
     found = rows.join(weighed.select("h", "known", "base", "model"), "h", "left")
     each = lambda own, c: F.sum(F.coalesce(f"own.{own}", F.lit(0)) + F.when(F.col("times") > 0, c).otherwise(0))
     times = F.col("times")
     sums = found.groupBy("doc_id").agg(
-        F.count("own").alias("copies"), F.sum(F.coalesce("own.n_tokens", F.lit(0))).alias("n"), each("n_known", times * F.col("known").cast("int")).alias("known"), each("base", times * F.col("base")).alias("base"), each("model", times * F.col("model")).alias("model")
+        F.count("own").alias("copies"), F.sum(F.coalesce("own.n_tokens", F.lit(0))).alias("n"), each("n_known", times * F.col("known").cast("int")).alias("known"), each("base", times * F.col("base")).alias("base"), each("model", _drawn(urn / other * F.pow(F.lit(10.0), "model"), times, F.log) / float(np.log(10))).alias("model")
     )
-    end_share = max(ends - discount, 0) / max(tokens, 1) + (discount * distinct / tokens if tokens else 1.0) / (distinct + 1)
     one = lambda c: F.col(c) / F.col("copies")  # noqa: E731  repeated documents have equal sums
     end_base, end_model = float(np.log10(ends + 0.1)) - none, float(np.log10(end_share))
     out = sums.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
