@@ -190,8 +190,14 @@ def test_bins_are_full_and_whole():
         assert sum(n * k for n, k in chosen.items()) <= 100
         for n, k in chosen.items():
             used[n] += k * times
-    least = max(math.ceil(sum(n * c for n, c in counts.items()) / 100), sum(c for n, c in counts.items() if n > 50))
-    assert used == counts and sum(t for _, t in bins) <= least + 2
+    assert used == counts
+    best_fit: list[int] = []  # room left in the bins of best fit, longest first
+    for n in sorted(counts.elements(), reverse=True):
+        room = min((r for r in best_fit if r >= n), default=None)
+        if room is not None:
+            best_fit.remove(room)
+        best_fit.append((100 if room is None else room) - n)
+    assert sum(t for _, t in bins) <= len(best_fit)
     assert packing.plan({}) == []
 
 
