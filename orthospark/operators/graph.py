@@ -20,11 +20,20 @@ def _to_smallest_below(e: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct()
 
 
+def _oriented(edges: DataFrame) -> DataFrame:
+    return edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """``(node, root)`` after a single contraction: nodes with one root are in one component, but a component
+    may still have several roots."""
+    return _to_smallest_below(_to_smallest_neighbour(_oriented(edges))).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for the nodes of ``edges(u, v)`` that aren't the smallest of their component. Rounds grow with
     the logarithm of the longest path, and two numbers a round come to the driver."""
-    e = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e, seen = written(_to_smallest_below(_to_smallest_neighbour(written(e, "edges"))), "edges"), None
+    e, seen = written(_to_smallest_below(_to_smallest_neighbour(_oriented(edges))), "edges"), None
     while True:
         state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen or not state[0]:
