@@ -1,31 +1,13 @@
-"""Written tables that cut lineage, and small shared column expressions."""
+"""Reading tables, and small shared column expressions."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orthospark.sources.scratch import written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh one where none is set (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(where)
-        where = spark.sparkContext.getCheckpointDir()
-    return where
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a parquet table in the shared folder: later jobs read the files, and an
-    executor lost afterwards costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["fold", "identified", "lower_ascii", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orthospark.operators.graph import connected, contracted
+
 from . import _text
-from ._components import components, contracted
 from ._tables import identified, written
 
 WORDS = 5
@@ -190,7 +191,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         done += hubs
         if hubs >= most:
             break
-    labels = components(links)
+    labels = connected(links)
     edges = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     degree = edges.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     roots = classes.select("a", "b", "n", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("a", "b", "n", "rep", F.coalesce("root", "rep").alias("root")).join(degree, "rep", "left")
