@@ -9,8 +9,11 @@ common-prefix intervals; an interval whose occurrences are preceded by different
 segment) is a maximal repeat, and all its occurrences but the first lose their bytes.
 
 Rows are settled within a task before they are sent where they can be (a common passage is sent
-once a slice), and an anchor with very many rows is worked through in blocks that carry on only what
-was new. Equality of segments is that of 64-bit hashes; that of other windows is by bytes.
+once a slice). An anchor whose segments could pass ``BLOCK_BYTES`` together is hot: a short phrase with
+ever different text around it. Its segments are sent window by window, each under its own hash in place of the
+anchor's, so that only equal windows meet and no group holds more than one of them. Equality of segments,
+and of windows of hot anchors within a slice, is that of 64-bit hashes; across slices those windows are
+compared by 128-bit digests as well, all other windows by bytes.
 
 Texts are UTF-8 bytes; null and empty ones have none, and shorter ones than ``LENGTH`` lose nothing. Repeated
 rows of a document are the same document and lose the same. Rows with a null id are left out. Only doc_id
@@ -33,6 +36,7 @@ from ._tables import identified, written
 LENGTH = 100
 GRAM = 24
 BLOCK_BYTES = 4 << 20
+BLOCK_SPANS = 1 << 16
 
 
 def _sliding_least(v: np.ndarray, w: int) -> np.ndarray:
@@ -85,16 +89,45 @@ def _marker(length: int, gram: int):
                 text, lo, n, anchor, whole = _segments(buf, offsets, length, gram)
                 ids, lo = part.column("doc_id").to_numpy()[text], lo - offsets[text]
                 repeats = ~_earliest(ids, lo, whole)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(ids), pa.array(lo << 9 | n << 1 | repeats)], ["anchor", "doc_id", "mark"])
+                # Repeats are settled; where they go is of no account, so they are dealt evenly.
+                anchor = np.where(repeats, ids + lo, anchor.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids), pa.array(lo << 9 | n << 1 | repeats)], ["anchor", "doc_id", "mark"])
 
     return run
 
 
 _CUT = "anchor long, doc_id long, lo long, n int, before int, bytes binary"
+#: In place of the byte before: the row's windows are all repeats.
+_SETTLED = -2
+
+
+def _cut_rows(anchor: np.ndarray, ids: np.ndarray, lo: np.ndarray, n: np.ndarray, before: np.ndarray, pieces: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(anchor), pa.array(ids), pa.array(lo), pa.array(n.astype(np.int32)), pa.array(before.astype(np.int32)), pa.array(pieces, pa.binary())], ["anchor", "doc_id", "lo", "n", "before", "bytes"]
+    )
+
+
+def _windows(buf: np.ndarray, begin: np.ndarray, ids: np.ndarray, lo: np.ndarray, n: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+    """Segments window by window: runs of those that repeat an earlier one of the slice, settled, and the first of each
+    with its hash as the anchor and a digest as its bytes."""
+    segment = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
+    at, ids, start = lo[segment] + step, ids[segment], begin[segment] + step
+    key = _text.span_hash(_text.prefix_sums(buf), start, start + length)
+    first = _earliest(ids, at, key)
+    later = np.flatnonzero(~first)
+    lead = np.ones(len(later), bool)
+    lead[1:] = (np.diff(later) != 1) | (np.diff(segment[later]) != 0)
+    head = later[lead]
+    runs = np.diff(np.append(np.flatnonzero(lead), len(later)))
+    yield _cut_rows(ids[head] + at[head], ids[head], at[head], runs, np.full(len(head), _SETTLED), [b""] * len(head))
+    raw, open_ = buf.tobytes(), np.flatnonzero(first)
+    digests = [hashlib.blake2b(raw[a : a + length], digest_size=16).digest() for a in start[open_].tolist()]
+    yield _cut_rows(key[open_].view(np.int64), ids[open_], at[open_], np.ones(len(open_)), np.full(len(open_), -1), digests)
 
 
 def _cutter(length: int):
-    """The bytes of each marked segment, and the byte before it (-1 at a text's start)."""
+    """The bytes of each marked segment, and the byte before it (-1 at a text's start); of hot anchors, the windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,12 +136,16 @@ def _cutter(length: int):
                 counts = np.diff(np.asarray(marks.offsets))
                 flat = marks.flatten()
                 mark, text = flat.field("mark").to_numpy(), np.repeat(np.arange(part.num_rows), counts)
-                lo, n = mark >> 9, (mark >> 1) & 255
-                raw = buf.tobytes()
+                anchor, hot = flat.field("anchor").to_numpy(), flat.field("hot").to_numpy(zero_copy_only=False)
+                lo, n, ids = mark >> 9, (mark >> 1) & 255, part.column("doc_id").to_numpy()[text]
                 begin = offsets[text] + lo
+                if hot.any():
+                    yield from _windows(buf, begin[hot], ids[hot], lo[hot], n[hot], length)
+                    anchor, ids, lo, n, begin = anchor[~hot], ids[~hot], lo[~hot], n[~hot], begin[~hot]
+                raw = buf.tobytes()
                 pieces = [raw[a:b] for a, b in zip(begin.tolist(), (begin + n + length - 1).tolist(), strict=True)]
                 before = np.where(lo > 0, buf[np.maximum(begin - 1, 0)] if len(buf) else 0, -1)
-                yield pa.RecordBatch.from_arrays([flat.field("anchor"), pa.array(part.column("doc_id").to_numpy()[text]), pa.array(lo), pa.array(n.astype(np.int32)), pa.array(before.astype(np.int32)), pa.array(pieces, pa.binary())], ["anchor", "doc_id", "lo", "n", "before", "bytes"])
+                yield _cut_rows(anchor, ids, lo, n, before, pieces)
 
     return run
 
@@ -188,7 +225,7 @@ def _settle(rows: list[tuple], length: int, out: list[tuple[int, int, int]]) ->
     for r in rows:
         kept = distinct.setdefault((r[0], r[5]), r)
         if kept is not r and (kept[1], kept[2]) != (r[1], r[2]):
-            out.append((r[1], r[2], r[2] + len(r[5])))
+            out.append((r[1], r[2], r[2] + r[3] + length - 1))
     per_anchor: dict[int, int] = {}
     for anchor, _ in distinct:
         per_anchor[anchor] = per_anchor.get(anchor, 0) + 1
@@ -220,14 +257,19 @@ def _repeats(length: int):
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "lo", "n", "before", "bytes")), strict=True):
+                if row[4] == _SETTLED:
+                    out.append((row[1], row[2], row[2] + row[3] + length - 1))
+                    if len(out) >= BLOCK_SPANS:
+                        yield flush()
+                    continue
                 if size >= BLOCK_BYTES:
                     left = _settle(held, length, out)
                     # What is new of an anchor that goes on stays.
                     held = [r for r in left if r[0] == row[0]]
-                    size = sum(len(r[5]) for r in held) // 2
+                    size = sum(r[3] + length - 1 for r in held) // 2
                     yield flush()
                 held.append(row)
-                size += len(row[5])
+                size += row[3] + length - 1
         _settle(held, length, out)
         yield flush()
 
@@ -240,8 +282,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     marks = read.mapInArrow(_marker(length, gram), "anchor long, doc_id long, mark long")
     open_ = F.col("mark").bitwiseAND(F.lit(1)) == 0
     several = marks.withColumn("n", F.count(F.when(open_, 1)).over(Window.partitionBy("anchor")))
-    marked = written(several.where((F.col("n") > 1) | ~open_).drop("n"), "marks")
-    lists = marked.where(open_).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "mark")).alias("marks"))
+    most = BLOCK_BYTES // (2 * length - gram)  # segments of the greatest size in a block
+    marked = written(several.where((F.col("n") > 1) | ~open_).withColumn("hot", F.col("n") > most).drop("n"), "marks")
+    lists = marked.where(open_).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "mark", "hot")).alias("marks"))
     cut = read.join(lists, "doc_id").mapInArrow(_cutter(length), _CUT)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = cut.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id", "lo").mapInArrow(_repeats(length), "doc_id long, start long, end long")

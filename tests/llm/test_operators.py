@@ -150,6 +150,34 @@ def test_repeated_substrings(spark, docs, empty, monkeypatch):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_hot_anchor_with_different_surroundings(spark, monkeypatch):
+    """A phrase in other text every time: no group holds all its segments, and what repeats is still found."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 4000)
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    phrase = "All rights reserved by the holders of this very long line"
+    texts = [noise(150) + phrase + noise(150) for _ in range(150)]
+    texts += [noise(20) + texts[i][60:320] + noise(20) for i in range(0, 150, 3)] + [noise(40) + phrase + noise(30) + texts[7][130:260] for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = rows_of(suffix_dedup.remove_repeats(docs))
+    assert {i: r.n_removed for i, r in got.items()} == {i: sum(f) for i, (_, f) in enumerate(removed_bytes(texts, 100))}
+
+    def held(length):
+        def run(batches):
+            import pyarrow as pa
+
+            distinct = {}
+            for batch in batches:
+                for anchor, piece in zip(batch.column("anchor").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+                    distinct.setdefault(anchor, set()).add(piece)
+            yield pa.RecordBatch.from_pydict({"doc_id": list(distinct), "start": [sum(map(len, x)) for x in distinct.values()], "end": [-1] * len(distinct)})
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "_repeats", held)
+    assert suffix_dedup.repeated_spans(docs).where("end = -1").agg(F.max("start")).first()[0] <= 4000
+
+
 def test_maximal_repeats_have_all_occurrences():
     texts = [b"xxABCDEFGHIJ", b"yyABCDEFGHIJzz", b"qABCDEFGHIJzz", b"ABCDEFGH"]
     found = {(n, tuple(sorted(p))) for n, p in suffix_dedup.maximal_repeats(texts, [-1] * 4, 6)}
