@@ -72,13 +72,18 @@ def _segments(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
     return text[first], lo, n, hashes[picked[first]], _text.span_hash(sums, lo, lo + n + length - 1)
 
 
-def _earliest(ids: np.ndarray, lo: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Which rows are the first, by (id, lo), of those with their key."""
+_FIRST, _LATER, _SAME = 0, 1, 2
+
+
+def _standing(ids: np.ndarray, lo: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Of the rows with one key: the first, by (id, lo), later ones, and those at the first's own place (of a repeated row of its document)."""
     order = np.lexsort((lo, ids, key))
+    key, ids, lo = key[order], ids[order], lo[order]
     new = np.ones(len(key), bool)
-    new[1:] = key[order][1:] != key[order][:-1]
-    out = np.zeros(len(key), bool)
-    out[order[new]] = True
+    new[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    out = np.empty(len(key), np.int8)
+    out[order] = np.where(new, _FIRST, np.where((ids == ids[first]) & (lo == lo[first]), _SAME, _LATER))
     return out
 
 
@@ -88,7 +93,9 @@ def _marker(length: int, gram: int):
             for part, buf, offsets in _text.text_slices(batch):
                 text, lo, n, anchor, whole = _segments(buf, offsets, length, gram)
                 ids, lo = part.column("doc_id").to_numpy()[text], lo - offsets[text]
-                repeats = ~_earliest(ids, lo, whole)
+                standing = _standing(ids, lo, whole)
+                some = standing != _SAME
+                anchor, ids, lo, n, repeats = anchor[some], ids[some], lo[some], n[some], standing[some] == _LATER
                 # Repeats are settled; where they go is of no account, so they are dealt evenly.
                 anchor = np.where(repeats, ids + lo, anchor.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids), pa.array(lo << 9 | n << 1 | repeats)], ["anchor", "doc_id", "mark"])
@@ -114,14 +121,14 @@ def _windows(buf: np.ndarray, begin: np.ndarray, ids: np.ndarray, lo: np.ndarray
     step = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
     at, ids, start = lo[segment] + step, ids[segment], begin[segment] + step
     key = _text.span_hash(_text.prefix_sums(buf), start, start + length)
-    first = _earliest(ids, at, key)
-    later = np.flatnonzero(~first)
+    standing = _standing(ids, at, key)
+    later = np.flatnonzero(standing == _LATER)
     lead = np.ones(len(later), bool)
     lead[1:] = (np.diff(later) != 1) | (np.diff(segment[later]) != 0)
     head = later[lead]
     runs = np.diff(np.append(np.flatnonzero(lead), len(later)))
     yield _cut_rows(ids[head] + at[head], ids[head], at[head], runs, np.full(len(head), _SETTLED), [b""] * len(head))
-    raw, open_ = buf.tobytes(), np.flatnonzero(first)
+    raw, open_ = buf.tobytes(), np.flatnonzero(standing == _FIRST)
     digests = [hashlib.blake2b(raw[a : a + length], digest_size=16).digest() for a in start[open_].tolist()]
     yield _cut_rows(key[open_].view(np.int64), ids[open_], at[open_], np.ones(len(open_)), np.full(len(open_), -1), digests)
 
@@ -284,7 +291,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     several = marks.withColumn("n", F.count(F.when(open_, 1)).over(Window.partitionBy("anchor")))
     most = BLOCK_BYTES // (2 * length - gram)  # segments of the greatest size in a block
     marked = written(several.where((F.col("n") > 1) | ~open_).withColumn("hot", F.col("n") > most).drop("n"), "marks")
-    lists = marked.where(open_).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "mark", "hot")).alias("marks"))
+    lists = marked.where(open_).groupBy("doc_id").agg(F.array_distinct(F.collect_list(F.struct("anchor", "mark", "hot"))).alias("marks"))
     cut = read.join(lists, "doc_id").mapInArrow(_cutter(length), _CUT)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = cut.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id", "lo").mapInArrow(_repeats(length), "doc_id long, start long, end long")

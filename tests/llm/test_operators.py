@@ -150,6 +150,20 @@ def test_repeated_substrings(spark, docs, empty, monkeypatch):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_repeated_rows_lose_only_what_starts_earlier(spark, monkeypatch):
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    shared = noise(300)
+    texts = [noise(400), shared + noise(90), noise(80) + shared, "", "short"]
+    want = {i: sum(f) for i, (_, f) in enumerate(removed_bytes(texts, 100))}
+    rows = [(i, t) for i, t in enumerate(texts) for _ in range(3)]
+    for block in (suffix_dedup.BLOCK_BYTES, 200):
+        monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
+        for parts in (1, 4):
+            got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+            assert sorted((r.doc_id, r.n_removed) for r in got) == sorted((i, want[i]) for i, _ in rows)
+
+
 def test_hot_anchor_with_different_surroundings(spark, monkeypatch):
     """A phrase in other text every time: no group holds all its segments, and what repeats is still found."""
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 4000)
