@@ -8,7 +8,8 @@ the lower bound of its posterior (mean less ``Z`` deviations) exceeds ``LIMIT``.
 
 A page's label is that of the document its url ends in (``/<lang>/<doc_id>``). Null urls and those
 without ``://`` have an empty host and path; pages without a label count for nothing but get
-their host's verdict. Repeated pages are counted and judged as often as they occur. Without any labels nothing is blocked beyond the rules.
+their host's verdict. A host without labelled pages is judged as one of none under its domain's posterior mean, which
+without labelled pages is its suffix's, or else the overall rate. Repeated pages are counted and judged as often as they occur. Without any labels nothing is blocked beyond the rules.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def _rule(rules: list[tuple[str, str, str]], value) -> Column:
 
 def _strength(level: DataFrame) -> DataFrame:
     """One row: pseudo-counts of a level's prior, from members (n, bad)."""
-    sums = level.agg(F.sum("n").alias("m"), F.sum("bad").alias("b"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("n")).alias("q"), F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("r"))
+    sums = level.where("n > 0").agg(F.sum("n").alias("m"), F.sum("bad").alias("b"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("n")).alias("q"), F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("r"))
     p = F.col("b") / F.col("m")
     v = p * (1 - p)
     between = F.col("r") - F.col("b") * p - v * (F.col("k") - 1)
@@ -55,9 +56,9 @@ def _strength(level: DataFrame) -> DataFrame:
 
 
 def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """host and the lower bound of its rate of bad pages, for hosts with labelled ones; ``outcomes(page_id, bad)``."""
-    labelled = _parts(pages).join(outcomes, "page_id")
-    hosts = labelled.groupBy("host", "domain", "suffix").agg(F.count("*").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
+    """host and the lower bound of its rate of bad pages, for every host of the pages, or none without outcomes; ``outcomes(page_id, bad)``."""
+    found = _parts(pages).join(outcomes.select("page_id", "bad"), "page_id", "left")
+    hosts = found.groupBy("host", "domain", "suffix").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     shrunk = lambda prior: (F.col("bad") + F.col("strength") * prior) / (F.col("n") + F.col("strength"))

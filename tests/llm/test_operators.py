@@ -300,6 +300,33 @@ def test_url_reputation(spark):
     assert all(got[i].verdict == ("block" if i % 2 else "allow") for i in range(80)) and all(got[100 + i].verdict == "block" for i in range(3))
 
 
+def test_url_reputation_of_hosts_without_labels(spark):
+    """They take their domain's, else their suffix's, else the overall rate's."""
+    bad = lambda i: i % 4 != 0
+    rows = [(i, f"http://{'ab'[i % 2]}{i % 8}.{'bad' if bad(i) else 'good'}{i % 12}.{'zz' if bad(i) else 'com'}/en/{i}") for i in range(480)]
+    new = ["http://new.bad1.zz/x", "http://new.good0.com/x", "http://new.other.zz/x", "http://new.other.com/x", "http://new.other.yy/x"]
+    pages = spark.createDataFrame(rows + [(1000 + i, u) for i, u in enumerate(new)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(not bad(i))) for i in range(480)], "doc_id long, quality int")
+    got = rows_of(url_filter.judge(pages, labels), "page_id")
+    assert [got[1000 + i].verdict for i in range(4)] == ["block", "allow", "block", "allow"]
+    bounds = {r.host: r.bound for r in url_filter.reputations(pages, url_filter.labelled_outcomes(pages, labels)).collect()}
+    overall, strength = 0.75, bounds_strength(rows, bad)
+    assert bounds["new.other.yy"] == pytest.approx(overall - url_filter.Z * math.sqrt(overall * (1 - overall) / (strength + 1)))
+
+
+def bounds_strength(rows, bad):
+    """Pseudo-counts of the hosts' prior by the moments of their rates."""
+    n, b = Counter(), Counter()
+    for i, u in rows:
+        host = u.split("/")[2]
+        n[host] += 1
+        b[host] += bad(i)
+    m, p, k = sum(n.values()), sum(b.values()) / sum(n.values()), len(n)
+    between = sum(n[h] * (b[h] / n[h] - p) ** 2 for h in n) - (k - 1) * p * (1 - p)
+    rho = between / (p * (1 - p) * (m - sum(x * x for x in n.values()) / m - (k - 1)))
+    return min(url_filter.MOST_STRENGTH, max(url_filter.LEAST_STRENGTH, 1 / rho - 1)) if rho > 0 else url_filter.MOST_STRENGTH
+
+
 def brute_segments(s):
     """Maximal-scoring segments by their definition: the best one, then the same on either side."""
     total = np.concatenate([[0], np.cumsum(s)])
