@@ -521,7 +521,7 @@ def accept_raster(spark, sf_dir):
 
 @query()
 def region_props(spark, sf_dir):
-    return rounded(M.region_props(M.label_components(_few(spark, sf_dir), 8)), "perimeter", "circularity")
+    return rounded(M.region_props(M.label_components(demo.mask(spark, sf_dir), 8)), "perimeter", "circularity")
 
 
 @query()
@@ -536,18 +536,18 @@ def fill_small_holes(spark, sf_dir):
 
 @query()
 def filter_regions(spark, sf_dir):
-    return M.filter_regions(_few(spark, sf_dir), 0.01, 0.1)
+    return M.filter_regions(demo.mask(spark, sf_dir), 0.01, 0.1)
 
 
 @query()
 def split_weak_bridges(spark, sf_dir):
-    closed = W.dilate(_few(spark, sf_dir), 3, RASTER)
+    closed = W.dilate(demo.mask(spark, sf_dir), 3, RASTER)
     return M.split_weak_bridges(closed, 5, 0.05, 2).groupBy("raster_id", "comp_id").agg(F.count("*").alias("area"))
 
 
 @query()
 def drop_low_variance_segments(spark, sf_dir):
-    return M.drop_low_variance_segments(_few(spark, sf_dir), demo.raster(spark, sf_dir).withColumn("b", F.lit(0)))
+    return M.drop_low_variance_segments(demo.mask(spark, sf_dir), demo.raster(spark, sf_dir).withColumn("b", F.lit(0)))
 
 
 # Runs.

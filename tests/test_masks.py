@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from orthospark.operators import masks as M
+from orthospark.plans import demo
+from orthospark.plans.demo_queries import QUERIES
 
 from test_tiles import array, grid
 
@@ -84,3 +86,58 @@ def test_no_region_at_all(spark):
     empty = grid(spark, np.zeros((3, 3), int).tolist(), kind="int")
     assert M.label_components(empty).count() == 0
     assert array(M.largest_component(empty)).sum() == 0 and array(M.fill_holes(empty)).sum() == 0
+
+
+def flood(cells, touching):
+    """Regions of a set of (raster_id, y, x), as sets."""
+    left, found = set(cells), []
+    while left:
+        region, edge = set(), [left.pop()]
+        while edge:
+            r, y, x = edge.pop()
+            region.add((r, y, x))
+            near = {(r, y + dy, x + dx) for dy, dx in touching} & left
+            left -= near
+            edge += near
+        found.append(region)
+    return found
+
+
+SIDES = [(-1, 0), (1, 0), (0, -1), (0, 1)]
+ALL_ROUND = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
+
+
+def test_region_queries_see_the_whole_mask(spark):
+    where = "/root/testdata/sf0.001"
+    cells = demo.mask(spark, where).collect()
+    on = {(r.raster_id, r.y, r.x) for r in cells if r.v}
+    value = {(r.raster_id, r.y, r.x): r.v for r in demo.raster(spark, where).collect()}
+
+    areas = sorted((next(iter(g))[0], len(g)) for g in flood(on, ALL_ROUND))
+    assert sorted((r.raster_id, r.area) for r in QUERIES["region_props"](spark, where).collect()) == areas
+
+    spreads = {}
+    for g in flood(on, SIDES):
+        spreads.setdefault(next(iter(g))[0], []).append((round(float(np.std([float(value[c]) for c in g])), 9), g))
+    kept = set()
+    for found in spreads.values():
+        stds = np.array([s for s, _ in found])
+        z = (stds - stds.mean()) / (stds.std() or 1)
+        kept |= set().union(*(g for k, (_, g) in zip(z, found, strict=True) if not k < -1.5))
+    assert {(r.raster_id, r.y, r.x) for r in QUERIES["drop_low_variance_segments"](spark, where).collect() if r.v} == kept
+
+
+def test_split_query_sees_the_whole_mask(spark):
+    where = "/root/testdata/sf0.001"
+    cells = demo.mask(spark, where).collect()
+    places, on = {(r.raster_id, r.y, r.x) for r in cells}, {(r.raster_id, r.y, r.x) for r in cells if r.v}
+    grown = {(r, y + dy, x + dx) for r, y, x in on for dy in (-1, 0, 1) for dx in (-1, 0, 1)} & places
+    parts, wholes = {}, {}
+    for r in QUERIES["split_weak_bridges"](spark, where).collect():
+        parts.setdefault(r.raster_id, []).append(r.area)
+    for g in flood(grown, ALL_ROUND):
+        wholes.setdefault(next(iter(g))[0], []).append(len(g))
+    assert parts.keys() == wholes.keys()
+    for r, areas in parts.items():
+        # Cutting a bridge leaves more parts and may lose its cells.
+        assert sorted(areas) == sorted(wholes[r]) or len(areas) > len(wholes[r]) and sum(areas) <= sum(wholes[r])
