@@ -5,12 +5,12 @@ rows`` bins; the least value of each bin is the signature, and an empty bin take
 of the first filled bin in its own fixed probing order (optimal densification). Each band
 of a signature is a bucket key.
 
-Documents with equal sets are one class and go on as its smallest id. Within a bucket the
-edges are stars: the member that shares most buckets is the hub and is compared with every other.
-Buckets whose members are then not all in one component get further hubs, and only pairs
-still in different components are compared, first by how both differ from the first hub, which
-tells exactly what they share. So a bucket of true copies costs a pair a member, and no pair that
-shares a bucket stays undecided. Links are
+Documents with equal sets are one class and go on as its smallest id. The edges are stars: the member of a
+bucket that shares most buckets is its hub and is compared with every other, a pair a member. Buckets of one hub are
+one group. Groups whose members are then not all in one component get further hubs, in rounds, and only pairs still in different
+components are compared; members whose shingles rule out a link with anyone left are put aside. So a group of true copies costs
+a pair a member, and no pair that shares a bucket stays undecided. A group of many sets that are all nearly, but not quite,
+linked is the costly case: a member that stays possible is held against every further hub. Links are
 confirmed on the full shingle sets (64-bit hashes of the shingles).
 
 Null and empty texts have no shingles and are linked with nothing; a text of fewer words than a shingle
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orthospark.operators.graph import connected, contracted
@@ -36,6 +36,8 @@ WORDS = 5
 PERCENT = 80
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
+#: Parts over which the members of one group are dealt.
+SALTS = 16
 
 #: Row i: the order in which an empty bin i looks for a filled one.
 _PROBES = np.argsort(np.random.default_rng(7).random((BINS, BINS)), axis=1)
@@ -120,80 +122,87 @@ def _setter(k: int):
     return run
 
 
-def _close(n: str, m: str, percent: int):
-    """Sets whose sizes alone rule the similarity out needn't be compared."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
-
-
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs(u, v) with the sizes of both sets and of what they share, and for pairs at least half
-    alike what u has and v lacks, and what v has of its own."""
-    x = sets.select(F.col("id").alias("u"), F.col("shingles").alias("su"))
-    y = sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv"))
-    both = pairs.join(x, "u").join(y, "v").withColumn("common", F.size(F.array_intersect("su", "sv")))
-    alike = 3 * F.col("common") >= F.size("su") + F.size("sv")
-    return both.select("u", "v", F.size("su").alias("nu"), F.size("sv").alias("nv"), "common", F.when(alike, F.array_except("su", "sv")).alias("lacks"), F.when(alike, F.array_except("sv", "su")).alias("own"))
+    """pairs(hub, id, n) with the size of the hub's set, what both share, what the hub has and the other lacks, and
+    what the other has of its own."""
+    x = sets.select(F.col("id").alias("hub"), F.col("shingles").alias("sx"))
+    y = sets.select("id", F.col("shingles").alias("sy"))
+    both = pairs.join(x, "hub").join(y, "id").withColumn("lacks", F.array_except("sx", "sy"))
+    return both.select("hub", "id", "n", F.size("sx").alias("hub_n"), (F.size("sx") - F.size("lacks")).alias("common"), "lacks", F.array_except("sy", "sx").alias("own"))
 
 
-def _linked(common, n: str, m: str, percent: int):
+def _linked(common: Column, n: str, m: str, percent: int) -> Column:
     return common * 100 >= percent * (F.col(n) + F.col(m) - common)
 
 
+def _grouped(classes: DataFrame) -> DataFrame:
+    """``(hub, id, n)``: for every bucket its hub with each other member; buckets of one hub make one group."""
+    rows = classes.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("bucket"))
+    shared = written(rows.join(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket"), "buckets")
+    weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
+    hubs = shared.join(weight, "id").groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), F.col("id").alias("id")))["id"].alias("hub"))
+    return written(shared.join(hubs, "bucket").where("id != hub").groupBy("hub", "id").agg(F.first("n").alias("n")), "members")
+
+
+def _open(left: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Of the members the ones that another member may still be linked with: those of groups that
+    span several components (as far as one contraction tells), if shingles no other member has leave room for it."""
+    labels = written(contracted(links), "labels")
+    at = left.join(labels, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+    by_root = at.groupBy("hub", "root").agg(F.count("*").alias("k"), F.min("n").alias("least"), F.max("reach").alias("farthest"))
+    groups = by_root.groupBy("hub").agg(F.count("*").alias("roots"), (F.sum("k") - F.max("k")).alias("outside"), F.max_by("root", "k").alias("main"), F.min("least").alias("least"), F.max("farthest").alias("farthest"))
+    may = (F.col("reach") >= percent * F.col("least")) & (percent * F.col("n") <= F.col("farthest"))
+    return at.join(groups.where("roots > 1"), "hub").where(may).drop("roots", "least", "farthest")
+
+
+def _further_links(views: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """``links`` and those between members of a group, neither of them its hub, that join different components.
+
+    Every round some members of each open group become hubs, twice as many as in the round before: all that are outside the
+    group's main component once they are few, else those with the fewest shingles of their own. They are compared with
+    the members of other components and then leave, since every pair of theirs is decided. What two members share follows exactly from how both
+    differ from the group's hub, so no text is read again."""
+    first = _open(views.withColumn("reach", F.lit(1 << 40)), links, percent).select("hub").distinct()
+    of_open = written(views.join(first, "hub", "left_semi"), "open")
+    alone = of_open.select("hub", "id", F.explode("own").alias("s")).groupBy("hub", "s").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("hub", "id").agg(F.count("*").alias("alone"))
+    left = of_open.join(alone, ["hub", "id"], "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    # percent * (size of the other) can't be more than this: shingles that are alone in the group aren't shared.
+    left = left.withColumn("reach", 100 * F.col("n") - (100 + percent) * F.col("alone")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    many = 4
+    while True:
+        left = written(_open(left.drop("root", "outside", "main"), links, percent), "open")
+        if left.isEmpty():
+            return links
+        few = F.col("outside") <= many
+        chosen = left.where(~few | (F.col("root") != F.col("main"))).groupBy("hub", F.when(few, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(many))).alias("draw"))
+        as_hub = F.struct(F.col("id").alias("h"), F.col("n").alias("hn"), F.col("reach").alias("hr"), F.col("root").alias("h_root"), F.col("lacks").alias("hl"), F.col("own").alias("ho"))
+        hubs = written(chosen.agg(F.min_by(as_hub, F.struct("alone", "id")).alias("x")).select("hub", "x.*"), "hubs")
+        # A large group is dealt over SALTS parts; its hubs go to each.
+        sent = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        at_most = F.col("hub_n") - F.greatest(F.size("lacks"), F.size("hl")) + F.least(F.size("own"), F.size("ho"))
+        shared = F.col("hub_n") - F.size(F.array_union("lacks", "hl")) + F.size(F.array_intersect("own", "ho"))
+        near = (F.col("root") != F.col("h_root")) & (percent * F.col("n") <= F.col("hr")) & (percent * F.col("hn") <= F.col("reach"))
+        found = left.alias("l").join(sent.alias("s"), (F.col("l.hub") == F.col("s.hub")) & (F.col("l.salt") == F.col("s.salt")) & near & _linked(at_most, "n", "hn", percent) & _linked(shared, "n", "hn", percent))
+        links = links.unionByName(written(found.select(F.least("id", "h").alias("u"), F.greatest("id", "h").alias("v")).distinct(), "links"))
+        left = left.join(hubs.select("hub", F.col("h").alias("id")), ["hub", "id"], "left_anti")
+        many *= 2
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest id reachable over links of at least
-    ``percent`` % similarity), n_links of its class (confirmed star edges), kept (it is that smallest id)."""
+    ``percent`` % similarity), kept (it is that smallest id), n_links of its class (confirmed star edges)."""
     read = identified(docs)
     marks = written(read.mapInArrow(_signer(words), "doc_id long, n long, a long, b long, bands array<long>"), "marks")
     # Documents with equal sets have equal bands: whichever comes first will do.
     classes = written(marks.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    rows = classes.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("bucket"))
-    shared = written(rows.withColumn("size", F.count("*").over(Window.partitionBy("bucket"))).where("size > 1"), "buckets")
-    weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
-    by_weight = Window.partitionBy("bucket").orderBy(F.desc("weight"), "id")
-    members = written(
-        shared.join(weight, "id")
-        .withColumn("place", F.row_number().over(by_weight) - 1)
-        .withColumn("hub", F.first(F.struct("id", "n")).over(by_weight.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .select("bucket", "id", "n", "place", "hub"),
-        "members",
-    )
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
+    members = _grouped(classes)
+    wanted = members.select(F.explode(F.array("hub", "id")).alias("doc_id")).distinct()
     sets = written(read.join(wanted, "doc_id", "left_semi").mapInArrow(_setter(words), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
-
-    star = members.where("place > 0").where(_close("n", "hub.n", percent)).select(F.col("hub.id").alias("u"), F.col("id").alias("v")).distinct()
-    views = written(_compared(star, sets), "views")
-    links = views.where(_linked(F.col("common"), "nu", "nv", percent)).select("u", "v")
-    # As seen from the hub: x and y share what of the hub neither lacks, and what their own sets share.
-    seen = views.select(F.col("u").alias("hub"), F.col("v").alias("id"), "nu", "lacks", "own")
-    done, hubs, allowed = 1, 4, 512 * max(members.count(), 10_000)
-    while True:
-        # Members that haven't been hubs, in buckets that still span several components (as far as one contraction tells).
-        labels = written(contracted(links), "labels")
-        at = members.where(F.col("place") >= done).join(labels, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", "place", F.col("hub.id").alias("hub"), F.coalesce("root", "id").alias("root"))
-        of_bucket = Window.partitionBy("bucket")
-        open_ = at.withColumn("size", F.count("*").over(of_bucket)).withColumn("several", F.min("root").over(of_bucket) < F.max("root").over(of_bucket)).where("several")
-        left = written(open_.drop("several").join(seen, ["hub", "id"], "left"), "open")
-        sizes = left.groupBy(F.ceil(F.log2("size")).alias("power")).count().collect()
-        if not sizes:
-            break
-        # The first rounds join most of what there is to join; then all hubs that can be afforded.
-        most = 1 << max(r["power"] for r in sizes)
-        while done > 1 and hubs < most and sum(r["count"] * min(2 * hubs, 1 << r["power"]) for r in sizes) <= allowed:
-            hubs *= 2
-        hub = left.where(F.col("place") < done + hubs).select("bucket", F.col("id").alias("h"), F.col("n").alias("hn"), F.col("place").alias("hp"), F.col("root").alias("hr"), F.col("lacks").alias("hl"), F.col("own").alias("ho"))
-        at_most = F.col("nu") - F.greatest(F.size("lacks"), F.size("hl")) + F.least(F.size("own"), F.size("ho"))
-        shared = F.col("nu") - F.size(F.array_union("lacks", "hl")) + F.size(F.array_intersect("own", "ho"))
-        may = F.col("lacks").isNull() | F.col("hl").isNull() | (_linked(at_most, "n", "hn", percent) & _linked(shared, "n", "hn", percent))
-        fresh = left.join(hub, (left["bucket"] == hub["bucket"]) & (F.col("place") > F.col("hp")) & (F.col("root") != F.col("hr")) & _close("n", "hn", percent) & may)
-        pairs = fresh.select(F.least("id", "h").alias("u"), F.greatest("id", "h").alias("v")).distinct()
-        more = written(_compared(pairs, sets).where(_linked(F.col("common"), "nu", "nv", percent)).select("u", "v"), "links")
-        links = links.unionByName(more)
-        done += hubs
-        if hubs >= most:
-            break
+    views = written(_compared(members, sets), "views")
+    links = views.where(_linked(F.col("common"), "hub_n", "n", percent)).select(F.least("hub", "id").alias("u"), F.greatest("hub", "id").alias("v"))
+    links = _further_links(views.drop("common"), links, percent)
     labels = connected(links)
-    edges = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    degree = edges.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    degree = links.distinct().select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     roots = classes.select("a", "b", "n", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("a", "b", "n", "rep", F.coalesce("root", "rep").alias("root")).join(degree, "rep", "left")
     component = F.coalesce("root", "doc_id")
     return marks.select("doc_id", "n", "a", "b").join(roots, ["a", "b", "n"], "left").select(

@@ -125,6 +125,31 @@ def test_near_duplicates_of_one_base(spark):
     assert [got[i].component_id for i in range(len(texts))] == roots and 1 < len(set(roots)) < len(texts)
 
 
+def test_one_large_group_costs_pairs_in_proportion(spark, monkeypatch):
+    """Near copies of a base that isn't there: components are those of all pairs, found from a few pairs a member."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(700):
+        w = list(base)
+        for _ in range(rng.choice([1, 1, 2, 2, 3, 4, 6])):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    rows = {}
+    written = minhash_dedup.written
+
+    def counted(df, name):
+        out = written(df, name)
+        rows[name] = rows.get(name, 0) + (out.count() if name in ("members", "links") else 0)
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "written", counted)
+    sets, roots = near_components(texts, 2)
+    got = rows_of(minhash_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=2))
+    assert [got[i].component_id for i in range(len(texts))] == roots and 1 < len(set(roots)) < 650
+    assert rows["members"] + rows["links"] < 12 * len(texts)
+
+
 def removed_bytes(texts, length):
     seen, gone = set(), []
     for t in texts:
