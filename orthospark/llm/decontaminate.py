@@ -4,12 +4,13 @@ The benchmark items, as word sequences, make one automaton. Each document's word
 through it; the state tells the longest stretch that ends here and occurs in some item.
 A stretch of ``window`` words (or a whole shorter item) is a hit.
 
-The benchmark is the broadcast side. It is cut into blocks of at most ``BLOCK_WORDS``
-words, an automaton a block, so what a task holds is bounded however long the benchmark
-is; every block meets every document (a stated query set against all rows, in blocks).
+The benchmark is the broadcast side. Its items are dealt by hash over blocks of about ``BLOCK_WORDS`` words (a longer item
+is cut into stretches that share a window less one word); one block at a time comes to the driver and goes to the tasks as an automaton, so
+what driver and tasks hold is bounded however long the benchmark is. Every block meets every document (a stated
+query set against all rows, in blocks); a benchmark of k blocks reads the documents k times.
 
 Null and empty texts have no words, are never hit and never match; items without words are
-ignored; repeated items count each under its own id; repeated documents each get a row;
+ignored; repeated items count each under its own id; repeated documents each get a row, whatever the number of blocks;
 documents with a null id are left out of :func:`match`. Only the named columns are read.
 """
 
@@ -28,7 +29,7 @@ from ._tables import identified, written
 WINDOW = 10
 BLOCK_WORDS = 100_000
 
-_MATCHED = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, bytes array<struct<start:int,end:int>>, longest int, items array<string>"
+_MATCHED = "doc_id long, key long, n_words long, spans array<struct<start:int,end:int>>, bytes array<struct<start:int,end:int>>, longest int, items array<string>"
 
 
 class Automaton:
@@ -116,22 +117,29 @@ class Automaton:
                     yield i, size, n, keys
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[str, np.ndarray]]]:
-    """Items as (id, word hashes), in blocks of at most BLOCK_WORDS words; read item by item."""
-    block: list[tuple[str, np.ndarray]] = []
-    held = 0
-    rows = benchmark.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("string"), F.col(text))
-    for key, item in rows.toLocalIterator():
-        buf = np.frombuffer(item.encode(), np.uint8)
-        hashes = _text.find_words(buf, np.array([0, len(buf)]), _text.NOT_ALNUM).hashes()
-        if not len(hashes):
-            continue
-        if block and held + len(hashes) > BLOCK_WORDS:
-            yield block
-            block, held = [], 0
-        block.append((key, hashes))
-        held += len(hashes)
-    yield block
+def _item_words(window: int, most: int):
+    """Items as word hashes; of items longer than ``most`` words, stretches that hold every window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, buf, offsets in _text.text_slices(batch):
+                words = _text.find_words(buf, offsets, _text.NOT_ALNUM)
+                hashes = words.hashes().view(np.int64)
+                rows = []
+                for key, a, b in zip(part.column("item").to_pylist(), words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+                    rows += [(key, hashes[at : min(b, at + most + window - 1)]) for at in range(a, max(a + 1, b - window + 1), most) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([h for _, h in rows], pa.list_(pa.int64()))], ["item", "words"])
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, item_id: str, text: str, window: int) -> tuple[DataFrame, int]:
+    """``(item, words, block)``, and the number of blocks."""
+    rows = benchmark.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text"))
+    items = written(rows.mapInArrow(_item_words(window, BLOCK_WORDS), "item string, words array<long>"), "items")
+    total = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    n = max(1, -(-total // BLOCK_WORDS))
+    return items.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(n))), n
 
 
 def _matcher(block: list[tuple[str, np.ndarray]], window: int):
@@ -179,25 +187,32 @@ def _match_slice(part, buf, offsets, vocab, automaton, least) -> pa.RecordBatch:
         spans[d] = [{"start": a - int(words.first[d]), "end": b - int(words.first[d])} for a, b in spans[d]]
     pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     return pa.RecordBatch.from_arrays(
-        [part.column("doc_id"), pa.array(np.diff(words.first).astype(np.int64)), pa.array(spans, pair), pa.array(where, pair), pa.array(longest, pa.int32()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-        ["doc_id", "n_words", "spans", "bytes", "longest", "items"],
+        [part.column("doc_id"), part.column("key"), pa.array(np.diff(words.first).astype(np.int64)), pa.array(spans, pair), pa.array(where, pair), pa.array(longest, pa.int32()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+        ["doc_id", "key", "n_words", "spans", "bytes", "longest", "items"],
     )
 
 
 def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document: its words, hit spans in words and in bytes of the text, the longest match, and the items hit."""
-    read = identified(docs)
-    parts = [read.mapInArrow(_matcher(block, window), _MATCHED) for block in _blocks(benchmark, item_id, item_text)]
-    if len(parts) == 1:
-        return parts[0]
-    # Several blocks: a row for each document from the first, rows with hits from the others.
-    found = written(parts[0], "decontaminate")
-    for i, part in enumerate(parts[1:]):
-        found = found.unionByName(written(part.where(F.size("items") > 0), f"decontaminate-{i}"))
-    merged = lambda c: _merge_spans(F.array_sort(F.flatten(F.collect_list(c))))
-    return found.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), merged("spans").alias("spans"), merged("bytes").alias("bytes"), F.max("longest").alias("longest"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-    )
+    read = identified(docs).withColumn("key", F.xxhash64("text"))
+    items, n = _blocks(benchmark, item_id, item_text, window)
+
+    def part(b: int) -> DataFrame:
+        block = [(r["item"], np.array(r["words"], np.int64).view(np.uint64)) for r in items.where(F.col("block") == b).select("item", "words").collect()]  # about BLOCK_WORDS words
+        return read.mapInArrow(_matcher(block, window), _MATCHED)
+
+    first = part(0)
+    if n == 1:
+        return first.drop("key")
+    # A row for each document from the first block, hits from the others; they meet by id and text, so repeated rows stay rows.
+    first, more = written(first, "matched"), None
+    for b in range(1, n):
+        hits = written(part(b).where(F.size("items") > 0).dropDuplicates(["doc_id", "key"]), "matched")
+        more = hits if more is None else more.unionByName(hits)
+    listed = more.groupBy("doc_id", "key").agg(*[F.flatten(F.collect_list(c)).alias(f"more_{c}") for c in ("spans", "bytes", "items")], F.max("longest").alias("more_longest"))
+    both = first.join(listed, ["doc_id", "key"], "left")
+    joined = lambda c: F.array_sort(F.concat(c, F.coalesce(f"more_{c}", F.array().cast(first.schema[c].dataType))))
+    return both.select("doc_id", "n_words", _merge_spans(joined("spans")).alias("spans"), _merge_spans(joined("bytes")).alias("bytes"), F.greatest("longest", "more_longest").alias("longest"), F.array_distinct(joined("items")).alias("items"))
 
 
 def _merge_spans(spans):
@@ -232,15 +247,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(kept, pa.string())], ["__id", "__kept"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = WINDOW - 1, max_coverage: float = 0.5) -> DataFrame:
-    """``docs`` without benchmark passages: spans of more than ``max_words`` words are cut out of the text, whole
-    documents go where hit words are more than ``max_coverage`` of all. A short whole item is a span as
-    well and is cut whatever its length. Columns stay; n_chars, where there is one, follows the text.
-    Documents without hits, and those with a null id, pass through unchanged."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = 0, max_coverage: float = 0.5) -> DataFrame:
+    """``docs`` without benchmark passages: spans of more than ``max_words`` words are cut out of the text (by default every hit
+    is), whole documents go where hit words are more than ``max_coverage`` of all. Columns stay; n_chars,
+    where there is one, follows the text. Documents without hits, and those with a null id, pass through unchanged; of repeated
+    rows each is cut."""
     hit = F.aggregate("spans", F.lit(0), lambda a, s: a + s["end"] - s["start"])
+    long_ = F.filter("bytes", lambda b, i: F.element_at("spans", i + 1)["end"] - F.element_at("spans", i + 1)["start"] > max_words)
     found = match(docs, benchmark, window).where(F.size("spans") > 0)
-    found = written(found.select(F.col("doc_id").alias("__id"), (hit > max_coverage * F.col("n_words")).alias("__drop"), "bytes", "longest").dropDuplicates(["__id"]), "contaminated")
-    texts = docs.join(found.where(~F.col("__drop")), F.col("doc_id") == F.col("__id"), "inner").select("__id", F.col("text").alias("__text"), F.col("bytes").alias("__bytes"))
+    found = written(found.select(F.col("doc_id").alias("__id"), (hit > max_coverage * F.col("n_words")).alias("__drop"), long_.alias("__bytes")).dropDuplicates(["__id"]), "contaminated")
+    texts = docs.join(found.where(~F.col("__drop") & (F.size("__bytes") > 0)), F.col("doc_id") == F.col("__id"), "inner").select("__id", F.col("text").alias("__text"), "__bytes")
     cut = texts.mapInArrow(_cut, "__id long, __kept string").dropDuplicates(["__id"])
     out = docs.join(found.where("__drop").select("__id"), F.col("doc_id") == F.col("__id"), "left_anti").join(cut, F.col("doc_id") == F.col("__id"), "left")
     changed = {"text": F.coalesce("__kept", "text")}

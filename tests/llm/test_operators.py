@@ -468,10 +468,17 @@ def test_decontamination(spark, docs, empty, monkeypatch):
                     found |= keys
                     hit[i : i + size] = [1] * size
         want[d] = (len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), any(hit))
-    for block in (10**6, 15):
+    for block in (10**6, 15, 5):
         monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
         got = rows_of(decontaminate.report(decontaminate.match(docs, benchmark)))
         assert {i: tuple(r)[1:] for i, r in got.items()} == want and sum(v[4] for v in want.values()) > 5
+        twice = decontaminate.report(decontaminate.match(docs.unionByName(docs), benchmark)).collect()
+        assert Counter(twice) == Counter({r: 2 for r in got.values()})
+    assert len(decontaminate._blocks(benchmark, "item_id", "text", 10)[0].collect()) == 7  # five items with words, one of them in three stretches
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10**6)
+    longer = decontaminate.decontaminate(docs, benchmark, max_words=15)
+    before = rows_of(docs)
+    assert 0 < sum(r.text != before[i].text for i, r in rows_of(longer).items()) < sum(v[4] for v in want.values())
     clean = decontaminate.decontaminate(docs, benchmark)
     assert clean.columns == docs.columns and None in {r.doc_id for r in clean.collect()}
     assert decontaminate.report(decontaminate.match(clean, benchmark)).where("contaminated").count() == 0
