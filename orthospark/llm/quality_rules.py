@@ -1,9 +1,10 @@
 """Quality rules under weak supervision, as DataFrame expressions only.
 
-Each rule votes to keep (1) or to drop (0) a document, or abstains (null). Expectation-maximisation estimates
-how often each rule votes rightly for good and for bad documents, without labels, from the counts of vote
-patterns (at most 3 to the number of rules of them, whatever the corpus); priors, which weigh four times
-as much as the documents, say that votes are mostly right. The posterior probability of good replaces all-must-pass filtering.
+Each rule votes to keep (1) or to drop (0) a document, or abstains (null). Several rules look at each fault, some of
+them strictly. Expectation-maximisation estimates, without labels, how often each rule votes rightly for good and for bad
+documents, from the counts of vote patterns (at most 3 to the number of rules of them, whatever the corpus); what is
+expected beforehand weighs as much as ``PSEUDO`` documents at any size. The posterior probability of good replaces all-must-pass
+filtering: a lone vote to drop is outweighed where its rule turns out to be no mark of bad documents.
 
 Null and empty texts have no words and fail the base test. Repeated rows are counted and judged as often as
 they occur; rows with a null id are left out. Only doc_id and text are read.
@@ -14,16 +15,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import identified
+from ._tables import identified, written
 
 SPACES = "[\\x20\\x09-\\x0D]+"
 WINDOW = 5
-ROUNDS = 50
+ROUNDS = 100
 #: What is expected before any document is seen: the share of good documents, and how often a vote is right
 #: on a good and on a bad one (a bad document has one fault or another, so most rules miss it).
-GOOD, RIGHT_ON_GOOD, RIGHT_ON_BAD = 0.8, 0.998, 0.25
-#: Weight of that, in times the number of documents, so that estimates are alike at every size.
-WEIGHT = 4.0
+GOOD, RIGHT_ON_GOOD, RIGHT_ON_BAD = 0.8, 0.98, 0.4
+#: Weight of that, in documents.
+PSEUDO = 100.0
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -56,9 +57,12 @@ def rules() -> dict[str, Column]:
     n, c = F.col("n_words"), F.col
     return {
         "length": _vote(n < 10, n >= 50),
+        "brief": _vote(n < 25, n >= 100),
         "symbols": _vote(100 * c("n_symbols") > 30 * n, 100 * c("n_symbols") <= 5 * n),
-        "lines": _vote(100 * c("n_dup_lines") > 30 * c("n_lines"), c("n_dup_lines") == 0),
+        "some_symbols": _vote(100 * c("n_symbols") > 5 * n, c("n_symbols") == 0),
         "repeats": _vote(100 * c("n_repeat_words") > 15 * n, c("n_repeat_words") == 0),
+        "some_repeats": _vote(100 * c("n_repeat_words") > 5 * n, c("n_repeat_words") == 0),
+        "lines": _vote(100 * c("n_dup_lines") > 30 * c("n_lines"), c("n_dup_lines") == 0),
         "word_length": _vote((c("word_chars") < 3 * n) | (c("word_chars") > 12 * n), (c("word_chars") >= 4 * n) & (c("word_chars") <= 10 * n)),
         "capitals": _vote(100 * c("n_capitals") > 30 * c("word_chars"), 100 * c("n_capitals") <= 10 * c("word_chars")),
     }
@@ -71,11 +75,10 @@ def base_failed() -> Column:
 def expectation_maximisation(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[tuple[float, float]]]:
     """The share of good documents, and per rule how often its votes are right on good and on bad ones."""
     n_rules = len(patterns[0][0]) if patterns else 0
-    weight = WEIGHT * sum(count for _, count in patterns)
     share, right = GOOD, [(RIGHT_ON_GOOD, RIGHT_ON_BAD)] * n_rules
-    for _ in range(rounds if weight else 0):
-        good, total = GOOD * weight, weight
-        hits = [[RIGHT_ON_GOOD * GOOD * weight, GOOD * weight, RIGHT_ON_BAD * (1 - GOOD) * weight, (1 - GOOD) * weight] for _ in range(n_rules)]
+    for _ in range(rounds if patterns else 0):
+        good, total = GOOD * PSEUDO, PSEUDO
+        hits = [[RIGHT_ON_GOOD * GOOD * PSEUDO, GOOD * PSEUDO, RIGHT_ON_BAD * (1 - GOOD) * PSEUDO, (1 - GOOD) * PSEUDO] for _ in range(n_rules)]
         for votes, count in patterns:
             up, down = share, 1 - share
             for v, (g, b) in zip(votes, right, strict=True):
@@ -93,10 +96,10 @@ def expectation_maximisation(patterns: list[tuple[tuple[int | None, ...], int]],
 
 def judge(docs: DataFrame) -> DataFrame:
     """Per document: the measures, base_failed, kept, and quality (posterior probability of good)."""
-    measured = measures(docs)
+    measured = written(measures(docs), "measures")  # some numbers a document
     voted = measured.select("*", base_failed().alias("base_failed"), *[c.alias(f"vote_{k}") for k, c in rules().items()])
     names = [f"vote_{k}" for k in rules()]
-    patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy(*names).count().orderBy(*names).collect()]  # at most 3**6 rows
+    patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy(*names).count().orderBy(*names).collect()]  # at most 3**9 rows
     share, right = expectation_maximisation(patterns)
     odds = F.lit(share / (1 - share))
     for name, (g, b) in zip(names, right, strict=False):
