@@ -1,6 +1,7 @@
 """Every operator against a brute-force version on small fixtures, and its edge cases."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -421,7 +422,11 @@ def test_lattice_sums_over_all_cuts():
 
     words = [b"ab", b"aba", b"b", b"abab"]
     total = [sum(math.prod(weight[p] for p in c) for c in cuts(b" " + w)) for w in words]
-    assert np.exp(lm_score.log_weights(words, pieces)) == pytest.approx(total)
+    assert np.exp(lm_score.log_weights(words, pieces)[0]) == pytest.approx(total)
+    long_ = [b"ab" * 900, b"aab" * 50_000]  # held whole, and as a stream over several stretches
+    streamed = lm_score.log_weights(long_, pieces)[0]
+    whole = [float(lm_score._lattice(np.frombuffer(b" " + w, np.uint8)[None], pieces)[2][0][0, -1]) for w in long_[:1]]
+    assert streamed[0] == pytest.approx(whole[0]) and math.isfinite(streamed[1])
     used = Counter()
     for w, t in zip(words, total, strict=True):
         for c in cuts(b" " + w):
@@ -444,7 +449,28 @@ def test_language_model(spark, docs, empty):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, len(tokens), sum(c[w] > 0 for w in tokens), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens))
         assert math.isfinite(r.score) and r.score < 0
+        assert math.isfinite(r.lattice_score) and r.lattice_score < 0
     assert lm_score.score(empty, lm_score.load(_tokenizers.PIECES)).count() == 0
+    twice = lm_score.score(docs.unionByName(docs), lm_score.load(_tokenizers.PIECES)).collect()
+    assert len(twice) == 2 * len(texts) and len({(r.doc_id, round(r.score, 6)) for r in twice}) == len(texts)
+
+
+def test_probabilities_add_up(spark, monkeypatch):
+    """A closed vocabulary: the texts of n words have together the probability of n tokens that aren't the end."""
+    monkeypatch.setattr(lm_score, "COMMON", 3)
+    rng = random.Random(7)
+    train = [" ".join(rng.choice("aaab" if i % 2 else "cca") for _ in range(rng.randrange(1, 6))) + " d" * (i % 3 == 0) for i in range(30)]
+    every = [" ".join(w) for n in range(4) for w in itertools.product("abcde", repeat=n)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(train + every)], "doc_id long, text string")
+    pieces = lm_score.Pieces([f" {x}".encode() for x in "abcde"], np.arange(1, 6) / 15)
+    for topics in (1, 2):
+        got = rows_of(lm_score.score(docs, pieces, held_out=F.col("doc_id") >= len(train), topics=topics))
+        totals = [0.0] * 4
+        for i, t in enumerate(every):
+            totals[len(t.split())] += 10 ** got[len(train) + i].score
+        assert totals == pytest.approx([totals[0] * (1 - totals[0]) ** n for n in range(4)]) and 0 < totals[0] < 1
+        plain = [10 ** got[len(train) + i].lattice_score for i, t in enumerate(every) if " " not in t]
+        assert sum(plain[1:]) == pytest.approx(plain[0] * (1 - plain[0]))
 
 
 def test_decontamination(spark, docs, empty, monkeypatch):
