@@ -1,7 +1,16 @@
 """Where the public tokenizers' files are; operators take the paths as parameters."""
 
-import public_tokenizers
 
-#: Parameters of :func:`orthospark.llm.packing.pack` for the 50k byte-level vocabulary.
-BYTE_BPE = {"vocabulary": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
-PIECES = public_tokenizers.path("piece_bpe_32k.model")
+def path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def byte_bpe() -> str:
+    """The 50k byte-level vocabulary."""
+    return path("byte_bpe_50k.json")
+
+
+def pieces() -> str:
+    return path("piece_bpe_32k.model")

@@ -5,7 +5,7 @@ pieces of each length (at most ``capacity`` numbers) comes to the driver, which
 piece left, and with it the fullest combination of available lengths, found by a bitset subset-sum
 dynamic program; the combination is taken out as often as the counts allow. The plan, some slots a
 length, is broadcast, and every piece takes the slot its rank within its length falls into. Ranks
-are made in ``BUCKETS`` parts a length, so one common length is never one task's work.
+are made in parts of about ``PART_ROWS`` pieces, ``BUCKETS`` at least, so one common length is never one task's work.
 
 Null and empty texts are one piece that holds the end token alone. Repeated documents are packed as
 often as they occur. Rows with a null id are left out. Only doc_id and text are read.
@@ -13,7 +13,7 @@ often as they occur. Rows with a null id are left out. Only doc_id and text are
 
 from __future__ import annotations
 
-import base64
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -27,25 +27,27 @@ from ._tables import identified, written
 
 CAPACITY = 1024
 END = 2
-BUCKETS = 256
+BUCKETS, PART_ROWS = 256, 1 << 20
 SLICE_BYTES = 4 << 20
-SPECIAL = b"<|endoftext|>"
+#: Bytes that are given to the tokenizer at once.
+RUN_BYTES = 1 << 14
 
 _loaded: dict[str, tuple] = {}
 
 
-def _load(vocabulary: str, ranks: str, pattern: str):
-    """Both readers of the same vocabulary, once a worker: the plain one is the faster, the other knows special tokens."""
+def _load(vocabulary: str):
+    """The tokenizer, and how many bytes each id stands for; once a worker."""
     if vocabulary not in _loaded:
-        import tiktoken
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are what runs side by side
         from tokenizers import Tokenizer
 
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-        sizes = np.zeros(max(table.values()) + 1, np.int64)
-        for token, i in table.items():
-            sizes[i] = len(token)
-        _loaded[vocabulary] = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=table, special_tokens={}), sizes, Tokenizer.from_file(vocabulary)
+        reader = Tokenizer.from_file(vocabulary)
+        sizes = np.zeros(reader.get_vocab_size(), np.int64)
+        for token, i in reader.get_vocab().items():
+            sizes[i] = len(token)  # a byte-level vocabulary spells each byte as one character
+        for i, token in reader.get_added_tokens_decoder().items():
+            sizes[i] = len(token.content.encode())
+        _loaded[vocabulary] = reader, sizes
     return _loaded[vocabulary]
 
 
@@ -63,48 +65,40 @@ def _chunk_starts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def token_ids(buf: np.ndarray, offsets: np.ndarray, vocabulary: str, ranks: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+def token_ids(buf: np.ndarray, offsets: np.ndarray, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of consecutive texts and where each text's begin. Every distinct chunk is encoded once."""
-    plain, sizes, special = _load(vocabulary, ranks, pattern)
+    reader, sizes = _load(vocabulary)
     start = _chunk_starts(buf, offsets)
     end = np.append(start[1:], len(buf))
     _, lead, inverse = np.unique(_text.span_hash(_text.prefix_sums(buf), start, end), return_index=True, return_inverse=True)
     raw = buf.tobytes()
-    spans = list(zip(start[lead].tolist(), end[lead].tolist(), strict=True))
+    begin, stop = start[lead], end[lead]
     # A chunk that starts with a space and doesn't end with one keeps its tokens when such chunks are joined.
-    joins = ((buf[start[lead]] == 0x20) | (buf[start[lead]] == 0x0A)) & (buf[end[lead] - 1] > 0x20) & (buf[end[lead] - 1] < 0x7F)
-    parts: list[np.ndarray] = [None] * len(spans)  # type: ignore[list-item]
-    together = np.flatnonzero(joins)
-    ids = np.array(plain.encode_ordinary(b"".join([raw[a:b] for a, b in (spans[i] for i in together)]).decode()), np.int64)
-    ends = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum((end - start)[lead][together]), "left") + 1
-    begins = np.concatenate([[0], ends[:-1]])
-    for i in np.flatnonzero(~joins).tolist():
-        parts[i] = np.array(plain.encode_ordinary(raw[spans[i][0] : spans[i][1]].decode()), np.int64)
-    alone = np.flatnonzero(~joins)
-    tail = np.concatenate([ids, *(parts[i] for i in alone)]) if len(alone) else ids
-    first, count = np.zeros(len(spans), np.int64), np.zeros(len(spans), np.int64)
-    first[together], count[together] = begins, ends - begins
-    count[alone] = [len(parts[i]) for i in alone]
-    first[alone] = len(ids) + np.cumsum(count[alone]) - count[alone]
+    joins = ((buf[begin] == 0x20) | (buf[begin] == 0x0A)) & (buf[stop - 1] > 0x20) & (buf[stop - 1] < 0x7F)
+    order = np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])
+    length = (stop - begin)[order]
+    n_joined = int(joins.sum())
+    run = np.cumsum(length[:n_joined]) // RUN_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), *range(n_joined, len(order) + 1)] if n_joined else list(range(len(order) + 1))
+    texts = [b"".join([raw[a:b] for a, b in zip(begin[order[lo:hi]].tolist(), stop[order[lo:hi]].tolist(), strict=True)]).decode() for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    found = [np.array(e.ids, np.int64) for e in reader.encode_batch_fast(texts, add_special_tokens=False)]
+    tokens = np.concatenate(found) if found else np.zeros(0, np.int64)
+    # Where the chunks' bytes end, their tokens do.
+    last = np.searchsorted(np.cumsum(sizes[tokens]), np.cumsum(length), "left") + 1
+    first, count = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    first[order] = np.concatenate([[0], last[:-1]]) if len(last) else last
+    count[order] = np.diff(np.concatenate([[0], last]))
 
     n = count[inverse]
     flat = np.repeat(first[inverse] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    out = tail[flat]
-    bounds = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(start, offsets)]
-    if SPECIAL in raw:  # the texts that hold the special token's string are read by the reader that knows it
-        texts = []
-        for a, b, lo, hi in zip(offsets[:-1], offsets[1:], bounds[:-1], bounds[1:], strict=True):
-            text = raw[a:b]
-            texts.append(np.array(special.encode(text.decode(), add_special_tokens=False).ids, np.int64) if SPECIAL in text else out[lo:hi])
-        out, bounds = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    return out, bounds
-
-
-def _pieces(vocabulary: str, ranks: str, pattern: str, capacity: int, keep_ids: bool):
+    return tokens[flat], np.concatenate([[0], np.cumsum(n)])[np.searchsorted(start, offsets)]
+
+
+def _pieces(vocabulary: str, capacity: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, offsets in _text.text_slices(batch, most=SLICE_BYTES):
-                ids, first = token_ids(buf, offsets, vocabulary, ranks, pattern)
+                ids, first = token_ids(buf, offsets, vocabulary)
                 ids = ids.astype("<u4")
                 rows: list[tuple] = []
                 for key, a, b in zip(part.column("doc_id").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -169,14 +163,15 @@ def _slots(bins: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int,
     return slots
 
 
-def pack(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset; ids as well if ``keep_ids``.
 
-    vocabulary, ranks: paths of one byte-level BPE vocabulary for the two readers; pattern: its pre-token pattern."""
+    vocabulary: path of a byte-level BPE vocabulary whose pre-tokens hold a space only before other characters."""
     spark = docs.sparkSession
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    pieces = written(identified(docs).mapInArrow(_pieces(vocabulary, ranks, pattern, capacity, keep_ids), schema), "pieces")
-    pieces = pieces.withColumn("__part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int"))
+    pieces = written(identified(docs).mapInArrow(_pieces(vocabulary, capacity, keep_ids), schema), "pieces")
+    parts = max(BUCKETS, pieces.count() // PART_ROWS)
+    pieces = pieces.withColumn("__part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
     counts = written(pieces.groupBy("length", "__part").agg(F.count("*").alias("__n")), "lengths")
     lengths = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("__n")).collect()}  # at most ``capacity`` rows
     slots = spark.createDataFrame(_slots(plan(lengths, capacity)), "__length long, __from long, __to long, __sequence long, __each long, __offset long")

@@ -17,7 +17,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), **_tokenizers.BYTE_BPE)
+    return packing.pack(table(spark, sf_dir, "documents"), _tokenizers.byte_bpe())
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(table(spark, sf_dir, "documents"), lm_score.load(_tokenizers.PIECES))
+    return lm_score.score(table(spark, sf_dir, "documents"), lm_score.load(_tokenizers.pieces()))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes in the training sequences."""
-    return packing.pack(docs, **_tokenizers.BYTE_BPE)
+    return packing.pack(docs, _tokenizers.byte_bpe())
 
 
 STAGES = [

@@ -227,8 +227,8 @@ def test_maximal_repeats_have_all_occurrences():
 def test_packing(spark, docs, empty):
     from tokenizers import Tokenizer
 
-    reader = Tokenizer.from_file(_tokenizers.BYTE_BPE["vocabulary"])
-    got = packing.pack(docs, **_tokenizers.BYTE_BPE, capacity=32, keep_ids=True).collect()
+    reader = Tokenizer.from_file(_tokenizers.byte_bpe())
+    got = packing.pack(docs, _tokenizers.byte_bpe(), capacity=32, keep_ids=True).collect()
     by_doc, by_sequence = {}, {}
     for r in got:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -246,7 +246,7 @@ def test_packing(spark, docs, empty):
             at += r.length
         assert at <= 32
     assert len(by_sequence) <= math.ceil(sum(r.length for r in got) / 32) + 2
-    assert packing.pack(empty, **_tokenizers.BYTE_BPE).count() == 0
+    assert packing.pack(empty, _tokenizers.byte_bpe()).count() == 0
 
 
 def test_bins_are_full_and_whole():
@@ -442,7 +442,7 @@ def test_language_model(spark, docs, empty):
     rows = [(WORD.findall(lower(t or "")), zlib.crc32(str(i).encode()) % 10 == 0) for i, t in enumerate(texts)]
     c = Counter(w for words, held in rows if not held for w in [*words, None])
     n, v = sum(c.values()), len(c)
-    got = rows_of(lm_score.score(docs, lm_score.load(_tokenizers.PIECES)))
+    got = rows_of(lm_score.score(docs, lm_score.load(_tokenizers.pieces())))
     for i, (words, held) in enumerate(rows):
         tokens = [*words, None]
         r = got[i]
@@ -450,8 +450,8 @@ def test_language_model(spark, docs, empty):
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens))
         assert math.isfinite(r.score) and r.score < 0
         assert math.isfinite(r.lattice_score) and r.lattice_score < 0
-    assert lm_score.score(empty, lm_score.load(_tokenizers.PIECES)).count() == 0
-    twice = lm_score.score(docs.unionByName(docs), lm_score.load(_tokenizers.PIECES)).collect()
+    assert lm_score.score(empty, lm_score.load(_tokenizers.pieces())).count() == 0
+    twice = lm_score.score(docs.unionByName(docs), lm_score.load(_tokenizers.pieces())).collect()
     assert len(twice) == 2 * len(texts) and len({(r.doc_id, round(r.score, 6)) for r in twice}) == len(texts)
 
 
