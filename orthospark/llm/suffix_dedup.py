@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
@@ -35,8 +35,9 @@ from ._tables import identified, written
 
 LENGTH = 100
 GRAM = 24
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 BLOCK_SPANS = 1 << 16
+PLACE_BITS = 22
 
 
 def _sliding_least(v: np.ndarray, w: int) -> np.ndarray:
@@ -48,6 +49,18 @@ def _sliding_least(v: np.ndarray, w: int) -> np.ndarray:
     return v if step == w else np.minimum(v[: len(v) - (w - step)], v[w - step :])
 
 
+def _anchors(hashes: np.ndarray, w: int) -> np.ndarray:
+    """For every i, the place of the least of hashes[i : i + w], the leftmost of equals. All but the last ``PLACE_BITS`` bits of
+    a hash count, whatever the size of the slice: longer ones are gone through in stretches."""
+    mask = np.uint64((1 << PLACE_BITS) - 1)
+    step = (1 << PLACE_BITS) - w
+    out = [np.zeros(0, np.int64)]
+    for lo in range(0, len(hashes) - w + 1, step):
+        h = hashes[lo : lo + step + w - 1]
+        out.append((_sliding_least((h & ~mask) | np.arange(len(h), dtype=np.uint64), w) & mask).astype(np.int64) + lo)
+    return np.concatenate(out)
+
+
 def _segments(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Segments of consecutive texts: text, first window's start (in buf), number of windows, anchor hash, hash of all bytes."""
     none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
@@ -57,8 +70,7 @@ def _segments(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
     sums = _text.prefix_sums(buf)
     at = np.arange(len(buf) - gram + 1)
     hashes = _text.span_hash(sums, at, at + gram)
-    mask = np.uint64((1 << max(22, int(len(buf)).bit_length())) - 1)
-    anchor = (_sliding_least((hashes & ~mask) | at.astype(np.uint64), length - gram + 1) & mask).astype(np.int64)
+    anchor = _anchors(hashes, length - gram + 1)
     # Windows that lie within one text.
     windows = np.maximum(sizes - length + 1, 0)
     text = np.repeat(np.arange(len(sizes)), windows)
@@ -285,18 +297,20 @@ def _repeats(length: int):
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``(doc_id, start, end)``: bytes that are in a ``length``-byte string with an earlier occurrence; spans overlap."""
+    if not 0 <= length - gram < 255:
+        raise ValueError("a window may hold 1 to 255 anchors")
     read = identified(docs)
-    marks = read.mapInArrow(_marker(length, gram), "anchor long, doc_id long, mark long")
+    marks = written(read.mapInArrow(_marker(length, gram), "anchor long, doc_id long, mark long"), "marks")
     open_ = F.col("mark").bitwiseAND(F.lit(1)) == 0
-    several = marks.withColumn("n", F.count(F.when(open_, 1)).over(Window.partitionBy("anchor")))
+    counts = marks.where(open_).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     most = BLOCK_BYTES // (2 * length - gram)  # segments of the greatest size in a block
-    marked = written(several.where((F.col("n") > 1) | ~open_).withColumn("hot", F.col("n") > most).drop("n"), "marks")
-    lists = marked.where(open_).groupBy("doc_id").agg(F.array_distinct(F.collect_list(F.struct("anchor", "mark", "hot"))).alias("marks"))
+    marked = marks.where(open_).join(counts, "anchor").select("doc_id", "anchor", "mark", (F.col("n") > most).alias("hot"))
+    lists = marked.groupBy("doc_id").agg(F.array_distinct(F.collect_list(F.struct("anchor", "mark", "hot"))).alias("marks"))
     cut = read.join(lists, "doc_id").mapInArrow(_cutter(length), _CUT)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = cut.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id", "lo").mapInArrow(_repeats(length), "doc_id long, start long, end long")
     lo, n = F.shiftrightunsigned("mark", 9), F.shiftrightunsigned("mark", 1).bitwiseAND(F.lit(255))
-    sent = marked.where(~open_).select("doc_id", lo.alias("start"), (lo + n + (length - 1)).alias("end"))
+    sent = marks.where(~open_).select("doc_id", lo.alias("start"), (lo + n + (length - 1)).alias("end"))
     return found.unionByName(sent)
 
 
