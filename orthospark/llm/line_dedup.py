@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ._tables import identified, written
 
 DIVISOR = 3
+SALTS = 8
 _BASE, _PRIME = 257, 2147483647
 
 
@@ -37,27 +38,32 @@ def _lines_of(k: Column) -> Column:
     return F.slice("lines", start + 1, F.element_at("ends", k + 1) - start)
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, place and text of every chunk with at least two lines that hold a word."""
-    each = lambda k: F.struct(k.alias("place"), _lines_of(k).alias("lines"))
+def _chunks(docs: DataFrame, places: Column | None = None) -> DataFrame:
+    """doc_id, place and text of every chunk with at least two lines that hold a word, or of those at ``places``."""
+    each = lambda k: F.struct(k.cast("int").alias("place"), _lines_of(k).alias("lines"))
     with_word = F.size(F.filter("chunk.lines", lambda l: l.rlike("[^\\x20\\x09-\\x0D]")))
-    rows = _chunked(docs).select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("ends") - 1), each)).alias("chunk"))
+    at = F.sequence(F.lit(0), F.size("ends") - 1) if places is None else places
+    rows = _chunked(docs).select("doc_id", F.explode(F.transform(at, each)).alias("chunk"))
     return rows.where(F.size("chunk.lines") > 1).where(with_word > 1).select("doc_id", "chunk.place", F.array_join("chunk.lines", "\n").alias("chunk"))
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """``(doc_id, places)``: places of the chunks that repeat an earlier one, per document that has any."""
-    chunks = _chunks(identified(docs)).withColumn("key", F.xxhash64("chunk"))
-    twice = chunks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    may = written(chunks.join(twice, "key"), "chunks")
-    first = may.groupBy("key", "chunk").agg(F.min(F.struct("doc_id", "place")).alias("first"))
-    same = may.join(first, ["key", "chunk"]).where(F.struct("doc_id", "place") > F.col("first"))
+    """``(doc_id, places)``: places of the chunks that repeat an earlier one, per document that has any.
+
+    Keys are counted first; only chunks whose key occurs twice are sent with their text, and a common one's rows are dealt over ``SALTS`` parts."""
+    read = identified(docs)
+    keys = written(_chunks(read).select("doc_id", "place", F.xxhash64("chunk").alias("key")), "keys")
+    twice = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    some = keys.join(twice, "key").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    may = written(_chunks(read.join(some, "doc_id"), F.col("places")).withColumn("key", F.xxhash64("chunk")), "chunks")
+    first = may.groupBy("key", "chunk").agg(F.min(F.struct("doc_id", "place")).alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = may.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(first, ["key", "salt", "chunk"]).where(F.struct("doc_id", "place") > F.col("first"))
     return written(same.groupBy("doc_id").agg(F.collect_set("place").alias("places")), "repeated")
 
 
 def _left() -> Column:
     """Lines of the chunks that aren't in places."""
-    kept = F.filter(F.sequence(F.lit(0), F.size("ends") - 1), lambda k: ~F.array_contains("places", k))
+    kept = F.filter(F.sequence(F.lit(0), F.size("ends") - 1), lambda k: ~F.array_contains("places", k.cast("int")))
     return F.flatten(F.transform(kept, _lines_of))
 
 
