@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import lower_ascii
+from ._tables import lower_ascii, written
 
 #: (host, path, verdict); the longest that fits decides.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -58,7 +58,7 @@ def _strength(level: DataFrame) -> DataFrame:
 def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     """host and the lower bound of its rate of bad pages, for every host of the pages, or none without outcomes; ``outcomes(page_id, bad)``."""
     found = _parts(pages).join(outcomes.select("page_id", "bad"), "page_id", "left")
-    hosts = found.groupBy("host", "domain", "suffix").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
+    hosts = written(found.groupBy("host", "domain", "suffix").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad")), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     shrunk = lambda prior: (F.col("bad") + F.col("strength") * prior) / (F.col("n") + F.col("strength"))
@@ -93,7 +93,7 @@ def _case(value) -> str:
 def _strength_sql(level: str) -> str:
     return f"""SELECT rate, CASE WHEN rho > 0 THEN least({MOST_STRENGTH}, greatest({LEAST_STRENGTH}, 1 / rho - 1)) ELSE {MOST_STRENGTH} END AS strength FROM (
     SELECT rate, (r - b * rate - rate * (1 - rate) * (k - 1)) / nullif(rate * (1 - rate) * (m - q / m - (k - 1)), 0) AS rho FROM (
-      SELECT sum(n) AS m, sum(bad) AS b, count(*) AS k, sum(n * n) AS q, sum(bad * bad / n) AS r, sum(bad) / sum(n) AS rate FROM {level}) WHERE m > 0)"""
+      SELECT sum(n) AS m, sum(bad) AS b, count(*) AS k, sum(n * n) AS q, sum(bad * bad / n) AS r, sum(bad) / sum(n) AS rate FROM {level} WHERE n > 0) WHERE m > 0)"""
 
 
 ORACLE = f"""
@@ -102,7 +102,7 @@ WITH split AS (
 parts AS (SELECT *, array_to_string(list_reverse(list_slice(list_reverse(string_split(host, '.')), 1, 2)), '.') AS domain, list_reverse(string_split(host, '.'))[1] AS suffix FROM split),
 named AS (SELECT DISTINCT page_id, TRY_CAST(nullif(regexp_extract(path, '^/[^/]+/([0-9]+)', 1), '') AS BIGINT) AS doc FROM parts),
 outcomes AS (SELECT page_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM named JOIN (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) l ON doc = doc_id GROUP BY page_id),
-hosts AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM parts JOIN outcomes USING (page_id) GROUP BY ALL),
+hosts AS (SELECT host, domain, suffix, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM parts LEFT JOIN outcomes USING (page_id) GROUP BY ALL),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
 s1 AS ({_strength_sql("suffixes")}), s2 AS ({_strength_sql("domains")}), s3 AS ({_strength_sql("hosts")}),
