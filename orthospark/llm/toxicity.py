@@ -194,7 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled:
     toxic, other = counts[:, -1]
     if not toxic or not other:
         return None
-    m = Model(counts[0], counts[1], float(toxic / (toxic + other)))
+    base = float(toxic / (toxic + other))
+    m = Model(counts[0], counts[1], base, shift=float(np.log(base / (1 - base))))  # without documents to calibrate, no evidence means the base rate
 
     held = sample.where(calibrates).select("toxic", "text").mapInArrow(_segmenter(spark.sparkContext.broadcast(m), ["toxic"], True), f"toxic int, n_tokens long, segments {_SEGMENTS}, token_scores array<double>")
     held = held.select("toxic", "n_tokens", F.transform("segments", lambda s: s["score"]).alias("scores"), "token_scores")
