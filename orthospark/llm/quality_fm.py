@@ -7,7 +7,8 @@ metadata where there is one. Pairs interact through rank-``RANK`` vectors; scori
 features by the identity  sum of pairs = (square of sum - sum of squares) / 2.
 
 The machine is fitted by AdaGrad on at most ``MAX_LABELLED`` labelled documents (smallest hash of the
-id first, a documented bound). The model's size is fixed, so it can be sent to every task.
+id first, a documented bound): what comes to the driver is two bytes for each of their distinct cells. The model's size is fixed, so it
+can be sent to every task.
 
 Null and empty texts have structure features only, and are scored. Labels that are null or name no
 document are ignored; of repeated labels the largest counts. Without labels of both kinds
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,7 +133,7 @@ def train(cells: np.ndarray, first: np.ndarray, stats: np.ndarray, y: np.ndarray
         order = rng.permutation(len(y))
         for lo in range(0, len(y), 64):
             some = order[lo : lo + 64]
-            part = np.concatenate([cells[first[i] : first[i + 1]] for i in some]) if len(cells) else cells
+            part = (np.concatenate([cells[first[i] : first[i + 1]] for i in some]) if len(cells) else cells).astype(np.int64)
             bounds = np.concatenate([[0], np.cumsum(first[some + 1] - first[some])])
             f, x, starts = _rows(part, bounds, stats[some], m.mean, m.spread)
             raw, sums = _raw(m, f, x, starts)
@@ -166,12 +168,13 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED) -> Machine | float:
     """A machine, or the score all get where the labels aren't of both kinds."""
     sample = labelled_ids(labels, label, max_labelled).withColumnRenamed(label, "label")
-    rows = _described(docs).join(F.broadcast(sample), "doc_id").mapInArrow(_extract, "label int, cells array<short>, stats array<double>").toPandas()
-    y = rows.label.to_numpy(float)
+    rows = _described(docs).join(F.broadcast(sample), "doc_id").mapInArrow(_extract, "label int, cells array<short>, stats array<double>").toArrow().combine_chunks()
+    y = rows["label"].to_numpy().astype(float)
     if len(set(y)) < 2:
         return float(y.mean()) if len(y) else 0.5
-    first = np.concatenate([[0], np.cumsum([len(c) for c in rows.cells])])
-    return train(np.concatenate(list(rows.cells)).astype(np.int64), first, np.stack(list(rows.stats)), y)
+    lists = rows["cells"].combine_chunks()
+    first = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+    return train(lists.flatten().to_numpy(), first, rows["stats"].combine_chunks().flatten().to_numpy().reshape(-1, N_STATS), y)
 
 
 def _scorer(model):
