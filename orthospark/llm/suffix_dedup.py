@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
@@ -300,17 +300,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     if not 0 <= length - gram < 255:
         raise ValueError("a window may hold 1 to 255 anchors")
     read = identified(docs)
-    marks = written(read.mapInArrow(_marker(length, gram), "anchor long, doc_id long, mark long"), "marks")
+    marks = read.mapInArrow(_marker(length, gram), "anchor long, doc_id long, mark long")
     open_ = F.col("mark").bitwiseAND(F.lit(1)) == 0
-    counts = marks.where(open_).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    # One shuffle of numbers; repeats that are settled lie apart from the anchors.
+    several = marks.withColumn("n", F.count(F.when(open_, 1)).over(Window.partitionBy("anchor")))
     most = BLOCK_BYTES // (2 * length - gram)  # segments of the greatest size in a block
-    marked = marks.where(open_).join(counts, "anchor").select("doc_id", "anchor", "mark", (F.col("n") > most).alias("hot"))
-    lists = marked.groupBy("doc_id").agg(F.array_distinct(F.collect_list(F.struct("anchor", "mark", "hot"))).alias("marks"))
+    marked = written(several.where((F.col("n") > 1) | ~open_).withColumn("hot", F.col("n") > most).drop("n"), "marks")
+    lists = marked.where(open_).groupBy("doc_id").agg(F.array_distinct(F.collect_list(F.struct("anchor", "mark", "hot"))).alias("marks"))
     cut = read.join(lists, "doc_id").mapInArrow(_cutter(length), _CUT)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = cut.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id", "lo").mapInArrow(_repeats(length), "doc_id long, start long, end long")
     lo, n = F.shiftrightunsigned("mark", 9), F.shiftrightunsigned("mark", 1).bitwiseAND(F.lit(255))
-    sent = marks.where(~open_).select("doc_id", lo.alias("start"), (lo + n + (length - 1)).alias("end"))
+    sent = marked.where(~open_).select("doc_id", lo.alias("start"), (lo + n + (length - 1)).alias("end"))
     return found.unionByName(sent)
 
 
