@@ -54,7 +54,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     read = identified(docs)
     keys = written(_chunks(read).select("doc_id", "place", F.xxhash64("chunk").alias("key")), "keys")
     twice = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    some = keys.join(twice, "key").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    # Written first, so that Spark knows its size: it is sent to the texts where it is small, and met by a shuffle where not.
+    some = written(keys.join(twice, "key").groupBy("doc_id").agg(F.collect_set("place").alias("places")), "repeating")
     may = written(_chunks(read.join(some, "doc_id"), F.col("places")).withColumn("key", F.xxhash64("chunk")), "chunks")
     first = may.groupBy("key", "chunk").agg(F.min(F.struct("doc_id", "place")).alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     same = may.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(first, ["key", "salt", "chunk"]).where(F.struct("doc_id", "place") > F.col("first"))

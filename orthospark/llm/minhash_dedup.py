@@ -138,54 +138,62 @@ def _linked(common: Column, n: str, m: str, percent: int) -> Column:
 def _grouped(classes: DataFrame) -> DataFrame:
     """``(hub, id, n)``: for every bucket its hub with each other member; buckets of one hub make one group."""
     rows = classes.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("bucket"))
-    shared = written(rows.join(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket"), "buckets")
-    weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
-    hubs = shared.join(weight, "id").groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), F.col("id").alias("id")))["id"].alias("hub"))
+    # All sides grow with the documents, so they are merged at every size.
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").hint("merge")
+    shared = written(rows.join(sizes, "bucket"), "buckets")
+    weight = shared.groupBy("id").agg(F.sum("size").alias("weight")).hint("merge")
+    hubs = shared.join(weight, "id").groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), F.col("id").alias("id")))["id"].alias("hub")).hint("merge")
     return written(shared.join(hubs, "bucket").where("id != hub").groupBy("hub", "id").agg(F.first("n").alias("n")), "members")
 
 
-def _open(left: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+def _open(left: DataFrame, percent: int) -> DataFrame:
     """Of the members the ones that another member may still be linked with: those of groups that
-    span several components (as far as one contraction tells), if shingles no other member has leave room for it."""
-    labels = written(contracted(links), "labels")
-    at = left.join(labels, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
-    by_root = at.groupBy("hub", "root").agg(F.count("*").alias("k"), F.min("n").alias("least"), F.max("reach").alias("farthest"))
+    span several components, if shingles no other member has leave room for it."""
+    by_root = left.groupBy("hub", "root").agg(F.count("*").alias("k"), F.min("n").alias("least"), F.max("reach").alias("farthest"))
     groups = by_root.groupBy("hub").agg(F.count("*").alias("roots"), (F.sum("k") - F.max("k")).alias("outside"), F.max_by("root", "k").alias("main"), F.min("least").alias("least"), F.max("farthest").alias("farthest"))
     may = (F.col("reach") >= percent * F.col("least")) & (percent * F.col("n") <= F.col("farthest"))
-    return at.join(groups.where("roots > 1"), "hub").where(may).drop("roots", "least", "farthest")
+    return left.join(groups.where("roots > 1"), "hub").where(may).drop("roots", "least", "farthest")
 
 
 def _further_links(views: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """``links`` and those between members of a group, neither of them its hub, that join different components.
+    """``links`` and those between members of a group, neither of them its hub, that join different components (as far as
+    one contraction a round tells).
 
-    Every round some members of each open group become hubs, twice as many as in the round before: all that are outside the
+    Every round some members of each open group become hubs, four times as many as in the round before: all that are outside the
     group's main component once they are few, else those with the fewest shingles of their own. They are compared with
     the members of other components and then leave, since every pair of theirs is decided. What two members share follows exactly from how both
     differ from the group's hub, so no text is read again."""
-    first = _open(views.withColumn("reach", F.lit(1 << 40)), links, percent).select("hub").distinct()
-    of_open = written(views.join(first, "hub", "left_semi"), "open")
+    labels = written(contracted(links), "labels")
+    rooted = views.join(labels, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+    several = rooted.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("hub")
+    of_open = written(rooted.join(several, "hub", "left_semi"), "open")
     alone = of_open.select("hub", "id", F.explode("own").alias("s")).groupBy("hub", "s").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("hub", "id").agg(F.count("*").alias("alone"))
     left = of_open.join(alone, ["hub", "id"], "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
     # percent * (size of the other) can't be more than this: shingles that are alone in the group aren't shared.
     left = left.withColumn("reach", 100 * F.col("n") - (100 + percent) * F.col("alone")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    many = 4
+    many, new = 4, None
     while True:
-        left = written(_open(left.drop("root", "outside", "main"), links, percent), "open")
+        if new is not None:
+            moved = contracted(new.select(F.least("root", "h_root").alias("u"), F.greatest("root", "h_root").alias("v")).distinct()).select("node", F.col("root").alias("to"))
+            left = left.join(moved, F.col("root") == F.col("node"), "left").withColumn("root", F.coalesce("to", "root")).drop("node", "to")
+        left = written(_open(left, percent), "open")
         if left.isEmpty():
             return links
         few = F.col("outside") <= many
         chosen = left.where(~few | (F.col("root") != F.col("main"))).groupBy("hub", F.when(few, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(many))).alias("draw"))
         as_hub = F.struct(F.col("id").alias("h"), F.col("n").alias("hn"), F.col("reach").alias("hr"), F.col("root").alias("h_root"), F.col("lacks").alias("hl"), F.col("own").alias("ho"))
         hubs = written(chosen.agg(F.min_by(as_hub, F.struct("alone", "id")).alias("x")).select("hub", "x.*"), "hubs")
+        left = left.drop("outside", "main")
         # A large group is dealt over SALTS parts; its hubs go to each.
         sent = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         at_most = F.col("hub_n") - F.greatest(F.size("lacks"), F.size("hl")) + F.least(F.size("own"), F.size("ho"))
         shared = F.col("hub_n") - F.size(F.array_union("lacks", "hl")) + F.size(F.array_intersect("own", "ho"))
         near = (F.col("root") != F.col("h_root")) & (percent * F.col("n") <= F.col("hr")) & (percent * F.col("hn") <= F.col("reach"))
         found = left.alias("l").join(sent.alias("s"), (F.col("l.hub") == F.col("s.hub")) & (F.col("l.salt") == F.col("s.salt")) & near & _linked(at_most, "n", "hn", percent) & _linked(shared, "n", "hn", percent))
-        links = links.unionByName(written(found.select(F.least("id", "h").alias("u"), F.greatest("id", "h").alias("v")).distinct(), "links"))
+        new = written(found.select(F.least("id", "h").alias("u"), F.greatest("id", "h").alias("v"), "root", "h_root").distinct(), "links")
+        links = links.unionByName(new.select("u", "v"))
         left = left.join(hubs.select("hub", F.col("h").alias("id")), ["hub", "id"], "left_anti")
-        many *= 2
+        many *= 4
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
