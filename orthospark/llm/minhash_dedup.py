@@ -127,7 +127,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     what the other has of its own."""
     x = sets.select(F.col("id").alias("hub"), F.col("shingles").alias("sx"))
     y = sets.select("id", F.col("shingles").alias("sy"))
-    both = pairs.join(x, "hub").join(y, "id").withColumn("lacks", F.array_except("sx", "sy"))
+    both = pairs.join(x.hint("merge"), "hub").join(y.hint("merge"), "id").withColumn("lacks", F.array_except("sx", "sy"))
     return both.select("hub", "id", "n", F.size("sx").alias("hub_n"), (F.size("sx") - F.size("lacks")).alias("common"), "lacks", F.array_except("sy", "sx").alias("own"))
 
 
@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     # Documents with equal sets have equal bands: whichever comes first will do.
     classes = written(marks.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     members = _grouped(classes)
-    wanted = members.select(F.explode(F.array("hub", "id")).alias("doc_id")).distinct()
+    wanted = members.select(F.explode(F.array("hub", "id")).alias("doc_id")).distinct().hint("merge")
     sets = written(read.join(wanted, "doc_id", "left_semi").mapInArrow(_setter(words), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
     views = written(_compared(members, sets), "views")
     links = views.where(_linked(F.col("common"), "hub_n", "n", percent)).select(F.least("hub", "id").alias("u"), F.greatest("hub", "id").alias("v"))
