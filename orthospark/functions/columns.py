@@ -165,3 +165,16 @@ def turned(data: Column, height: int, width: int, channels: int, turn: str) -> C
         "270": lambda k: (height - 1 - x(k)) * width + y(k),
     }[turn]
     return F.transform(F.sequence(F.lit(0), F.lit(rows * cols * channels - 1)), lambda k: F.element_at(data, (source(k) * channels + k % channels + 1).cast("int")))
+
+
+def drawn_turns(key: Column, seed: str) -> Column:
+    """Flips (h, v) and quarter turns (0 to 3) drawn from a key and a seed, to be applied to a tile and its mask alike."""
+    digit = lambda what: F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}|{what}"))), 1, 1), 16, 10).cast("int")
+    return F.struct((digit("h") < 8).alias("h"), (digit("v") < 8).alias("v"), (digit("t") % 4).alias("turn"))
+
+
+def turned_as_drawn(data: Column, size: int, channels: int, draw: Column) -> Column:
+    """A square interleaved tile after the flips and the turn of :func:`drawn_turns`."""
+    flat = F.when(draw["h"], turned(data, size, size, channels, "h")).otherwise(data)
+    flat = F.when(draw["v"], turned(flat, size, size, channels, "v")).otherwise(flat)
+    return F.when(draw["turn"] == 1, turned(flat, size, size, channels, "90")).when(draw["turn"] == 2, turned(flat, size, size, channels, "180")).when(draw["turn"] == 3, turned(flat, size, size, channels, "270")).otherwise(flat)

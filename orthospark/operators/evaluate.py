@@ -159,9 +159,11 @@ def k_mean(scores: DataFrame, k: int, by: str, largest: bool, name: str) -> Data
     return scores.where(F.col("score").isNotNull()).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).groupBy(by).agg(F.avg("score").alias(name))
 
 
-def apply_thresholds(scores: DataFrame, thresholds: DataFrame, lower: str = "all_case_1", upper: str = "all_case_2") -> DataFrame:
-    """Scores with one lower and one upper limit, and their verdict; thresholds: clsname, threshold."""
-    limits = thresholds.agg(F.max(F.when(F.col("clsname") == lower, F.col("threshold"))).alias("lower"), F.max(F.when(F.col("clsname") == upper, F.col("threshold"))).alias("upper"))
+def apply_thresholds(scores: DataFrame, thresholds: DataFrame, lower: str = "all_case_1", upper: str = "all_case_2", space: str = "reference") -> DataFrame:
+    """Scores with one lower and one upper limit, and their verdict; thresholds: clsname, threshold. ``space`` raw takes
+    raw_threshold, for scores that weren't turned."""
+    at = F.col({"reference": "threshold", "raw": "raw_threshold"}[space])
+    limits = thresholds.agg(F.max(F.when(F.col("clsname") == lower, at)).alias("lower"), F.max(F.when(F.col("clsname") == upper, at)).alias("upper"))
     return scores.crossJoin(F.broadcast(limits)).withColumn("verdict", verdict(F.col("score"), F.col("lower"), F.col("upper")))  # limits: one row
 
 

@@ -21,22 +21,21 @@ RASTER = ["raster_id"]
 
 
 def runs(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Set cells with the start x of their run in the row."""
+    """Set cells with the start x of their run in the row, and a number that only that run has once the rows are written."""
     row = Window.partitionBy(*keys, "y").orderBy("x")
-    grouped = cells.where("v = 1").withColumn("__g", F.col("x") - F.row_number().over(row))
-    return grouped.withColumn("run", F.min("x").over(Window.partitionBy(*keys, "y", "__g"))).drop("__g")
+    grouped = cells.where("v = 1").withColumn("__id", F.monotonically_increasing_id()).withColumn("__g", F.col("x") - F.row_number().over(row))
+    run = Window.partitionBy(*keys, "y", "__g")
+    return grouped.withColumn("run", F.min("x").over(run)).withColumn("id", F.min("__id").over(run)).drop("__g", "__id")
 
 
 def label_components(cells: DataFrame, conn: int = 4, keys: list[str] = RASTER) -> DataFrame:
     """Set cells with comp_id: the least y * width + x of their 4- or 8-connected region."""
     on = written(runs(cells, keys), "runs")
-    node = F.xxhash64(*keys, "y", "run")
-    spans = on.groupBy(*keys, "y", "run").agg(F.max("x").alias("last")).withColumn("id", node)
-    below = spans.select(*keys, (F.col("y") - 1).alias("y"), F.col("run").alias("run2"), F.col("last").alias("last2"), F.col("id").alias("id2"))
-    reach = 1 if conn == 8 else 0
-    touch = (F.col("run") <= F.col("last2") + reach) & (F.col("run2") <= F.col("last") + reach)
-    edges = spans.join(below, [*keys, "y"]).where(touch).select(F.col("id").alias("u"), F.col("id2").alias("v"))
-    found = on.withColumn("id", node).join(connected(edges), F.col("id") == F.col("node"), "left").withColumn("__root", F.coalesce("root", "id")).drop("id", "node", "root", "run")
+    # A cell meets those it touches in the next row, so the join grows with the cells and never pairs the runs of a row.
+    aside = F.array(*[F.col("x") + d for d in ((-1, 0, 1) if conn == 8 else (0,))])
+    below = on.select(*keys, (F.col("y") - 1).alias("y"), "x", F.col("id").alias("v"))
+    edges = on.select(*keys, "y", F.explode(aside).alias("x"), F.col("id").alias("u")).join(below, [*keys, "y", "x"]).select("u", "v").distinct()
+    found = on.join(connected(edges), F.col("id") == F.col("node"), "left").withColumn("__root", F.coalesce("root", "id")).drop("id", "node", "root", "run")
     width = cells.groupBy(*keys).agg((F.max("x") + 1).alias("__w"))
     place = F.col("y").cast("long") * F.col("__w") + F.col("x")
     first = found.join(width, keys).groupBy(*keys, "__root").agg(F.min(place).alias("comp_id"))
@@ -99,8 +98,8 @@ def fill_small_holes(cells: DataFrame, share: float) -> DataFrame:
 def fill_holes(cells: DataFrame) -> DataFrame:
     """Background regions that touch no side of the raster become set."""
     back = written(label_components(cells.withColumn("v", 1 - F.col("v")), 4), "holes")
-    sides = cells.groupBy(*RASTER).agg(F.max("y").alias("__h"), F.max("x").alias("__w"))
-    outer = back.join(sides, RASTER).where((F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == F.col("__h")) | (F.col("x") == F.col("__w"))).select(*RASTER, "comp_id").distinct()
+    sides = cells.groupBy(*RASTER).agg(F.min("y").alias("__t"), F.max("y").alias("__b"), F.min("x").alias("__l"), F.max("x").alias("__r"))
+    outer = back.join(sides, RASTER).where(F.col("y").isin(F.col("__t"), F.col("__b")) | F.col("x").isin(F.col("__l"), F.col("__r"))).select(*RASTER, "comp_id").distinct()
     inner = remove_labels(back, outer).select(*RASTER, "y", "x")
     return painted(cells, cells.where("v = 1").select(*RASTER, "y", "x").unionByName(inner))
 
@@ -115,18 +114,28 @@ def filter_regions(cells: DataFrame, least_share: float, least_circularity: floa
     return painted(cells, labelled.join(props.where(fits | (F.col("area") == F.col("__top"))), [*RASTER, "comp_id"], "left_semi"))
 
 
-def _grown(cells: DataFrame, segments: DataFrame, grow) -> DataFrame:
-    """Set cells of each segment after ``grow`` on the raster with that segment alone (raster_id, comp_id, y, x)."""
-    ids = segments.select(*RASTER, "comp_id").distinct()
-    alone = cells.select(*RASTER, "y", "x").join(ids, RASTER).join(segments.select(*RASTER, "comp_id", "y", "x").withColumn("__on", F.lit(1)), [*RASTER, "comp_id", "y", "x"], "left")
-    return grow(alone.withColumn("v", F.coalesce("__on", F.lit(0))).drop("__on"), [*RASTER, "comp_id"]).where("v = 1")
+def _framed(cells: DataFrame, segments: DataFrame, reach: int, key: list[str]) -> DataFrame:
+    """Each segment, rows (key, y, x), alone on its own bounding box with ``reach`` more cells of the raster around: v is 1 on it.
+    Rows follow the segments' boxes, not the raster's size times their number."""
+    sides = cells.groupBy(*RASTER).agg(F.max("y").alias("__h"), F.max("x").alias("__w"))
+    boxes = segments.groupBy(*key).agg(F.min("y").alias("__t"), F.max("y").alias("__b"), F.min("x").alias("__l"), F.max("x").alias("__r")).join(sides, RASTER)
+    span = lambda a, b, most: F.sequence(F.greatest(F.col(a) - reach, F.lit(0)), F.least(F.col(b) + reach, F.col(most)))
+    frame = boxes.withColumn("y", F.explode(span("__t", "__b", "__h"))).withColumn("x", F.explode(span("__l", "__r", "__w"))).select(*key, "y", "x")
+    on = segments.select(*key, "y", "x").withColumn("__on", F.lit(1))
+    return frame.join(on, [*key, "y", "x"], "left").withColumn("v", F.coalesce("__on", F.lit(0))).drop("__on")
+
+
+def _grown(cells: DataFrame, segments: DataFrame, reach: int, grow) -> DataFrame:
+    """Set cells of each segment after ``grow``, which moves its border by at most ``reach`` (raster_id, comp_id, y, x)."""
+    key = [*RASTER, "comp_id"]
+    return grow(_framed(cells, segments, reach, key), key).where("v = 1")
 
 
 def drop_nodata_segments(cells: DataFrame, nodata: DataFrame, most_share: float, border: int, least_area: int = 20_000) -> DataFrame:
     """Regions (4-connected) that are too small, or of whose box-dilated form too much has no data, go.
     nodata: (raster_id, y, x, nodata)."""
     labelled = written(label_components(cells, 4), "regions")
-    grown = _grown(cells, labelled, lambda m, keys: dilate(m, border, keys)).join(nodata, [*RASTER, "y", "x"])
+    grown = _grown(cells, labelled, border, lambda m, keys: dilate(m, border, keys, mirrored=True)).join(nodata, [*RASTER, "y", "x"])
     share = grown.groupBy(*RASTER, "comp_id").agg(F.avg(F.col("nodata").cast("int")).alias("share"))
     keep = region_areas(labelled).join(share, [*RASTER, "comp_id"]).where((F.col("area") >= least_area) & (F.col("share") <= most_share))
     return painted(cells, labelled.join(keep, [*RASTER, "comp_id"], "left_semi"))
@@ -135,15 +144,15 @@ def drop_nodata_segments(cells: DataFrame, nodata: DataFrame, most_share: float,
 def keep_low_nodata_segments(cells: DataFrame, nodata: DataFrame, radius: int, most_cells: int = 15_000, most_share: float = 0.15, **split) -> DataFrame:
     """Parts after splitting whose cross-dilated, filled form has little without data."""
     parts = written(split_weak_bridges(cells, **split), "parts")
-    grown = written(_grown(cells, parts, lambda m, keys: l1_dilate(m, radius, keys)), "grown")
-    ids = parts.select(*RASTER, "comp_id").distinct()
-    boards = cells.select(*RASTER, "y", "x").join(ids, RASTER).withColumn("__r", F.concat_ws("|", "raster_id", F.col("comp_id").cast("string")))
-    board = boards.join(grown.select(*RASTER, "comp_id", "y", "x").withColumn("__on", F.lit(1)), [*RASTER, "comp_id", "y", "x"], "left")
-    one = board.select(F.col("__r").alias("raster_id"), "y", "x", F.coalesce("__on", F.lit(0)).alias("v"))
-    filled = fill_holes(written(one, "boards")).where("v = 1").withColumnRenamed("raster_id", "__r")
-    counted = filled.join(boards.select("__r", *RASTER, "comp_id").distinct(), "__r").join(nodata, [*RASTER, "y", "x"]).groupBy(*RASTER, "comp_id").agg(F.count_if("nodata").alias("n"), F.avg(F.col("nodata").cast("int")).alias("share"))
+    grown = written(_grown(cells, parts, radius, lambda m, keys: l1_dilate(m, radius, keys)), "grown")
+    key = [*RASTER, "comp_id"]
+    # One cell more around each grown form: what isn't enclosed by it reaches that frame.
+    boards = _framed(cells, grown, 1, key).withColumn("__r", F.to_json(F.struct(*key)))
+    filled = fill_holes(written(boards.select(F.col("__r").alias("raster_id"), "y", "x", "v"), "boards")).where("v = 1").withColumnRenamed("raster_id", "__r")
+    names = grown.select(*key).distinct().withColumn("__r", F.to_json(F.struct(*key)))
+    counted = filled.join(names, "__r").join(nodata, [*RASTER, "y", "x"]).groupBy(*key).agg(F.count_if("nodata").alias("n"), F.avg(F.col("nodata").cast("int")).alias("share"))
     keep = counted.where((F.col("n") <= most_cells) & (F.col("share") <= most_share))
-    return painted(cells, parts.join(keep, [*RASTER, "comp_id"], "left_semi"))
+    return painted(cells, parts.join(keep, key, "left_semi"))
 
 
 def segment_spread(labelled: DataFrame, cells: DataFrame) -> DataFrame:
@@ -201,7 +210,7 @@ def split_weak_bridges(cells: DataFrame, most_width: int, least_share: float, de
     for _ in range(depth):
         split = None
         for k in range(3, most_width + 1, 2):
-            frame = cells.select(*RASTER, "y", "x").join(found.select(*key).distinct(), RASTER).join(found.withColumn("__on", F.lit(1)), [*key, "y", "x"], "left").withColumn("v", F.coalesce("__on", F.lit(0))).drop("__on")
+            frame = _framed(cells, found, k, key)
             core = written(label_components(erode(frame, k, key), 8, key), "cores")
             sizes = core.groupBy(*key, "comp_id").agg(F.count("*").alias("n"))
             large = sizes.withColumn("all", F.sum("n").over(Window.partitionBy(*key))).where(F.col("n") >= F.floor(F.col("all") * least_share)).withColumn("parts", F.count("*").over(Window.partitionBy(*key))).where("parts > 1")
@@ -209,7 +218,7 @@ def split_weak_bridges(cells: DataFrame, most_width: int, least_share: float, de
             if large.isEmpty():
                 continue
             part = large.withColumn("new", F.concat_ws("/", "seg", F.col("comp_id").cast("string")))
-            board = frame.drop("v").join(part, key).join(core.select(*key, "comp_id", "y", "x").withColumn("__on", F.lit(1)), [*key, "comp_id", "y", "x"], "left").withColumn("v", F.coalesce("__on", F.lit(0)))
+            board = _framed(cells, core.join(part, [*key, "comp_id"]).select(*key, "new", "y", "x"), k, [*key, "new"])
             back = dilate(board, k, [*key, "new"]).where("v = 1").join(found, [*key, "y", "x"], "left_semi").select(*RASTER, "y", "x", F.col("new").alias("seg"))
             back = written(back, "parts")
             split = back if split is None else split.unionByName(back)
@@ -231,7 +240,7 @@ def candidate_segments(segments: DataFrame, image: DataFrame, least_share: float
     share = F.col("area") / F.col("total")
     keep = facts.where(((share >= least_share) | (F.col("area") >= 12_000)) & ((F.col("mean") / 255 >= least_value) | (share >= 0.3)))
     kept = segments.join(keep, [*RASTER, "seg_id"], "left_semi").select(*RASTER, F.col("seg_id").alias("comp_id"), "y", "x")
-    return painted(image.drop("v"), _grown(image, kept, lambda m, keys: erode(m, 3, keys)))
+    return painted(image.drop("v"), _grown(image, kept, 1, lambda m, keys: erode(m, 3, keys)))
 
 
 def accept_raster(cells: DataFrame, least_share: float = 0.08) -> DataFrame:

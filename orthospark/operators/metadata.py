@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orthospark.functions.columns import label, label_name
+from orthospark.functions.columns import label, label_name, one_class_label
 from orthospark.schema import CASES
 
 
@@ -46,6 +46,18 @@ def train_test_split(tiles: DataFrame, key: str, seed: str) -> DataFrame:
     return ranked.withColumn("split", F.when(test, "test").otherwise("train")).drop("__n", "move")
 
 
+def complete_sites(tiles: DataFrame) -> DataFrame:
+    """Tiles of sites that have normal tiles and tiles of every case; the others are left out."""
+    sets = tiles.where(F.col("case").isin("normal", *CASES)).groupBy("orchard").agg(F.count_distinct("case").alias("__n")).where(F.col("__n") == 1 + len(CASES))
+    return tiles.join(sets, "orchard", "left_semi")
+
+
+def one_class_rows(rows: DataFrame, cls: str, normals: list[int], split: str) -> DataFrame:
+    """Rows of a set of ten classes (10 stands for 0) with label 0 for the normal ones; the training side holds these alone."""
+    out = rows.withColumn(cls, F.when(F.col(cls) == 10, 0).otherwise(F.col(cls))).withColumn("label", one_class_label(F.col(cls), normals))
+    return out.where("label = 0") if split == "train" else out
+
+
 def attach_stats(rows: DataFrame, stats: DataFrame, site: str = "orchard") -> DataFrame:
     """Mean and deviation vectors of the row's site; null where it has none."""
     vectors = stats.groupBy(site).agg(F.array_sort(F.collect_list(F.struct("b", "mean", "std"))).alias("__s"))

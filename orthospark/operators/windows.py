@@ -9,23 +9,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _reach(k: int) -> tuple[int, int]:
-    """Offsets that a kernel of width k covers, around its anchor k // 2."""
-    return -(k // 2), k - 1 - k // 2
+def _reach(k: int, mirrored: bool = False) -> tuple[int, int]:
+    """Offsets that a kernel of width k covers, around its anchor k // 2, or the other way round."""
+    before, after = k // 2, k - 1 - k // 2
+    return (-after, before) if mirrored else (-before, after)
 
 
-def _row(keys: list[str], k: int):
-    return Window.partitionBy(*keys, "y").orderBy("x").rangeBetween(*_reach(k))
+def _row(keys: list[str], k: int, mirrored: bool = False):
+    return Window.partitionBy(*keys, "y").orderBy("x").rangeBetween(*_reach(k, mirrored))
 
 
-def _column(keys: list[str], k: int):
-    return Window.partitionBy(*keys, "x").orderBy("y").rangeBetween(*_reach(k))
+def _column(keys: list[str], k: int, mirrored: bool = False):
+    return Window.partitionBy(*keys, "x").orderBy("y").rangeBetween(*_reach(k, mirrored))
 
 
-def dilate(cells: DataFrame, k: int, keys: list[str], value: str = "v") -> DataFrame:
-    """Largest value over a k by k box of the cells there are; rows first, then columns."""
-    once = cells.withColumn("__row", F.max(value).over(_row(keys, k)))
-    return once.withColumn(value, F.max("__row").over(_column(keys, k))).drop("__row")
+def dilate(cells: DataFrame, k: int, keys: list[str], value: str = "v", mirrored: bool = False) -> DataFrame:
+    """Largest value over a k by k box of the cells there are; rows first, then columns. ``mirrored`` matters for even k only."""
+    once = cells.withColumn("__row", F.max(value).over(_row(keys, k, mirrored)))
+    return once.withColumn(value, F.max("__row").over(_column(keys, k, mirrored))).drop("__row")
 
 
 def erode(cells: DataFrame, k: int, keys: list[str], value: str = "v") -> DataFrame:

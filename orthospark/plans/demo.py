@@ -20,18 +20,19 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raster(spark: SparkSession, sf_dir: str, size: int = 64) -> DataFrame:
-    """Line items as dense rasters, one a return flag: the quantity sold at each (order, part) place."""
-    items = _table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("raster_id"), (F.col("l_orderkey") % size).cast("int").alias("y"), (F.col("l_partkey") % size).cast("int").alias("x"), F.col("l_quantity").alias("q"))
+    """Line items as dense rasters, one a return flag and 15,000 orders: the quantity sold at each (order, part) place."""
+    site = F.concat_ws("_", "l_returnflag", F.floor(F.col("l_orderkey") / 15_000).cast("string"))
+    items = _table(spark, sf_dir, "lineitem").select(site.alias("raster_id"), (F.col("l_orderkey") % size).cast("int").alias("y"), (F.col("l_partkey") % size).cast("int").alias("x"), F.col("l_quantity").alias("q"))
     sums = items.groupBy("raster_id", "y", "x").agg(F.sum("q").alias("q"))
     grid = items.select("raster_id").distinct().select("raster_id", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("y")).select("raster_id", "y", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("x"))
     return grid.join(sums, ["raster_id", "y", "x"], "left").select("raster_id", "y", "x", F.coalesce("q", F.lit(0.0)).alias("v"))
 
 
-def mask(spark: SparkSession, sf_dir: str, size: int = 64) -> DataFrame:
-    """The raster as 0/1: places whose quantity is above the mean of its raster."""
+def mask(spark: SparkSession, sf_dir: str, size: int = 64, times: int = 1) -> DataFrame:
+    """The raster as 0/1: places whose quantity is above so many times the mean of its raster."""
     cells = raster(spark, sf_dir, size)
     mean = cells.groupBy("raster_id").agg(F.round(F.avg("v"), 6).alias("__mean"))
-    return cells.join(mean, "raster_id").select("raster_id", "y", "x", F.when(F.col("v") > F.col("__mean"), 1).otherwise(0).alias("v"))
+    return cells.join(mean, "raster_id").select("raster_id", "y", "x", F.when(F.col("v") > times * F.col("__mean"), 1).otherwise(0).alias("v"))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ TILES_SQL = """tiles AS (SELECT vec_id AS tile_id, 'site_' || (label % 5) AS orc
 cells AS (SELECT tile_id, orchard, case_, (p - 1) // 8 AS y, (p - 1) % 8 AS x, v FROM (
   SELECT tile_id, orchard, case_, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS p FROM tiles))"""
 
-RASTER_SQL = """items AS (SELECT l_returnflag AS raster_id, (l_orderkey % 64)::INT AS y, (l_partkey % 64)::INT AS x, l_quantity AS q FROM lineitem),
+RASTER_SQL = """items AS (SELECT l_returnflag || '_' || (l_orderkey // 15000) AS raster_id, (l_orderkey % 64)::INT AS y, (l_partkey % 64)::INT AS x, l_quantity AS q FROM lineitem),
 raster AS (SELECT g.raster_id, g.y, g.x, coalesce(s.q, 0.0) AS v FROM
   (SELECT r.raster_id, a.i::INT AS y, b.i::INT AS x FROM (SELECT DISTINCT raster_id FROM items) r, range(64) a(i), range(64) b(i)) g
   LEFT JOIN (SELECT raster_id, y, x, sum(q) AS q FROM items GROUP BY ALL) s USING (raster_id, y, x))"""

@@ -17,6 +17,7 @@ from orthospark.operators import training as R
 from orthospark.operators import windows as W
 from orthospark.plans import demo
 from orthospark.plans.demo import MASK_SQL, RASTER_SQL, RUNS_SQL, SCORES_SQL, TILES_SQL
+from orthospark.sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,21 +51,29 @@ def scored_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = T.tiles_to_cells(demo.tiles(spark, sf_dir), "tile_id", "orchard", "case")
     stats = T.channel_stats(cells).select("orchard", "b", F.col("mean").alias("__mean"))
     map_ = cells.join(stats, ["orchard", "b"]).withColumn("v", F.abs(F.col("v") - F.col("__mean")) * 50)
-    return map_.groupBy("tile_id", "orchard", "case").agg(F.round(F.avg("v"), 4).alias("score"))
+    return written(map_.groupBy("tile_id", "orchard", "case").agg(F.round(F.avg("v"), 4).alias("score")), "scored")
 
 
-def _limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = scored_tiles(spark, sf_dir).agg(F.round(F.percentile("score", F.lit(0.2)), 4).alias("lo"), F.round(F.percentile("score", F.lit(0.9)), 4).alias("hi"))
+def _judged(scored: DataFrame) -> DataFrame:
+    return E.apply_thresholds(scored, _limits(scored))
+
+
+def _limits(scored: DataFrame) -> DataFrame:
+    q = scored.agg(F.round(F.percentile("score", F.lit(0.2)), 4).alias("lo"), F.round(F.percentile("score", F.lit(0.9)), 4).alias("hi"))
     return q.select(F.inline(F.array(F.struct(F.lit("all_case_1").alias("clsname"), F.col("lo").alias("threshold")), F.struct(F.lit("all_case_2").alias("clsname"), F.col("hi").alias("threshold")))))
 
 
+def limits_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _limits(scored_tiles(spark, sf_dir))
+
+
 JUDGED_SQL = SCORED_SQL + """,
 limits AS (SELECT round(quantile_cont(score, 0.2), 4) AS lower_, round(quantile_cont(score, 0.9), 4) AS upper_ FROM scored),
 judged AS (SELECT *, CASE WHEN score < lower_ THEN 'below' WHEN score > upper_ THEN 'above' ELSE 'Normal' END AS verdict FROM scored, limits)"""
 
 
 def judged_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.apply_thresholds(scored_tiles(spark, sf_dir), _limits(spark, sf_dir))
+    return _judged(scored_tiles(spark, sf_dir))
 
 
 @query("WITH " + JUDGED_SQL + """,
@@ -165,6 +174,17 @@ def evaluate_classes(spark, sf_dir):
     return rounded(metrics, "auroc", "threshold", "accuracy").select("clsname", "auroc", "threshold", "inverted", "accuracy")
 
 
+@query("WITH " + _ORIENTED_ROC + ", " + YOUDEN_SQL + """, raw AS (SELECT clsname, CASE WHEN inverted THEN max_score - threshold ELSE threshold END AS t FROM youden JOIN sides USING (clsname)),
+two AS (SELECT max(CASE WHEN k = 1 THEN t END) AS lo, max(CASE WHEN k = 2 THEN t END) AS hi FROM (SELECT t, row_number() OVER (ORDER BY clsname) AS k FROM raw))
+SELECT clsname, tile_id, CASE WHEN score < lo THEN 'below' WHEN score > hi THEN 'above' ELSE 'Normal' END AS verdict FROM given, two""")
+def raw_thresholds(spark, sf_dir):
+    """Scores as they were given, judged by thresholds turned back into them."""
+    given = demo.scores(spark, sf_dir)
+    thresholds = written(E.thresholds_table(rounded(E.orient_scores(given, "clsname"), "score"), "clsname"), "thresholds")
+    lower, upper = (r[0] for r in thresholds.select("clsname").orderBy("clsname").limit(2).collect())
+    return E.apply_thresholds(given, thresholds, lower, upper, space="raw").select("clsname", "tile_id", "verdict")
+
+
 @query("WITH " + ROC_SQL + ", " + AUC_SQL + " SELECT 'mean_value_auc' AS name, round(avg(CASE WHEN auroc < 0.5 THEN 1 - auroc ELSE auroc END), 6) AS \"value\" FROM area")
 def macro_mean(spark, sf_dir):
     return rounded(E.macro_mean(E.auroc(demo.scores(spark, sf_dir), "clsname").withColumn("metric", F.lit("value"))), "value")
@@ -332,6 +352,34 @@ def flips_and_turns(spark, sf_dir):
     return demo.tiles(spark, sf_dir).select("tile_id", digest("h").alias("h"), digest("v").alias("v"), digest("90").alias("r90"), digest("180").alias("r180"), digest("270").alias("r270"))
 
 
+_DRAWN_SQL = TILES_SQL + """, drawn AS (SELECT tile_id, substr(md5(tile_id || '|seed|h'), 1, 1) < '8' AS h, substr(md5(tile_id || '|seed|v'), 1, 1) < '8' AS v_, ('0x' || substr(md5(tile_id || '|seed|t'), 1, 1))::INT % 4 AS turn FROM tiles),
+flipped AS (SELECT tile_id, turn, v, CASE WHEN v_ THEN 7 - y ELSE y END AS y, CASE WHEN h THEN 7 - x ELSE x END AS x FROM cells JOIN drawn USING (tile_id)),
+moved AS (SELECT tile_id, turn, v, CASE turn WHEN 0 THEN y WHEN 1 THEN 7 - x WHEN 2 THEN 7 - y ELSE x END AS y, CASE turn WHEN 0 THEN x WHEN 1 THEN y WHEN 2 THEN 7 - x ELSE 7 - y END AS x FROM flipped)"""
+
+
+@query("WITH " + _DRAWN_SQL + " SELECT tile_id, turn, round(sum(v * (y * 8 + x)), 4) AS digest, sum(CASE WHEN v > 0 THEN y * 8 + x ELSE 0 END)::BIGINT AS mask_digest FROM moved GROUP BY ALL")
+def drawn_turns(spark, sf_dir):
+    """A tile and its mask take the same flips and turn."""
+    mask = F.transform("data", lambda v: F.when(v > 0, 1).otherwise(0).cast("long"))
+    drawn = demo.tiles(spark, sf_dir).withColumn("mask", mask).withColumn("draw", C.drawn_turns(F.col("tile_id"), SEED))
+    both = [C.turned_as_drawn(F.col(c), 8, 1, F.col("draw")) for c in ("data", "mask")]
+    digest = lambda a, zero: F.aggregate(F.transform(a, lambda v, i: v * i), zero, lambda s, v: s + v)
+    return drawn.select("tile_id", F.col("draw.turn").alias("turn"), F.round(digest(both[0], F.lit(0.0)), 4).alias("digest"), digest(both[1], F.lit(0).cast("long")).alias("mask_digest"))
+
+
+@query("WITH " + TILES_SQL + " SELECT tile_id, tile_id % 11 % 10 AS cls, CASE WHEN tile_id % 11 % 10 IN (1, 3) THEN 0 ELSE 1 END AS label, 'test' AS side FROM tiles UNION ALL SELECT tile_id, tile_id % 11 % 10, 0, 'train' FROM tiles WHERE tile_id % 11 % 10 IN (1, 3)")
+def one_class_rows(spark, sf_dir):
+    rows = demo.tiles(spark, sf_dir).select("tile_id", (F.col("tile_id") % 11).alias("cls"))
+    sides = [D.one_class_rows(rows, "cls", [1, 3], side).withColumn("side", F.lit(side)) for side in ("test", "train")]
+    return sides[0].unionByName(sides[1]).select("tile_id", "cls", "label", "side")
+
+
+@query("WITH " + TILES_SQL + ", some AS (SELECT * FROM tiles WHERE NOT (orchard = 'site_2' AND case_ = 'case_3')) SELECT tile_id, orchard FROM some WHERE orchard IN (SELECT orchard FROM some GROUP BY orchard HAVING count(DISTINCT case_) = 4)")
+def complete_sites(spark, sf_dir):
+    tiles = demo.tiles(spark, sf_dir).where(~((F.col("orchard") == "site_2") & (F.col("case") == "case_3")))
+    return D.complete_sites(tiles).select("tile_id", "orchard")
+
+
 @query("WITH " + TILES_SQL + " SELECT tile_id, round(sum((v - 0.5) / 0.25), 4) AS normalized, round(sum((v * 0.25 + 0.5) * 255), 3) AS denormalized FROM cells GROUP BY tile_id")
 def normalize_bands(spark, sf_dir):
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
@@ -394,25 +442,25 @@ def classify_tiles(spark, sf_dir):
     return T.classify_tiles(_layers(spark, sf_dir), 0.25, 64, "raster_id", "i", "j").drop("n1", "n2", "n3")
 
 
-_BOX = "SELECT a.raster_id, a.y, a.x, {f}(b.v) AS v FROM {t} a JOIN {t} b ON a.raster_id = b.raster_id AND b.y BETWEEN a.y - {lo} AND a.y + {hi} AND b.x BETWEEN a.x - {lo} AND a.x + {hi} GROUP BY ALL"
+BOX_SQL = "SELECT a.raster_id, a.y, a.x, {f}(b.v) AS v FROM {t} a JOIN {t} b ON a.raster_id = b.raster_id AND b.y BETWEEN a.y - {lo} AND a.y + {hi} AND b.x BETWEEN a.x - {lo} AND a.x + {hi} GROUP BY ALL"
 
 
-@query("WITH " + RASTER_SQL + " " + _BOX.format(f="max", t="raster", lo=2, hi=2))
+@query("WITH " + RASTER_SQL + " " + BOX_SQL.format(f="max", t="raster", lo=2, hi=2))
 def dilate_box(spark, sf_dir):
     return W.dilate(demo.raster(spark, sf_dir), 5, RASTER)
 
 
-@query("WITH " + RASTER_SQL + " " + _BOX.format(f="min", t="raster", lo=2, hi=1))
+@query("WITH " + RASTER_SQL + " " + BOX_SQL.format(f="min", t="raster", lo=2, hi=1))
 def erode_box(spark, sf_dir):
     return W.erode(demo.raster(spark, sf_dir), 4, RASTER)
 
 
-@query("WITH " + MASK_SQL + ", d AS (" + _BOX.format(f="max", t="mask", lo=1, hi=1) + ") " + _BOX.format(f="min", t="d", lo=1, hi=1))
+@query("WITH " + MASK_SQL + ", d AS (" + BOX_SQL.format(f="max", t="mask", lo=1, hi=1) + ") " + BOX_SQL.format(f="min", t="d", lo=1, hi=1))
 def close_box(spark, sf_dir):
     return W.close(demo.mask(spark, sf_dir), 3, RASTER)
 
 
-@query("WITH " + MASK_SQL + ", d AS (" + _BOX.format(f="min", t="mask", lo=1, hi=1) + ") " + _BOX.format(f="max", t="d", lo=1, hi=1))
+@query("WITH " + MASK_SQL + ", d AS (" + BOX_SQL.format(f="min", t="mask", lo=1, hi=1) + ") " + BOX_SQL.format(f="max", t="d", lo=1, hi=1))
 def open_box(spark, sf_dir):
     return W.open_(demo.mask(spark, sf_dir), 3, RASTER)
 
@@ -425,10 +473,9 @@ def box_mean(spark, sf_dir):
 _L1 = "SELECT a.raster_id, a.y, a.x, max(b.v) AS v FROM mask a JOIN mask b ON a.raster_id = b.raster_id AND abs(a.y - b.y) + abs(a.x - b.x) <= {r} GROUP BY ALL"
 
 
-@query("WITH " + MASK_SQL + ", far AS (SELECT raster_id, y, x, CASE WHEN v = 1 AND (y * 64 + x) % 11 = 0 THEN 1 ELSE 0 END AS v FROM mask) " + _L1.format(r=4).replace("mask", "far"))
+@query("WITH " + MASK_SQL.replace("v > m", "v > 3 * m") + " " + _L1.format(r=4))
 def l1_dilate(spark, sf_dir):
-    sparse = demo.mask(spark, sf_dir).withColumn("v", F.when((F.col("v") == 1) & ((F.col("y") * 64 + F.col("x")) % 11 == 0), 1).otherwise(0))
-    return W.l1_dilate(sparse, 4, RASTER)
+    return W.l1_dilate(demo.mask(spark, sf_dir, times=3), 4, RASTER)
 
 
 @query("WITH " + MASK_SQL + " " + _L1.format(r=1))
@@ -487,69 +534,11 @@ def hsv(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", C.hsv(F.col("l_partkey") % 256, F.col("l_suppkey") % 256, F.col("l_orderkey") % 256).alias("c")).select("l_orderkey", "l_linenumber", "c.*")
 
 
-def _regions_sql(conn: int) -> str:
-    touch = "abs(a.y - b.y) + abs(a.x - b.x) = 1" if conn == 4 else "greatest(abs(a.y - b.y), abs(a.x - b.x)) = 1"
-    return MASK_SQL + f""", few AS (SELECT raster_id, y, x, y * 64 + x AS id FROM mask WHERE v = 1 AND (y * 5 + x * 3) % 7 < 4),
-links AS (SELECT a.raster_id, a.id AS u, b.id AS v FROM few a JOIN few b ON a.raster_id = b.raster_id AND {touch}),
-reach(raster_id, id, root) AS (SELECT raster_id, id, id FROM few UNION SELECT l.raster_id, l.v, r.root FROM reach r JOIN links l ON l.raster_id = r.raster_id AND l.u = r.id WHERE r.root < l.v),
-regions AS (SELECT raster_id, id, min(root) AS comp_id FROM reach GROUP BY ALL)"""
-
-
-def _few(spark, sf_dir):
-    return demo.mask(spark, sf_dir).withColumn("v", F.when((F.col("v") == 1) & ((F.col("y") * 5 + F.col("x") * 3) % 7 < 4), 1).otherwise(0))
-
-
-@query("WITH RECURSIVE " + _regions_sql(4) + " SELECT raster_id, id // 64 AS y, id % 64 AS x, comp_id::BIGINT AS comp_id FROM regions")
-def label_components_4(spark, sf_dir):
-    return M.label_components(_few(spark, sf_dir), 4).select("raster_id", "y", "x", "comp_id")
-
-
-@query("WITH RECURSIVE " + _regions_sql(8) + " SELECT raster_id, comp_id::BIGINT AS comp_id, count(*) AS area FROM regions GROUP BY ALL")
-def region_areas_8(spark, sf_dir):
-    return M.region_areas(M.label_components(_few(spark, sf_dir), 8))
-
-
-@query("WITH RECURSIVE " + _regions_sql(4) + ", a AS (SELECT raster_id, comp_id, count(*) AS n FROM regions GROUP BY ALL), t AS (SELECT raster_id, comp_id FROM (SELECT *, row_number() OVER (PARTITION BY raster_id ORDER BY n DESC, comp_id) AS k FROM a) WHERE k = 1) SELECT raster_id, id // 64 AS y, id % 64 AS x FROM regions SEMI JOIN t USING (raster_id, comp_id)")
-def largest_component(spark, sf_dir):
-    return M.largest_component(_few(spark, sf_dir)).where("v = 1").select("raster_id", "y", "x")
-
-
 @query("WITH " + MASK_SQL + " SELECT raster_id, round(avg(v), 6) AS covered, avg(v) > 0.3 AS accepted FROM mask GROUP BY raster_id")
 def accept_raster(spark, sf_dir):
     return rounded(M.accept_raster(demo.mask(spark, sf_dir), 0.3), "covered")
 
 
-@query()
-def region_props(spark, sf_dir):
-    return rounded(M.region_props(M.label_components(demo.mask(spark, sf_dir), 8)), "perimeter", "circularity")
-
-
-@query()
-def fill_holes(spark, sf_dir):
-    return M.fill_holes(demo.mask(spark, sf_dir))
-
-
-@query()
-def fill_small_holes(spark, sf_dir):
-    return M.fill_small_holes(demo.mask(spark, sf_dir), 0.001)
-
-
-@query()
-def filter_regions(spark, sf_dir):
-    return M.filter_regions(demo.mask(spark, sf_dir), 0.01, 0.1)
-
-
-@query()
-def split_weak_bridges(spark, sf_dir):
-    closed = W.dilate(demo.mask(spark, sf_dir), 3, RASTER)
-    return M.split_weak_bridges(closed, 5, 0.05, 2).groupBy("raster_id", "comp_id").agg(F.count("*").alias("area"))
-
-
-@query()
-def drop_low_variance_segments(spark, sf_dir):
-    return M.drop_low_variance_segments(demo.mask(spark, sf_dir), demo.raster(spark, sf_dir).withColumn("b", F.lit(0)))
-
-
 # Runs.
 @query("WITH " + RUNS_SQL + " SELECT model, epoch, (auroc_1 + auroc_2) / 2 AS average FROM runs")
 def run_average(spark, sf_dir):
@@ -662,25 +651,7 @@ def cases_and_normals(spark, sf_dir):
     return one.unionByName(D.cases_without_normals(split).select("tile_id", F.lit(False).alias("has_normals")))
 
 
-@query("WITH RECURSIVE " + _regions_sql(4) + ", a AS (SELECT raster_id, comp_id FROM regions GROUP BY ALL HAVING count(*) < 3) SELECT raster_id, id // 64 AS y, id % 64 AS x FROM regions ANTI JOIN a USING (raster_id, comp_id)")
-def remove_labels(spark, sf_dir):
-    regions = M.label_components(_few(spark, sf_dir), 4)
-    return G.remove_labels(regions, M.region_areas(regions).where("area < 3")).select("raster_id", "y", "x")
-
-
-@query("WITH RECURSIVE " + _regions_sql(4) + ", s AS (SELECT g.raster_id, comp_id, stddev_pop(r.v) AS std FROM regions g JOIN raster r ON r.raster_id = g.raster_id AND r.y * 64 + r.x = g.id GROUP BY ALL) SELECT raster_id, comp_id::BIGINT AS comp_id, round(std, 5) AS std FROM s")
-def segment_spread(spark, sf_dir):
-    regions = M.label_components(_few(spark, sf_dir), 4)
-    return rounded(M.segment_spread(regions, demo.raster(spark, sf_dir).withColumn("b", F.lit(0))), "std", places=5).drop("b")
-
-
-@query("WITH RECURSIVE " + _regions_sql(4) + """, s AS (SELECT g.raster_id, comp_id, round(stddev_pop(r.v), 5) AS std FROM regions g JOIN raster r ON r.raster_id = g.raster_id AND r.y * 64 + r.x = g.id GROUP BY ALL),
-z AS (SELECT *, (std - avg(std) OVER (PARTITION BY raster_id)) / nullif(stddev_pop(std) OVER (PARTITION BY raster_id), 0) AS z FROM s) SELECT raster_id, comp_id::BIGINT AS comp_id, coalesce(z < -0.9, false) AS outlier FROM z""")
-def zscore_outliers(spark, sf_dir):
-    return M.zscore_outliers(segment_spread(spark, sf_dir).withColumn("b", F.lit(0)), 0.9)
-
-
-@query("WITH " + MASK_SQL + " " + _BOX.format(f="max", t="mask", lo=3, hi=3))
+@query("WITH " + MASK_SQL + " " + BOX_SQL.format(f="max", t="mask", lo=3, hi=3))
 def buffer_mask(spark, sf_dir):
     return M.buffer_mask(demo.mask(spark, sf_dir), 3)
 

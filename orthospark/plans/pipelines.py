@@ -14,25 +14,26 @@ from orthospark.sources.scratch import written
 
 @dataclass
 class GreenMask:
-    """Parameters of :func:`segment_green`."""
-
-    low: tuple[int, int, int] = (35, 40, 40)
-    high: tuple[int, int, int] = (85, 255, 255)
-    kernel: int = 5
-    hole_share: float = 0.001
-    close_threshold: float = 0.01
+    """Parameters of :func:`segment_green`. The usual configuration of such jobs. ``nodata`` holds a value for each of
+    the first bands of r, g, b and a fourth, where the image has one."""
+
+    low: tuple[int, int, int] = (30, 40, 40)
+    high: tuple[int, int, int] = (80, 255, 200)
+    kernel: int = 3
+    hole_share: float = 0.0003
+    close_threshold: float = 0.03
     close_least: int = 3
     close_sizes: tuple[int, ...] = (3, 9, 15, 21, 27)
-    least_share: float = 0.01
-    least_circularity: float = 0.1
-    nodata: tuple[float, ...] = (0.0, 0.0, 0.0)
-    border: int = 10
+    least_share: float = 0.014
+    least_circularity: float = 0.01
+    nodata: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
+    border: int = 100
     most_nodata_cells: int = 15_000
     most_nodata_share: float = 0.15
-    bridge_width: int = 9
-    bridge_share: float = 0.1
-    bridge_depth: int = 2
-    buffer: int = 5
+    bridge_width: int = 100
+    bridge_share: float = 0.002
+    bridge_depth: int = 3
+    buffer: int = 10
     least_covered: float = 0.08
     kernel_step: int = 6
 
@@ -45,7 +46,8 @@ def _green(image: DataFrame, p: GreenMask, kernel: int) -> DataFrame:
     mask = masks.adaptive_close(mask, p.close_threshold, p.close_least, p.close_sizes)
     mask = written(masks.fill_small_holes(written(mask, "green"), p.hole_share), "green")
     mask = written(masks.filter_regions(mask, p.least_share, p.least_circularity), "green")
-    without = image.select("raster_id", "y", "x", is_nodata(F.array(*[F.col(c).cast("double") for c in ("r", "g", "b")]), list(p.nodata)).alias("nodata"))
+    bands = [c for c in ("r", "g", "b", "a") if c in image.columns]
+    without = image.select("raster_id", "y", "x", is_nodata(F.array(*[F.col(c).cast("double") for c in bands]), list(p.nodata[: len(bands)])).alias("nodata"))
     mask = written(masks.keep_low_nodata_segments(mask, without, p.border, p.most_nodata_cells, p.most_nodata_share, most_width=p.bridge_width, least_share=p.bridge_share, depth=p.bridge_depth), "green")
     mask = written(masks.filter_regions(mask, p.least_share, p.least_circularity), "green")
     return written(masks.fill_holes(written(masks.buffer_mask(mask, p.buffer), "green")), "green")

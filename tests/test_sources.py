@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from orthospark.operators import scoring, training
 from orthospark.sources import tables as S
-from orthospark.streaming.verdicts import verdict_stream
+from orthospark.streaming.verdicts import verdict_counts
 
 
 def test_files(spark, tmp_path):
@@ -75,10 +75,11 @@ def test_scorers(spark):
 
 
 def test_stream(spark, tmp_path):
-    spark.createDataFrame([("a", 1.0), ("a", 50.0), ("a", 99.0)], "clsname string, score double").write.parquet(str(tmp_path / "in"))
+    rows = [("a", 1.0, "2020-01-01 00:00:05"), ("a", 50.0, "2020-01-01 00:00:20"), ("a", 99.0, "2020-01-01 00:01:05"), ("b", 99.0, "2020-01-01 00:01:06")]
+    spark.createDataFrame(rows, "clsname string, score double, at string").withColumn("at", F.to_timestamp("at")).write.parquet(str(tmp_path / "in"))
     limits = spark.createDataFrame([("all_case_1", 35.0), ("all_case_2", 60.0)], "clsname string, threshold double")
-    stream = verdict_stream(spark.readStream.schema("clsname string, score double").parquet(str(tmp_path / "in")), limits)
-    q = stream.select(F.col("verdict")).writeStream.format("memory").queryName("verdicts").option("checkpointLocation", str(tmp_path / "ck")).start()
+    stream = verdict_counts(spark.readStream.schema("clsname string, score double, at timestamp").parquet(str(tmp_path / "in")), limits, "at", "1 minute", "1 hour")
+    q = stream.writeStream.format("memory").outputMode("complete").queryName("verdicts").option("checkpointLocation", str(tmp_path / "ck")).start()
     q.processAllAvailable()
     q.stop()
-    assert sorted(r.verdict for r in spark.table("verdicts").collect()) == ["Normal", "above", "below"]
+    assert sorted(tuple(r)[1:] for r in spark.table("verdicts").collect()) == [("a", 0, 0, 1), ("a", 1, 1, 0), ("b", 0, 0, 1)]
