@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from orthospark.sources.scratch import written
 
 
+# Edges are (u, v) with u > v throughout. Both sides of a join grow with the graph, so they are merged at every size.
 def _to_smallest_neighbour(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
-    return both.join(least, F.col("u") == F.col("n")).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return e.join(least.hint("merge"), F.col("v") == F.col("n")).select("u", F.col("m").alias("v")).distinct()
 
 
 def _to_smallest_below(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n")
-    moved = e.join(least, F.col("u") == F.col("n")).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct()
+    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    moved = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+    return e.join(least.hint("merge"), "u").select(moved.alias("e")).select("e.*").where("u != v").distinct()
 
 
 def _oriented(edges: DataFrame) -> DataFrame:
