@@ -152,7 +152,14 @@ def _open(left: DataFrame, percent: int) -> DataFrame:
     by_root = left.groupBy("hub", "root").agg(F.count("*").alias("k"), F.min("n").alias("least"), F.max("reach").alias("farthest"))
     groups = by_root.groupBy("hub").agg(F.count("*").alias("roots"), (F.sum("k") - F.max("k")).alias("outside"), F.max_by("root", "k").alias("main"), F.min("least").alias("least"), F.max("farthest").alias("farthest"))
     may = (F.col("reach") >= percent * F.col("least")) & (percent * F.col("n") <= F.col("farthest"))
-    return left.join(groups.where("roots > 1"), "hub").where(may).drop("roots", "least", "farthest")
+    return left.join(groups.where("roots > 1").hint("merge"), "hub").where(may).drop("roots", "least", "farthest")
+
+
+def _joined_stars(new: DataFrame) -> DataFrame:
+    """``(node, to)``: a new root for the roots that ``new(root, h_root)`` joins, the least around the hubs each of them meets."""
+    stars = new.groupBy("h_root").agg(F.min(F.least("root", "h_root")).alias("to"))
+    each = F.explode(F.array("root", "h_root")).alias("node")
+    return new.select("root", "h_root").distinct().join(stars.hint("merge"), "h_root").select(each, "to").groupBy("node").agg(F.min("to").alias("to"))
 
 
 def _further_links(views: DataFrame, links: DataFrame, percent: int) -> DataFrame:
@@ -164,18 +171,18 @@ def _further_links(views: DataFrame, links: DataFrame, percent: int) -> DataFram
     the members of other components and then leave, since every pair of theirs is decided. What two members share follows exactly from how both
     differ from the group's hub, so no text is read again."""
     labels = written(contracted(links), "labels")
-    rooted = views.join(labels, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+    # All sides grow with the groups, so they are merged at every size, here and in the rounds.
+    rooted = views.join(labels.hint("merge"), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
     several = rooted.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("hub")
-    of_open = written(rooted.join(several, "hub", "left_semi"), "open")
+    of_open = written(rooted.join(several.hint("merge"), "hub", "left_semi"), "open")
     alone = of_open.select("hub", "id", F.explode("own").alias("s")).groupBy("hub", "s").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("hub", "id").agg(F.count("*").alias("alone"))
-    left = of_open.join(alone, ["hub", "id"], "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    left = of_open.join(alone.hint("merge"), ["hub", "id"], "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
     # percent * (size of the other) can't be more than this: shingles that are alone in the group aren't shared.
     left = left.withColumn("reach", 100 * F.col("n") - (100 + percent) * F.col("alone")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     many, new = 4, None
     while True:
         if new is not None:
-            moved = contracted(new.select(F.least("root", "h_root").alias("u"), F.greatest("root", "h_root").alias("v")).distinct()).select("node", F.col("root").alias("to"))
-            left = left.join(moved, F.col("root") == F.col("node"), "left").withColumn("root", F.coalesce("to", "root")).drop("node", "to")
+            left = left.join(_joined_stars(new).hint("merge"), F.col("root") == F.col("node"), "left").withColumn("root", F.coalesce("to", "root")).drop("node", "to")
         left = written(_open(left, percent), "open")
         if left.isEmpty():
             return links
@@ -189,10 +196,10 @@ def _further_links(views: DataFrame, links: DataFrame, percent: int) -> DataFram
         at_most = F.col("hub_n") - F.greatest(F.size("lacks"), F.size("hl")) + F.least(F.size("own"), F.size("ho"))
         shared = F.col("hub_n") - F.size(F.array_union("lacks", "hl")) + F.size(F.array_intersect("own", "ho"))
         near = (F.col("root") != F.col("h_root")) & (percent * F.col("n") <= F.col("hr")) & (percent * F.col("hn") <= F.col("reach"))
-        found = left.alias("l").join(sent.alias("s"), (F.col("l.hub") == F.col("s.hub")) & (F.col("l.salt") == F.col("s.salt")) & near & _linked(at_most, "n", "hn", percent) & _linked(shared, "n", "hn", percent))
+        found = left.alias("l").join(sent.hint("merge").alias("s"), (F.col("l.hub") == F.col("s.hub")) & (F.col("l.salt") == F.col("s.salt")) & near & _linked(at_most, "n", "hn", percent) & _linked(shared, "n", "hn", percent))
         new = written(found.select(F.least("id", "h").alias("u"), F.greatest("id", "h").alias("v"), "root", "h_root").distinct(), "links")
         links = links.unionByName(new.select("u", "v"))
-        left = left.join(hubs.select("hub", F.col("h").alias("id")), ["hub", "id"], "left_anti")
+        left = left.join(hubs.select("hub", F.col("h").alias("id")).hint("merge"), ["hub", "id"], "left_anti")
         many *= 4
 
 
@@ -207,13 +214,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     wanted = members.select(F.explode(F.array("hub", "id")).alias("doc_id")).distinct().hint("merge")
     sets = written(read.join(wanted, "doc_id", "left_semi").mapInArrow(_setter(words), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
     views = written(_compared(members, sets), "views")
-    links = views.where(_linked(F.col("common"), "hub_n", "n", percent)).select(F.least("hub", "id").alias("u"), F.greatest("hub", "id").alias("v"))
+    links = written(views.where(_linked(F.col("common"), "hub_n", "n", percent)).select(F.least("hub", "id").alias("u"), F.greatest("hub", "id").alias("v")), "stars")
     links = _further_links(views.drop("common"), links, percent)
     labels = connected(links)
     degree = links.distinct().select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    roots = classes.select("a", "b", "n", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("a", "b", "n", "rep", F.coalesce("root", "rep").alias("root")).join(degree, "rep", "left")
+    roots = classes.select("a", "b", "n", "rep").join(labels.hint("merge"), F.col("rep") == F.col("node"), "left").select("a", "b", "n", "rep", F.coalesce("root", "rep").alias("root")).join(degree.hint("merge"), "rep", "left")
     component = F.coalesce("root", "doc_id")
-    return marks.select("doc_id", "n", "a", "b").join(roots, ["a", "b", "n"], "left").select(
+    return marks.select("doc_id", "n", "a", "b").join(roots.hint("merge"), ["a", "b", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
     )
 
