@@ -146,13 +146,23 @@ def _grouped(classes: DataFrame) -> DataFrame:
     return written(shared.join(hubs, "bucket").where("id != hub").groupBy("hub", "id").agg(F.first("n").alias("n")), "members")
 
 
+def _part() -> Column:
+    """Which of the ``SALTS`` parts of its group a member is in."""
+    return F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+
+
+def _to_each_part(few: DataFrame) -> DataFrame:
+    """A row a group, or a root, for each part of its members, so that a large one's members don't meet it in one task."""
+    return few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _open(left: DataFrame, percent: int) -> DataFrame:
     """Of the members the ones that another member may still be linked with: those of groups that
     span several components, if shingles no other member has leave room for it."""
     by_root = left.groupBy("hub", "root").agg(F.count("*").alias("k"), F.min("n").alias("least"), F.max("reach").alias("farthest"))
     groups = by_root.groupBy("hub").agg(F.count("*").alias("roots"), (F.sum("k") - F.max("k")).alias("outside"), F.max_by("root", "k").alias("main"), F.min("least").alias("least"), F.max("farthest").alias("farthest"))
     may = (F.col("reach") >= percent * F.col("least")) & (percent * F.col("n") <= F.col("farthest"))
-    return left.join(groups.where("roots > 1").hint("merge"), "hub").where(may).drop("roots", "least", "farthest")
+    return left.join(_to_each_part(groups.where("roots > 1")).hint("merge"), ["hub", "salt"]).where(may).drop("roots", "least", "farthest")
 
 
 def _joined_stars(new: DataFrame) -> DataFrame:
@@ -172,17 +182,18 @@ def _further_links(views: DataFrame, links: DataFrame, percent: int) -> DataFram
     differ from the group's hub, so no text is read again."""
     labels = written(contracted(links), "labels")
     # All sides grow with the groups, so they are merged at every size, here and in the rounds.
-    rooted = views.join(labels.hint("merge"), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+    rooted = views.join(labels.hint("merge"), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node").withColumn("salt", _part())
     several = rooted.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("hub")
-    of_open = written(rooted.join(several.hint("merge"), "hub", "left_semi"), "open")
+    of_open = written(rooted.join(_to_each_part(several).hint("merge"), ["hub", "salt"], "left_semi"), "open")
     alone = of_open.select("hub", "id", F.explode("own").alias("s")).groupBy("hub", "s").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("hub", "id").agg(F.count("*").alias("alone"))
     left = of_open.join(alone.hint("merge"), ["hub", "id"], "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
     # percent * (size of the other) can't be more than this: shingles that are alone in the group aren't shared.
-    left = left.withColumn("reach", 100 * F.col("n") - (100 + percent) * F.col("alone")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    left = left.withColumn("reach", 100 * F.col("n") - (100 + percent) * F.col("alone"))
     many, new = 4, None
     while True:
         if new is not None:
-            left = left.join(_joined_stars(new).hint("merge"), F.col("root") == F.col("node"), "left").withColumn("root", F.coalesce("to", "root")).drop("node", "to")
+            joined = _to_each_part(_joined_stars(new).withColumnRenamed("node", "root"))
+            left = left.join(joined.hint("merge"), ["root", "salt"], "left").withColumn("root", F.coalesce("to", "root")).drop("to")
         left = written(_open(left, percent), "open")
         if left.isEmpty():
             return links
@@ -191,8 +202,7 @@ def _further_links(views: DataFrame, links: DataFrame, percent: int) -> DataFram
         as_hub = F.struct(F.col("id").alias("h"), F.col("n").alias("hn"), F.col("reach").alias("hr"), F.col("root").alias("h_root"), F.col("lacks").alias("hl"), F.col("own").alias("ho"))
         hubs = written(chosen.agg(F.min_by(as_hub, F.struct("alone", "id")).alias("x")).select("hub", "x.*"), "hubs")
         left = left.drop("outside", "main")
-        # A large group is dealt over SALTS parts; its hubs go to each.
-        sent = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        sent = _to_each_part(hubs)
         at_most = F.col("hub_n") - F.greatest(F.size("lacks"), F.size("hl")) + F.least(F.size("own"), F.size("ho"))
         shared = F.col("hub_n") - F.size(F.array_union("lacks", "hl")) + F.size(F.array_intersect("own", "ho"))
         near = (F.col("root") != F.col("h_root")) & (percent * F.col("n") <= F.col("hr")) & (percent * F.col("hn") <= F.col("reach"))
