@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from orthospark.functions.columns import percent, verdict
 
+#: Cuts between the blocks in which a group's distinct scores are summed, and parts in which they meet the cuts.
+CUTS, PARTS = 255, 64
+
 #: Scores of a map by name: a Column over the array ``map``.
 ENCODERS: dict[str, Callable[[Column], Column]] = {}
 
@@ -50,33 +53,59 @@ def orient_scores(scores: DataFrame, *by: str) -> DataFrame:
     return _clean(scores).join(turned, list(by)).withColumn("score", F.when(F.col("inverted"), F.col("max_score") - F.col("score")).otherwise(F.col("score")))
 
 
-def roc_curve(scores: DataFrame, *by: str) -> DataFrame:
-    """A point for each distinct score, highest first, and the origin at infinity: threshold, tp, fp, p, n.
+def _met(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
+    """``left`` with the other columns of ``right``; null keys meet null keys."""
+    other = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in on]
+    return left.join(other, same).drop(*[f"__r_{c}" for c in on])
+
+
+def _running(counted: DataFrame, score: str, sums: tuple[str, ...], *by: str) -> DataFrame:
+    """``counted`` (a row a group and score) with upto_<x>, the sum of x over the group's rows of this score or a higher one,
+    and all_<x>, for each x of ``sums``.
+
+    No task orders a whole group: its scores are cut into blocks at the ``CUTS`` scores of least hash, so blocks hold about
+    as many scores each and come out the same whenever they are worked out; a block's sums start at those of the blocks above."""
+    drawn = counted.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(score), score))).where(F.col("__n") <= CUTS)
+    cuts = drawn.groupBy(*by).agg(F.collect_list(score).alias("__cuts")).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = _met(counted.withColumn("__part", F.pmod(F.xxhash64(score), F.lit(PARTS)).cast("int")), cuts, *by, "__part")
+    rows = dealt.withColumn("__block", F.size(F.filter("__cuts", lambda c: c > F.col(score)))).drop("__cuts", "__part")
+    above = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(*by, "__block").agg(*[F.sum(x).alias(f"__{x}") for x in sums])
+    starts = blocks.select(*by, "__block", *[F.coalesce(F.sum(f"__{x}").over(above), F.lit(0)).alias(f"__above_{x}") for x in sums], *[F.sum(f"__{x}").over(Window.partitionBy(*by)).alias(f"all_{x}") for x in sums])
+    inside = Window.partitionBy(*by, "__block").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    return _met(rows, starts, *by, "__block").withColumns({f"upto_{x}": F.col(f"__above_{x}") + F.sum(x).over(inside) for x in sums}).drop("__block", *[f"__above_{x}" for x in sums])
 
-    Scores are counted first, so the ordered windows see distinct scores only."""
+
+def _steps(scores: DataFrame, *by: str) -> DataFrame:
+    """Per distinct score: threshold, pos, neg, tp, fp, p, n."""
     counted = _clean(scores).groupBy(*by, F.col("score").cast("double").alias("threshold")).agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    down = Window.partitionBy(*by).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    points = counted.select(*by, "threshold", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(whole).alias("p"), F.sum("neg").over(whole).alias("n"))
+    return _running(counted, "threshold", ("pos", "neg"), *by).withColumnsRenamed({"upto_pos": "tp", "upto_neg": "fp", "all_pos": "p", "all_neg": "n"})
+
+
+def roc_curve(scores: DataFrame, *by: str) -> DataFrame:
+    """A point for each distinct score, highest first, and the origin at infinity: threshold, tp, fp, p, n, tpr, fpr."""
+    points = _steps(scores, *by).select(*by, "threshold", "tp", "fp", "p", "n")
     zero = F.lit(0).cast("long")
-    origin = points.groupBy(*by).agg(F.max("p").alias("p"), F.max("n").alias("n")).select(*by, F.lit(float("inf")).alias("threshold"), zero.alias("tp"), zero.alias("fp"), "p", "n")
+    origin = _clean(scores).groupBy(*by).agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n")).select(*by, F.lit(float("inf")).alias("threshold"), zero.alias("tp"), zero.alias("fp"), "p", "n")
+    if not by:
+        origin = origin.where("p IS NOT NULL")
     return points.unionByName(origin).withColumn("tpr", F.try_divide(F.col("tp"), F.col("p"))).withColumn("fpr", F.try_divide(F.col("fp"), F.col("n")))
 
 
 def auroc(scores: DataFrame, *by: str, fold: bool = True) -> DataFrame:
     """Area under the curve by trapezoids; with ``fold``, an area below one half counts from the other side.
     Null for groups of one label."""
-    w = Window.partitionBy(*by).orderBy(F.desc("threshold"))
-    step = roc_curve(scores, *by).withColumn("__area", (F.col("fpr") - F.lag("fpr").over(w)) * (F.col("tpr") + F.lag("tpr").over(w)) / 2)
-    area = step.groupBy(*by).agg(F.sum("__area").alias("auroc"))
+    tpr, fpr = (lambda x: F.try_divide(x, F.col("p"))), (lambda x: F.try_divide(x, F.col("n")))
+    width = fpr(F.col("fp")) - fpr(F.col("fp") - F.col("neg"))
+    area = _steps(scores, *by).groupBy(*by).agg(F.sum(width * (tpr(F.col("tp")) + tpr(F.col("tp") - F.col("pos"))) / 2).alias("auroc"))
     return area.withColumn("auroc", F.when(F.col("auroc") < 0.5, 1 - F.col("auroc")).otherwise(F.col("auroc"))) if fold else area
 
 
 def auroc_by_rank(scores: DataFrame, *by: str) -> DataFrame:
     """The same area from average ranks (Mann and Whitney)."""
-    counted = _clean(scores).groupBy(*by, "score").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = counted.withColumn("__wins", F.col("pos") * (below + F.col("neg") / 2)).groupBy(*by).agg(F.sum("__wins").alias("w"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    wins = F.col("pos") * (F.col("n") - F.col("fp") + F.col("neg") / 2)
+    sums = _steps(scores, *by).groupBy(*by).agg(F.sum(wins).alias("w"), F.max("p").alias("p"), F.max("n").alias("n"))
     return sums.select(*by, F.try_divide(F.col("w"), F.col("p") * F.col("n")).alias("auroc"))
 
 
@@ -148,9 +177,14 @@ def score_histogram(scores: DataFrame, bins: int, *by: str) -> DataFrame:
 
 
 def score_summary(scores: DataFrame) -> DataFrame:
-    """Mean, median, deviation, least and largest of all scores (group all), and of each label's."""
+    """Mean, median, deviation, least and largest of all scores (group all), and of each label's. The median is that of
+    the two middle places in the running counts of distinct scores."""
     rows = _clean(scores).withColumn("group", F.explode(F.array(F.lit("all"), F.when(F.col("label") == 1, "defective").otherwise("good"))))
-    return rows.groupBy("group").agg(F.avg("score").alias("mean"), F.median("score").alias("median"), F.stddev_pop("score").alias("std"), F.min("score").alias("min"), F.max("score").alias("max"))
+    placed = _running(rows.groupBy("group", F.col("score").cast("double").alias("score")).agg(F.count("*").alias("k")), "score", ("k",), "group")
+    at = lambda place: F.max(F.when((F.col("upto_k") - F.col("k") < place) & (place <= F.col("upto_k")), F.col("score")))
+    medians = placed.groupBy("group").agg((at(F.floor((F.col("all_k") + 1) / 2)) * 0.5 + at(F.floor(F.col("all_k") / 2) + 1) * 0.5).alias("median"))
+    moments = rows.groupBy("group").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.min("score").alias("min"), F.max("score").alias("max"))
+    return moments.join(medians, "group").select("group", "mean", "median", "std", "min", "max")
 
 
 def k_mean(scores: DataFrame, k: int, by: str, largest: bool, name: str) -> DataFrame:

@@ -1,4 +1,7 @@
 import math
+import random
+import re
+import statistics
 
 import pytest
 
@@ -72,3 +75,36 @@ def test_registry(spark):
     maps = spark.createDataFrame([(1, [float(i) for i in range(16)])], "id int, map array<double>")
     got = {r.metric: r.score for r in E.encode(maps, ["mean", "std", "max", "first"], "id").collect()}
     assert got == pytest.approx({"mean": 7.5, "std": 4.6097722286464435, "max": 15.0, "first": 0.0})
+
+
+@pytest.mark.parametrize("cuts", [1, 7, 255])
+def test_curves_in_blocks(spark, monkeypatch, cuts):
+    monkeypatch.setattr(E, "CUTS", cuts)
+    monkeypatch.setattr(E, "PARTS", 3)
+    rng = random.Random(cuts)
+    rows = [(c, rng.randrange(2), float(rng.randrange(60)) / 8) for c in ("a", "b", None) for _ in range(150)] + [("one", 1, 2.0), ("one", 1, 3.0)]
+    scores = spark.createDataFrame(rows, "clsname string, label int, score double")
+    got = {(r.clsname, r.threshold): (r.tp, r.fp, r.p, r.n) for r in E.roc_curve(scores, "clsname").collect()}
+    want, areas = {}, {}
+    for c in ("a", "b", None, "one"):
+        mine = [(y, s) for k, y, s in rows if k == c]
+        p, n = sum(y for y, _ in mine), sum(1 - y for y, _ in mine)
+        for t in {s for _, s in mine} | {math.inf}:
+            want[c, t] = (sum(y for y, s in mine if s >= t), sum(1 - y for y, s in mine if s >= t), p, n)
+        areas[c] = sum((s > z) + (s == z) / 2 for y, s in mine for x, z in mine if y > x) / (p * n) if p * n else None
+    assert got == want
+    for area in (E.auroc(scores, "clsname", fold=False), E.auroc_by_rank(scores, "clsname")):
+        assert {r.clsname: r.auroc for r in area.collect()} == pytest.approx(areas)
+    everything = E.roc_curve(scores.drop("clsname")).collect()
+    assert {r.threshold: r.tp for r in everything} == {t: sum(y for _, y, s in rows if s >= t) for t in {s for _, _, s in rows} | {math.inf}}
+    assert E.auroc(scores.drop("clsname")).first().auroc >= 0.5 and E.roc_curve(scores.drop("clsname").limit(0)).count() == 0
+    summary = {r.group: r.median for r in E.score_summary(scores).collect()}
+    assert summary == {g: statistics.median(s for _, y, s in rows if y in ys) for g, ys in {"all": (0, 1), "defective": (1,), "good": (0,)}.items()}
+
+
+def test_no_task_orders_all_scores_of_a_class(spark):
+    scores = spark.createDataFrame([("a", 1, 2.0), ("a", 0, 1.0)], "clsname string, label int, score double")
+    plan = E.roc_curve(scores, "clsname")._jdf.queryExecution().optimizedPlan().toString()
+    ordered = [w for w in re.findall(r"windowspecdefinition\((.*?), specifiedwindowframe", plan) if "threshold" in w]
+    drawn = [w for w in ordered if "__block" not in w]
+    assert len(ordered) > len(drawn) == plan.count("WindowGroupLimit ")
