@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import _tokenizers, decontaminate, filter_audit, line_dedup, lm_score, minhash_dedup, packing, quality_fm, quality_rules, suffix_dedup, toxicity, url_filter
+from . import _tokenizers, decontaminate, filter_audit, line_dedup, lm_score, minhash_dedup, mixing, packing, quality_fm, quality_rules, suffix_dedup, toxicity, url_filter
 from ._tables import table
 
 
@@ -53,6 +53,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -65,10 +69,12 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_fm": op10_quality_fm,
     "op11_filter_audit": op11_filter_audit,
+    "op12_mix": op12_mix,
 }
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
     "op11_filter_audit": filter_audit.ORACLE,
+    "op12_mix": mixing.ORACLE,
 }
