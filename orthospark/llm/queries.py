@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import _tokenizers, decontaminate, filter_audit, line_dedup, lm_score, minhash_dedup, mixing, packing, quality_fm, quality_rules, suffix_dedup, toxicity, url_filter
+from . import _tokenizers, decontaminate, filter_audit, line_dedup, lm_score, minhash_dedup, mixing, packing, prefix_trie, quality_fm, quality_rules, suffix_dedup, toxicity, url_filter
 from ._tables import table
 
 
@@ -57,6 +57,10 @@ def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_prefixes(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -70,6 +74,7 @@ QUERIES = {
     "op10_quality_fm": op10_quality_fm,
     "op11_filter_audit": op11_filter_audit,
     "op12_mix": op12_mix,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -77,4 +82,5 @@ ORACLES: dict[str, str] = {
     "op5_url_filter": url_filter.ORACLE,
     "op11_filter_audit": filter_audit.ORACLE,
     "op12_mix": mixing.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
