@@ -15,6 +15,8 @@ from orthospark.functions.columns import percent, verdict
 
 #: Cuts between the blocks in which a group's distinct scores are summed, and parts in which they meet the cuts.
 CUTS, PARTS = 255, 64
+#: Quantiles of a group's scores between the blocks of :func:`curve_facts`, and the parts in which they meet.
+QUANTILES, DEALT = 63, 16
 
 #: Scores of a map by name: a Column over the array ``map``.
 ENCODERS: dict[str, Callable[[Column], Column]] = {}
@@ -93,13 +95,62 @@ def roc_curve(scores: DataFrame, *by: str) -> DataFrame:
     return points.unionByName(origin).withColumn("tpr", F.try_divide(F.col("tp"), F.col("p"))).withColumn("fpr", F.try_divide(F.col("fp"), F.col("n")))
 
 
+def _facts(scores: DataFrame, *by: str) -> DataFrame:
+    """p, n, inverted, max_score and cuts (about the quantiles, the highest first) of each group, in one aggregation."""
+    side = lambda k: F.avg(F.when(F.col("label") == k, F.col("score")))
+    at = F.array(*[F.lit((QUANTILES + 1 - i) / (QUANTILES + 1)) for i in range(1, QUANTILES + 1)])
+    facts = _clean(scores).groupBy(*by).agg(
+        F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"), F.max("score").alias("max_score"), F.coalesce(side(1) < side(0), F.lit(False)).alias("inverted"),
+        F.percentile_approx(F.col("score").cast("double"), at, F.lit(1000)).alias("__cuts"),
+    )
+    return facts.where("p IS NOT NULL")
+
+
+def curve_facts(scores: DataFrame, *by: str, orient: bool = False) -> DataFrame:
+    """Everything that is read off a group's curve, from two readings of the scores: p, n, inverted, max_score, area (null for groups of one
+    label), and threshold, tp, fp of the point with the largest tpr - fpr, the highest threshold of equals (infinite where no score
+    beats the origin). With ``orient``, of the scores that :func:`orient_scores` gives.
+
+    A group's distinct scores are counted, and summed from the highest down in blocks between its quantiles, so that no task orders a
+    whole group. What counts of a block is how many it holds, its area above its own first count, and its best point:
+    the counts of the blocks above shift these, they don't change them. So the blocks, not the scores, are put together."""
+    facts = _facts(scores, *by)
+    counted = _clean(scores).groupBy(*by, F.col("score").cast("double").alias("score")).agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    dealt = facts.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    met = _met(counted.withColumn("__part", F.pmod(F.xxhash64("score"), F.lit(DEALT)).cast("int")), dealt, *by, "__part")
+    turn = F.col("inverted") & F.lit(orient)
+    # Of a turned group the blocks are turned too: what is above lies below.
+    above = F.size(F.filter("__cuts", lambda c: F.when(turn, c < F.col("score")).otherwise(c > F.col("score"))))
+    turned = F.when(turn, F.col("max_score").cast("double") - F.col("score")).otherwise(F.col("score"))
+    facts_of = ["p", "n", "inverted", "max_score"]
+    # Turning may round two scores to one. Rows are dealt by block, and stay there for the window.
+    placed = met.select(*by, above.alias("__block"), turned.alias("score"), "pos", "neg", *facts_of).repartition(*by, "__block")
+    steps = placed.groupBy(*by, "__block", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), *[F.first(c).alias(c) for c in facts_of])
+    down = Window.partitionBy(*by, "__block").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.withColumn("t", F.sum("pos").over(down)).withColumn("f", F.sum("neg").over(down))
+    real = lambda c: F.col(c).cast("double")
+    gain = lambda t, f: t * real("n") - f * real("p")
+    blocks = steps.groupBy(*by, "__block").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum(real("neg") * (real("t") - real("pos") / 2)).alias("area"), F.max(F.struct(gain(real("t"), real("f")).alias("gain"), "score", "t", "f")).alias("best"),
+        *[F.first(c).alias(c) for c in facts_of],
+    )
+    earlier = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # QUANTILES + 1 rows a group
+    blocks = blocks.withColumn("t0", F.coalesce(F.sum("pos").over(earlier), F.lit(0))).withColumn("f0", F.coalesce(F.sum("neg").over(earlier), F.lit(0)))
+    best = F.struct((gain(real("t0"), real("f0")) + F.col("best.gain")).alias("gain"), F.col("best.score").alias("threshold"), (F.col("t0") + F.col("best.t")).alias("tp"), (F.col("f0") + F.col("best.f")).alias("fp"))
+    origin = F.struct(F.lit(0.0).alias("gain"), F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
+    groups = blocks.groupBy(*by).agg(*[F.first(c).alias(c) for c in facts_of], F.sum(real("t0") * real("neg") + F.col("area")).alias("area"), F.max(best).alias("best"))
+    found = groups.withColumn("best", F.greatest("best", origin)).withColumn("area", F.try_divide(F.col("area"), real("p") * real("n")))
+    return (found if by else found.where("p IS NOT NULL")).select(*by, *facts_of, "area", "best.threshold", "best.tp", "best.fp")
+
+
+def _folded(area: Column) -> Column:
+    return F.when(area < 0.5, 1 - area).otherwise(area)
+
+
 def auroc(scores: DataFrame, *by: str, fold: bool = True) -> DataFrame:
     """Area under the curve by trapezoids; with ``fold``, an area below one half counts from the other side.
     Null for groups of one label."""
-    tpr, fpr = (lambda x: F.try_divide(x, F.col("p"))), (lambda x: F.try_divide(x, F.col("n")))
-    width = fpr(F.col("fp")) - fpr(F.col("fp") - F.col("neg"))
-    area = _steps(scores, *by).groupBy(*by).agg(F.sum(width * (tpr(F.col("tp")) + tpr(F.col("tp") - F.col("pos"))) / 2).alias("auroc"))
-    return area.withColumn("auroc", F.when(F.col("auroc") < 0.5, 1 - F.col("auroc")).otherwise(F.col("auroc"))) if fold else area
+    return curve_facts(scores, *by).select(*by, (_folded(F.col("area")) if fold else F.col("area")).alias("auroc"))
 
 
 def auroc_by_rank(scores: DataFrame, *by: str) -> DataFrame:
@@ -116,8 +167,12 @@ def pixel_auroc(cells: DataFrame, *by: str) -> DataFrame:
 
 def youden_threshold(scores: DataFrame, *by: str) -> DataFrame:
     """The score with the largest tpr - fpr, the highest of equals; infinite where no score beats the origin."""
-    j = F.round(F.col("tpr") - F.col("fpr"), 12)
-    return roc_curve(scores, *by).groupBy(*by).agg(F.max_by("threshold", F.struct(j, "threshold")).alias("threshold"))
+    return curve_facts(scores, *by).select(*by, "threshold")
+
+
+def _metrics(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return {"accuracy": share(tp + tn, tp + fp + fn + tn), "precision": share(tp, tp + fp), "recall": share(tp, tp + fn), "f1": share(2 * tp, 2 * tp + fp + fn)}
 
 
 def classification_metrics(scores: DataFrame, thresholds: DataFrame, *by: str) -> DataFrame:
@@ -126,9 +181,7 @@ def classification_metrics(scores: DataFrame, thresholds: DataFrame, *by: str) -
     c = _clean(scores).join(thresholds, list(by)).groupBy(*by).agg(
         F.count_if(hit & (F.col("label") == 1)).alias("tp"), F.count_if(hit & (F.col("label") == 0)).alias("fp"), F.count_if(~hit & (F.col("label") == 1)).alias("fn"), F.count_if(~hit & (F.col("label") == 0)).alias("tn")
     )
-    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
-    return c.select(*by, share(tp + tn, tp + fp + fn + tn).alias("accuracy"), share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
+    return c.select(*by, *[m.alias(k) for k, m in _metrics(*[F.col(x) for x in ("tp", "fp", "fn", "tn")]).items()])
 
 
 def confusion_matrix(scores: DataFrame, thresholds: DataFrame, *by: str) -> DataFrame:
@@ -143,18 +196,21 @@ def class_accuracy_mean(accuracies: DataFrame, value: str = "accuracy") -> DataF
     return accuracies.agg(F.avg(value).alias("mean_accuracy"))
 
 
+def _raw_threshold() -> Column:
+    return F.when(F.col("inverted"), F.col("max_score") - F.col("threshold")).otherwise(F.col("threshold"))
+
+
 def thresholds_table(oriented: DataFrame, *by: str) -> DataFrame:
     """threshold in the oriented scores, and raw_threshold in those as given."""
     facts = oriented.groupBy(*by).agg(F.bool_or("inverted").alias("inverted"), F.max("max_score").alias("max_score"))
-    raw = F.when(F.col("inverted"), F.col("max_score") - F.col("threshold")).otherwise(F.col("threshold"))
-    return youden_threshold(oriented, *by).join(facts, list(by)).withColumn("raw_threshold", raw)
+    return youden_threshold(oriented, *by).join(facts, list(by)).withColumn("raw_threshold", _raw_threshold())
 
 
 def evaluate(scores: DataFrame, *by: str) -> DataFrame:
-    """Everything per group (class and metric, say): auroc, threshold, accuracy, precision, recall, f1, in one plan."""
-    oriented = orient_scores(scores, *by)
-    thresholds = thresholds_table(oriented, *by)
-    return auroc(oriented, *by).join(thresholds, list(by), "left").join(classification_metrics(oriented.drop("inverted", "max_score"), thresholds.select(*by, "threshold"), *by), list(by), "left")
+    """Everything per group (class and metric, say): auroc, threshold, inverted, max_score, raw_threshold, accuracy, precision, recall, f1. The scores are read twice."""
+    c = F.col
+    metrics = _metrics(c("tp"), c("fp"), c("p") - c("tp"), c("n") - c("fp"))
+    return curve_facts(scores, *by, orient=True).select(*by, _folded(c("area")).alias("auroc"), "threshold", "inverted", "max_score", _raw_threshold().alias("raw_threshold"), *[m.alias(k) for k, m in metrics.items()])
 
 
 def macro_mean(metrics: DataFrame, metric: str = "metric") -> DataFrame:

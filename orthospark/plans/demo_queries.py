@@ -168,9 +168,7 @@ _ORIENTED_ROC = ORIENTED_SQL + ROC_SQL[len(SCORES_SQL) :]
 SELECT clsname, round(CASE WHEN auroc < 0.5 THEN 1 - auroc ELSE auroc END, 6) AS auroc, round(threshold, 6) AS threshold, inverted, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy
 FROM area JOIN youden USING (clsname) JOIN sides USING (clsname) JOIN counts USING (clsname)""")
 def evaluate_classes(spark, sf_dir):
-    scores = rounded(E.orient_scores(demo.scores(spark, sf_dir), "clsname"), "score")
-    thresholds = E.thresholds_table(scores, "clsname")
-    metrics = E.auroc(scores, "clsname").join(thresholds, "clsname").join(E.classification_metrics(scores.drop("inverted", "max_score"), thresholds.select("clsname", "threshold"), "clsname"), "clsname")
+    metrics = E.evaluate(demo.scores(spark, sf_dir), "clsname")
     return rounded(metrics, "auroc", "threshold", "accuracy").select("clsname", "auroc", "threshold", "inverted", "accuracy")
 
 
@@ -374,7 +372,7 @@ def one_class_rows(spark, sf_dir):
     return sides[0].unionByName(sides[1]).select("tile_id", "cls", "label", "side")
 
 
-@query("WITH " + TILES_SQL + ", some AS (SELECT * FROM tiles WHERE NOT (orchard = 'site_2' AND case_ = 'case_3')) SELECT tile_id, orchard FROM some WHERE orchard IN (SELECT orchard FROM some GROUP BY orchard HAVING count(DISTINCT case_) = 4)")
+@query("WITH " + TILES_SQL + ", several AS (SELECT * FROM tiles WHERE NOT (orchard = 'site_2' AND case_ = 'case_3')) SELECT tile_id, orchard FROM several WHERE orchard IN (SELECT orchard FROM several GROUP BY orchard HAVING count(DISTINCT case_) = 4)")
 def complete_sites(spark, sf_dir):
     tiles = demo.tiles(spark, sf_dir).where(~((F.col("orchard") == "site_2") & (F.col("case") == "case_3")))
     return D.complete_sites(tiles).select("tile_id", "orchard")

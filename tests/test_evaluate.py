@@ -108,3 +108,39 @@ def test_no_task_orders_all_scores_of_a_class(spark):
     ordered = [w for w in re.findall(r"windowspecdefinition\((.*?), specifiedwindowframe", plan) if "threshold" in w]
     drawn = [w for w in ordered if "__block" not in w]
     assert len(ordered) > len(drawn) == plan.count("WindowGroupLimit ")
+
+
+def test_evaluate_reads_scores_twice(spark, tmp_path):
+    """One aggregation for the facts of a group and one count of its scores; nothing orders a whole group."""
+    table(spark, {"A": A, "B": B}).write.parquet(str(tmp_path / "scores"))
+    plan = E.evaluate(spark.read.parquet(str(tmp_path / "scores")), "clsname")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2
+    windows = re.findall(r"windowspecdefinition\(([^)]*?) (?:ASC|DESC)", plan)
+    assert windows and all("__block" in w for w in windows)
+
+
+def test_evaluate_against_brute_force(spark):
+    """Many scores with ties, turned groups, more scores than blocks, groups of one label, a null group."""
+    rng = random.Random(6)
+    sets = {"up": [(y, round(rng.gauss(50 + 8 * y, 12), 1)) for y in (0, 1) for _ in range(700)], "down": [(y, round(rng.gauss(50 - 9 * y, 12), 1)) for y in (0, 1) for _ in range(400)]}
+    sets |= {"few": [(0, 1.0), (1, 1.0), (1, 2.0)], "good": [(0, 3.0), (0, 4.0)], None: [(0, 1.0), (1, 7.0)]}
+    got = {r.clsname: r for r in E.evaluate(table(spark, sets).repartition(3), "clsname").collect()}
+    assert set(got) == set(sets)
+    for k, rows in sets.items():
+        bad, good = [s for y, s in rows if y], [s for y, s in rows if not y]
+        top = max(s for _, s in rows)
+        turned = bool(bad and good) and sum(bad) / len(bad) < sum(good) / len(good)
+        rows = [(y, top - s if turned else s) for y, s in rows]
+        bad, good = [s for y, s in rows if y], [s for y, s in rows if not y]
+        r = got[k]
+        assert r.inverted == turned and r.max_score == top
+        if not bad or not good:
+            assert r.auroc is None and r.threshold == math.inf
+            continue
+        area = sum((a > b) + (a == b) / 2 for a in bad for b in good) / len(bad) / len(good)
+        assert r.auroc == pytest.approx(max(area, 1 - area))
+        best = max((sum(s >= t for s in bad) * len(good) - sum(s >= t for s in good) * len(bad), t) for t in {s for _, s in rows} | {math.inf})[1]
+        assert r.threshold == best
+        tp, fp = sum(s >= best for s in bad), sum(s >= best for s in good)
+        assert (r.accuracy, r.recall) == pytest.approx(((tp + len(good) - fp) / len(rows), tp / len(bad)))
+        assert r.f1 == pytest.approx(2 * tp / (tp + fp + len(bad)))

@@ -1,4 +1,6 @@
+import hashlib
 import math
+import re
 
 import numpy as np
 import pytest
@@ -131,3 +133,34 @@ def test_scalars(spark):
     with pytest.raises(Exception, match="neither"):
         spark.range(1).select(C.constant_mask(F.lit(2), F.lit(1), F.lit(1))).collect()
     assert math.isclose(spark.range(1).select(C.mean_square(F.array(F.lit(1.0)), F.array(F.lit(3.0)))).first()[0], 4)
+
+
+def _ranked(rows, seed):
+    return sorted(rows, key=lambda k: (hashlib.md5(f"{k}|{seed}".encode()).hexdigest(), k))
+
+
+def test_draws_of_one_large_site(spark):
+    """All tiles at one site: who is drawn is as if the whole site had been ordered, and no window orders it."""
+    rows = [(i, "only", ["case_1", "case_2", "case_3", *["normal"] * 17][i % 20]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "tile_id long, orchard string, case string").repartition(5)
+    normals = [i for i, _, c in rows if c == "normal"]
+    moved = set(_ranked(normals, "s")[:300])
+    split = metadata.train_test_split(df, "tile_id", "s")
+    assert {r.tile_id for r in split.where("case = 'normal' AND split = 'test'").collect()} == moved and split.count() == 6000
+    for k in (0, 1, 1234, 9000):
+        got = metadata.sample_k(df, ["orchard"], "tile_id", k, "q")
+        assert {r.tile_id for r in got.collect()} == set(_ranked([i for i, *_ in rows], "q")[:k])
+    test = metadata.build_test_metadata(split, "tile_id", "t")
+    for name, site in (("all", "all"), ("site", "only")):
+        got = {r.tile_id for r in test.where(f"clsname = '{site}_case_2' AND label = 0").collect()}
+        assert got == set(_ranked(moved, f"t|{name}|case_2")[:300])
+    few = metadata.sample_k(df, ["orchard"], "tile_id", 9, "q")
+    windows = [w for df_ in (split, test, few) for w in re.findall(r"row_number\(\) windowspecdefinition\(([^)]*?) (?:ASC|DESC)", df_._jdf.queryExecution().executedPlan().toString())]
+    assert windows and all("__bin" in w for w in windows) and few.count() == 9
+
+
+def test_draws_with_nulls_and_repeats(spark):
+    df = spark.createDataFrame([(i % 30, None if i % 2 else "a") for i in range(60)], "tile_id long, orchard string")
+    got = metadata.sample_k(df, ["orchard"], "tile_id", 7, "q").collect()
+    assert sorted((r.orchard or "", r.tile_id) for r in got) == sorted((s, k) for s in ("", "a") for k in sorted(_ranked([k for k, o in ((i % 30, "" if i % 2 else "a") for i in range(60)) if o == s], "q"), key=lambda k: (hashlib.md5(f"{k}|q".encode()).hexdigest(), k))[:7])
+    assert metadata.sample_k(df.limit(0), ["orchard"], "tile_id", 7, "q").count() == 0
