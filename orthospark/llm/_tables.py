@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orthospark.sources.scratch import written
 
-__all__ = ["fold", "identified", "lower_ascii", "table", "written"]
+__all__ = ["apart", "fold", "identified", "lower_ascii", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def fold(doc_id: Column, k: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % k
 
 
+def apart(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind as no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def identified(docs: DataFrame) -> DataFrame:
     """``(doc_id, text)`` of the rows that have an id; a null text becomes the empty text."""
     return docs.where(F.col("doc_id").isNotNull()).select(

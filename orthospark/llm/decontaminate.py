@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._tables import identified, written
+from ._tables import apart, identified, written
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
@@ -193,7 +193,7 @@ def _match_slice(part, buf, offsets, vocab, automaton, least) -> pa.RecordBatch:
 
 
 def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document: its words, hit spans in words and in bytes of the text, the longest match, and the items hit."""
+    """Per document, with a hash of its text (key): its words, hit spans in words and in bytes of the text, the longest match, and the items hit."""
     read = identified(docs).withColumn("key", F.xxhash64("text"))
     items, n = _blocks(benchmark, item_id, item_text, window)
 
@@ -203,7 +203,7 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_id:
 
     first = part(0)
     if n == 1:
-        return first.drop("key")
+        return first
     # A row for each document from the first block, hits from the others; they meet by id and text, so repeated rows stay rows.
     first, more = written(first, "matched"), None
     for b in range(1, n):
@@ -212,7 +212,7 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_id:
     listed = more.groupBy("doc_id", "key").agg(*[F.flatten(F.collect_list(c)).alias(f"more_{c}") for c in ("spans", "bytes", "items")], F.max("longest").alias("more_longest"))
     both = first.join(listed, ["doc_id", "key"], "left")
     joined = lambda c: F.array_sort(F.concat(c, F.coalesce(f"more_{c}", F.array().cast(first.schema[c].dataType))))
-    return both.select("doc_id", "n_words", _merge_spans(joined("spans")).alias("spans"), _merge_spans(joined("bytes")).alias("bytes"), F.greatest("longest", "more_longest").alias("longest"), F.array_distinct(joined("items")).alias("items"))
+    return both.select("doc_id", "key", "n_words", _merge_spans(joined("spans")).alias("spans"), _merge_spans(joined("bytes")).alias("bytes"), F.greatest("longest", "more_longest").alias("longest"), F.array_distinct(joined("items")).alias("items"))
 
 
 def _merge_spans(spans):
@@ -238,28 +238,31 @@ def report(matched: DataFrame) -> DataFrame:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept = []
-        for text, spans in zip(batch.column("__text").to_pylist(), batch.column("__bytes").to_pylist(), strict=True):
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column("cut").to_pylist(), strict=True):
             raw, parts, at = text.encode(), [], 0
             for s in spans:
                 parts.append(raw[at : s["start"]])
                 at = s["end"]
             kept.append(b"".join([*parts, raw[at:]]).decode())
-        yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(kept, pa.string())], ["__id", "__kept"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(kept, pa.string())], ["doc_id", "key", "kept"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = 0, max_coverage: float = 0.5) -> DataFrame:
     """``docs`` without benchmark passages: spans of more than ``max_words`` words are cut out of the text (by default every hit
     is), whole documents go where hit words are more than ``max_coverage`` of all. Columns stay; n_chars,
     where there is one, follows the text. Documents without hits, and those with a null id, pass through unchanged; of repeated
-    rows each is cut."""
+    rows each is cut, and two texts under one id are judged and cut each for itself."""
     hit = F.aggregate("spans", F.lit(0), lambda a, s: a + s["end"] - s["start"])
     long_ = F.filter("bytes", lambda b, i: F.element_at("spans", i + 1)["end"] - F.element_at("spans", i + 1)["start"] > max_words)
     found = match(docs, benchmark, window).where(F.size("spans") > 0)
-    found = written(found.select(F.col("doc_id").alias("__id"), (hit > max_coverage * F.col("n_words")).alias("__drop"), long_.alias("__bytes")).dropDuplicates(["__id"]), "contaminated")
-    texts = docs.join(found.where(~F.col("__drop") & (F.size("__bytes") > 0)), F.col("doc_id") == F.col("__id"), "inner").select("__id", F.col("text").alias("__text"), "__bytes")
-    cut = texts.mapInArrow(_cut, "__id long, __kept string").dropDuplicates(["__id"])
-    out = docs.join(found.where("__drop").select("__id"), F.col("doc_id") == F.col("__id"), "left_anti").join(cut, F.col("doc_id") == F.col("__id"), "left")
-    changed = {"text": F.coalesce("__kept", "text")}
+    found = written(found.select("doc_id", "key", (hit > max_coverage * F.col("n_words")).alias("drop"), long_.alias("cut")).dropDuplicates(["doc_id", "key"]), "contaminated")
+    texts = identified(docs).withColumn("key", F.xxhash64("text")).join(found.where(~F.col("drop") & (F.size("cut") > 0)), ["doc_id", "key"])
+    cut = texts.select("doc_id", "key", "text", "cut").mapInArrow(_cut, "doc_id long, key long, kept string").dropDuplicates(["doc_id", "key"])
+    id_, key, kept = (apart(docs, c) for c in ("of", "key", "kept"))
+    same = (F.col("doc_id") == F.col(id_)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(key))
+    named = lambda df, *more: df.select(F.col("doc_id").alias(id_), F.col("key").alias(key), *more)
+    out = docs.join(named(found.where("drop")), same, "left_anti").join(named(cut, F.col("kept").alias(kept)), same, "left")
+    changed = {"text": F.coalesce(kept, "text")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("__kept").isNotNull(), F.length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        changed["n_chars"] = F.when(F.col(kept).isNotNull(), F.length(kept).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumns(changed).select(*docs.columns)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import identified, written
+from ._tables import apart, identified, written
 
 DIVISOR = 3
 SALTS = 8
@@ -81,15 +81,15 @@ def report(docs: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame) -> DataFrame:
     """``docs`` without repeated chunks in their texts; n_chars, where there is one, follows the text."""
-    gone = repeated_chunks(docs).select(F.col("doc_id").alias("__id"), F.col("places").alias("__places"))
-    joined = docs.join(gone, F.col("doc_id") == F.col("__id"), "left").withColumn("__row", F.struct(*[F.col(c) for c in docs.columns]))
-    parts = _chunked(joined.select("__row", F.col("__places").alias("places"), F.coalesce("text", F.lit("")).alias("text")))
-    text = F.when(F.col("places").isNull(), F.col("__row.text")).otherwise(F.array_join(_left(), "\n"))
-    out = parts.withColumn("__text", text).select("__text", F.col("places").isNull().alias("__whole"), "__row.*")
-    changed = {"text": F.col("__text")}
+    id_, at = apart(docs, "of"), apart(docs, "at")
+    gone = repeated_chunks(docs).select(F.col("doc_id").alias(id_), F.col("places").alias(at))
+    joined = docs.join(gone, F.col("doc_id") == F.col(id_), "left").select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(at).alias("places"), F.coalesce("text", F.lit("")).alias("text"))
+    left = F.when(F.col("places").isNull(), F.col("row.text")).otherwise(F.array_join(_left(), "\n"))
+    out = _chunked(joined).select("row", F.col("places").isNull().alias("whole"), left.alias("left"))
+    changed = {"text": F.col("left")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("__whole"), F.col("n_chars")).otherwise(F.length("__text").cast(docs.schema["n_chars"].dataType))
-    return out.withColumns(changed).select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("whole"), F.col("row.n_chars")).otherwise(F.length("left").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 ORACLE = f"""

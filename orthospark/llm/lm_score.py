@@ -20,7 +20,7 @@ join. Nothing that grows with the corpus comes to the driver. Words of over ``LO
 their length; for the re-estimation they are cut into stretches of that length.
 
 Null and empty texts are their end token alone. Repeated rows are counted and scored as often as they
-occur; rows with a null id are left out. Only doc_id and text are read.
+occur, two texts under one id each for itself; rows with a null id are left out. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -295,7 +295,8 @@ def _occurrences(frequent):
                 at = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
                 often = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
                 n = part.num_rows
-                each = [np.bincount(words.text[often], v[at[often]], minlength=n) for v in (known, base, plain)]
+                # Counts of nothing are whole numbers whatever the weights are.
+                each = [np.bincount(words.text[often], v[at[often]], minlength=n).astype(float) for v in (known, base, plain)]
                 usual = often.copy()
                 usual[often] = common[at[often]]
                 log = np.bincount(words.text[usual], model[at[usual]], minlength=n) * np.log(10)
@@ -312,11 +313,11 @@ def _occurrences(frequent):
                 new[1:] = (rare[1:] != rare[:-1]) | (text[1:] != text[:-1])
                 lead = np.flatnonzero(new)
                 times = np.diff(np.append(lead, len(rare)))
-                ids = part.column("doc_id").to_numpy()
+                ids, keys = (part.column(c).to_numpy() for c in ("doc_id", "key"))
                 own = [pa.array(np.diff(words.first).astype(np.int64)), pa.array(each[0].astype(np.int64)), pa.array(each[1]), pa.array(log / np.log(10)), pa.array(each[2]), _text.by_text(places, words.first)]
                 own = pa.StructArray.from_arrays(own, ["n_tokens", "n_known", "base", "model", "plain", "common"])
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), part.column("doc_id"), pa.nulls(n, pa.int32()), own], ["h", "doc_id", "times", "own"])
-                yield pa.RecordBatch.from_arrays([pa.array(rare[lead].view(np.int64)), pa.array(ids[text[lead]]), pa.array(times.astype(np.int32)), pa.nulls(len(lead), own.type)], ["h", "doc_id", "times", "own"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), part.column("doc_id"), part.column("key"), pa.nulls(n, pa.int32()), own], ["h", "doc_id", "key", "times", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(rare[lead].view(np.int64)), pa.array(ids[text[lead]]), pa.array(keys[text[lead]]), pa.array(times.astype(np.int32)), pa.nulls(len(lead), own.type)], ["h", "doc_id", "key", "times", "own"])
 
     return run
 
@@ -351,7 +352,8 @@ def _together(seeds: np.ndarray):
 def _evidences(topics: Topics, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """Parts of a batch, of bounded numbers of words, with the places of their words and the log odds of each topic."""
     sizes = np.cumsum(np.diff(np.asarray(batch.column("common").offsets)))
-    cuts = np.unique(np.searchsorted(sizes, np.arange(0, sizes[-1] + 1, 1 << 19), "right")) if len(sizes) else []
+    # The first part begins with the first text, which may have no words.
+    cuts = np.unique([0, *np.searchsorted(sizes, np.arange(1 << 19, sizes[-1] + 1, 1 << 19), "right")]) if len(sizes) else []
     for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=False):
         part = batch.slice(int(a), int(b - a))
         places, first = _places(part)
@@ -384,7 +386,7 @@ def _with_topics(sent):
         for batch in batches:
             for part, _, _, odds in _evidences(topics, batch):
                 model = part.column("model").to_numpy() + np.logaddexp.reduce(odds, axis=1) / np.log(10)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "n_tokens", "n_known", "base")), pa.array(model), part.column("plain")], ["doc_id", "n_tokens", "n_known", "base", "model", "plain"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "key", "n_tokens", "n_known", "base")), pa.array(model), part.column("plain")], ["doc_id", "key", "n_tokens", "n_known", "base", "model", "plain"])
 
     return run
 
@@ -472,17 +474,17 @@ def score(docs: DataFrame, pieces: Pieces, held_out=None, discount: float = DISC
     masses = 10 ** model[np.searchsorted(hashes, common)]
     other = max(1 - end_share - float(masses.sum()), 1e-9)
     frequent = [hashes, known, base, model, plain, _no_topics(common), urn, other]
-    rows = written(read.select("doc_id", "text").mapInArrow(_occurrences(broadcast(frequent)), f"h long, doc_id long, times int, own {_OWN}"), "occurrences")
-    own = rows.where("own is not null").select("doc_id", "own.*")
+    rows = written(read.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_occurrences(broadcast(frequent)), f"h long, doc_id long, key long, times int, own {_OWN}"), "occurrences")
+    own = rows.where("own is not null").select("doc_id", "key", "own.*")
     train = own.withColumn("held_out", held).where(~F.col("held_out")).select("common")
     found = find_topics(train, common, seeds, masses, other, topics)
-    of_documents = own.select("doc_id", "n_tokens", "n_known", "base", "model", "plain", "common").mapInArrow(_with_topics(broadcast(found)), "doc_id long, n_tokens long, n_known long, base double, model double, plain double")
+    of_documents = own.select("doc_id", "key", "n_tokens", "n_known", "base", "model", "plain", "common").mapInArrow(_with_topics(broadcast(found)), "doc_id long, key long, n_tokens long, n_known long, base double, model double, plain double")
     times = F.col("times")
     drawn = _drawn(urn / other * F.pow(F.lit(10.0), "model"), times, F.log) / float(np.log(10))
-    of_words = rows.where("h is not null").select("h", "doc_id", "times").join(weighed.select("h", "known", "base", "model", "plain"), "h").select(
-        "doc_id", F.lit(None).cast("long").alias("n_tokens"), (times * F.col("known").cast("int")).cast("long").alias("n_known"), (times * F.col("base")).alias("base"), drawn.alias("model"), (times * F.col("plain")).alias("plain")
+    of_words = rows.where("h is not null").select("h", "doc_id", "key", "times").join(weighed.select("h", "known", "base", "model", "plain"), "h").select(
+        "doc_id", "key", F.lit(None).cast("long").alias("n_tokens"), (times * F.col("known").cast("int")).cast("long").alias("n_known"), (times * F.col("base")).alias("base"), drawn.alias("model"), (times * F.col("plain")).alias("plain")
     )
-    sums = of_documents.unionByName(of_words).groupBy("doc_id").agg(F.count("n_tokens").alias("copies"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "model", "plain")])
+    sums = of_documents.unionByName(of_words).groupBy("doc_id", "key").agg(F.count("n_tokens").alias("copies"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "model", "plain")])
     one = lambda c: F.col(c) / F.col("copies")  # noqa: E731  repeated documents have equal sums
     end_base, end_model, end_plain = float(np.log10(ends + 0.1)) - none, float(np.log10(end_share)), float(np.log10(1 - own_weights.sum()))
     out = sums.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))

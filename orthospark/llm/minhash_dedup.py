@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from orthospark.operators.graph import connected, contracted
 
 from . import _text
-from ._tables import identified, written
+from ._tables import apart, identified, written
 
 WORDS = 5
 PERCENT = 80
@@ -238,5 +238,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 def deduplicate(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one with the smallest id.
     Documents without words are all kept; so are rows with a null id."""
-    gone = near_duplicates(docs, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    name = apart(docs, "gone")
+    gone = near_duplicates(docs, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

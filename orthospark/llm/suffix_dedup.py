@@ -16,7 +16,7 @@ and of windows of hot anchors within a slice, is that of 64-bit hashes; across s
 compared by 128-bit digests as well, all other windows by bytes.
 
 Texts are UTF-8 bytes; null and empty ones have none, and shorter ones than ``LENGTH`` lose nothing. Repeated
-rows of a document are the same document and lose the same. Rows with a null id are left out. Only doc_id
+rows of a document are the same document and lose the same; an id with several texts is an error. Rows with a null id are left out. Only doc_id
 and text are read.
 """
 
@@ -295,11 +295,20 @@ def _repeats(length: int):
     return run
 
 
+def _one_text_each(read: DataFrame) -> None:
+    """Places are told apart by doc_id, so an id can't stand for two texts."""
+    key = F.xxhash64("text")
+    twice = read.groupBy("doc_id").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a != b").select("doc_id").limit(5).collect()
+    if twice:
+        raise ValueError(f"one doc_id has several texts, such as {sorted(r.doc_id for r in twice)}")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``(doc_id, start, end)``: bytes that are in a ``length``-byte string with an earlier occurrence; spans overlap."""
     if not 0 <= length - gram < 255:
         raise ValueError("a window may hold 1 to 255 anchors")
     read = identified(docs)
+    _one_text_each(read)
     marks = read.mapInArrow(_marker(length, gram), "anchor long, doc_id long, mark long")
     open_ = F.col("mark").bitwiseAND(F.lit(1)) == 0
     # One shuffle of numbers; repeats that are settled lie apart from the anchors.

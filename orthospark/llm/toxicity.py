@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._tables import fold, identified
+from ._tables import apart, fold, identified
 
 MAX_LABELLED = 50_000
 CELLS = 1 << 20
@@ -235,5 +235,6 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """``docs`` without the documents scored at ``threshold`` or more; rows with a null id stay."""
-    toxic = segments(docs, fit(docs, labels, "toxic", max_labelled)).where(F.col("score") >= threshold).select(F.col("doc_id").alias("__gone"))
-    return docs.join(toxic, F.col("doc_id") == F.col("__gone"), "left_anti")
+    name = apart(docs, "gone")
+    toxic = segments(docs, fit(docs, labels, "toxic", max_labelled)).where(F.col("score") >= threshold).select(F.col("doc_id").alias(name))
+    return docs.join(toxic, F.col("doc_id") == F.col(name), "left_anti")
