@@ -1,7 +1,6 @@
 """Connected regions of 0/1 masks, and the cleaning built on them.
 
-Masks are dense: a row (raster_id, y, x, v) for every cell. Regions are found on runs of set cells in a row, not on
-cells; other keys than raster_id, such as a segment, can be added.
+Masks are dense: a row (raster_id, y, x, v) for every cell; regions are those of :mod:`orthospark.operators.regions`.
 """
 
 from __future__ import annotations
@@ -12,35 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orthospark.functions.columns import hsv_between
-from orthospark.operators.graph import connected
 from orthospark.operators.grids import remove_labels
-from orthospark.operators.windows import close, dilate, ellipse_dilate, ellipse_erode, erode, l1_dilate
+from orthospark.operators.regions import RASTER, label_components
+from orthospark.operators.windows import chessboard_distance, close, dilate, ellipse_dilate, ellipse_erode, erode, l1_dilate, within_box
 from orthospark.sources.scratch import written
 
-RASTER = ["raster_id"]
-
-
-def runs(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Set cells with the start x of their run in the row, and a number that only that run has once the rows are written."""
-    row = Window.partitionBy(*keys, "y").orderBy("x")
-    grouped = cells.where("v = 1").withColumn("__id", F.monotonically_increasing_id()).withColumn("__g", F.col("x") - F.row_number().over(row))
-    run = Window.partitionBy(*keys, "y", "__g")
-    return grouped.withColumn("run", F.min("x").over(run)).withColumn("id", F.min("__id").over(run)).drop("__g", "__id")
-
-
-def label_components(cells: DataFrame, conn: int = 4, keys: list[str] = RASTER) -> DataFrame:
-    """Set cells with comp_id: the least y * width + x of their 4- or 8-connected region."""
-    on = written(runs(cells, keys), "runs")
-    # A cell meets those it touches in the next row, so the join grows with the cells and never pairs the runs of a row.
-    aside = F.array(*[F.col("x") + d for d in ((-1, 0, 1) if conn == 8 else (0,))])
-    below = on.select(*keys, (F.col("y") - 1).alias("y"), "x", F.col("id").alias("v"))
-    edges = on.select(*keys, "y", F.explode(aside).alias("x"), F.col("id").alias("u")).join(below, [*keys, "y", "x"]).select("u", "v").distinct()
-    found = on.join(connected(edges), F.col("id") == F.col("node"), "left").withColumn("__root", F.coalesce("root", "id")).drop("id", "node", "root", "run")
-    width = cells.groupBy(*keys).agg((F.max("x") + 1).alias("__w"))
-    place = F.col("y").cast("long") * F.col("__w") + F.col("x")
-    first = found.join(width, keys).groupBy(*keys, "__root").agg(F.min(place).alias("comp_id"))
-    return found.join(first, [*keys, "__root"]).drop("__root")
-
 
 def region_areas(labelled: DataFrame, keys: list[str] = RASTER) -> DataFrame:
     return labelled.groupBy(*keys, "comp_id").agg(F.count("*").alias("area"))
@@ -199,30 +174,45 @@ def adaptive_close(cells: DataFrame, threshold: float, least: int, sizes: tuple[
     return done.unionByName(open_)
 
 
+def _bands(most: int) -> list[list[int]]:
+    """Radii 1 to ``most``, in bands twice as long each."""
+    return [list(range(1 << i, min(1 << (i + 1), most + 1))) for i in range(most.bit_length())]
+
+
+def _cut_cores(levels: DataFrame, key: list[str], least_share: float) -> DataFrame:
+    """Parts (key, radius, comp_id, y, x) of the segments that fall into several large ones, at the least radius ``r`` at which they do; levels: (key, r, y, x)."""
+    by = [*key, "r"]
+    core = written(label_components(levels.withColumn("v", F.lit(1)), 8, by), "cores")
+    sizes = core.groupBy(*by, "comp_id").agg(F.count("*").alias("n"))
+    whole = sizes.groupBy(*by).agg(F.sum("n").alias("all"))
+    large = sizes.join(whole, by).where(F.col("n") >= F.floor(F.col("all") * least_share)).select(*by, "comp_id")
+    least = large.groupBy(*by).agg(F.count("*").alias("parts")).where("parts > 1").groupBy(*key).agg(F.min("r").alias("r"))
+    return core.join(large.join(least, by), [*by, "comp_id"], "left_semi").drop("v")
+
+
 def split_weak_bridges(cells: DataFrame, most_width: int, least_share: float, depth: int) -> DataFrame:
     """Parts (raster_id, y, x, comp_id) of 8-connected regions after cutting narrow bridges.
 
-    All open segments of a depth are eroded together, with a wider box each step; one that falls into several large
-    parts is replaced by them, dilated back within it, and goes one deeper."""
+    At each depth the distance of all open segments' cells to what is around them is worked out once; the erosion by a box of width k is
+    a level of it. Levels are looked at in bands of widths, twice as many each time; a segment that falls into several large
+    parts is replaced by them, dilated back within it by the same box, and goes one deeper. The others go on to the next band."""
     found = written(label_components(cells, 8).select(*RASTER, "y", "x", F.col("comp_id").cast("string").alias("seg")), "segments")
     key = [*RASTER, "seg"]
-    settled = None
+    most, settled = (most_width - 1) // 2, None
     for _ in range(depth):
         split = None
-        for k in range(3, most_width + 1, 2):
-            frame = _framed(cells, found, k, key)
-            core = written(label_components(erode(frame, k, key), 8, key), "cores")
-            sizes = core.groupBy(*key, "comp_id").agg(F.count("*").alias("n"))
-            large = sizes.withColumn("all", F.sum("n").over(Window.partitionBy(*key))).where(F.col("n") >= F.floor(F.col("all") * least_share)).withColumn("parts", F.count("*").over(Window.partitionBy(*key))).where("parts > 1")
-            large = written(large.select(*key, "comp_id"), "large")
-            if large.isEmpty():
+        distances = written(chessboard_distance(_framed(cells, found, 1, key), most, key).where("distance > 1"), "distances")
+        for radii in _bands(most):
+            levels = distances.join(found.select(*key).distinct(), key, "left_semi").withColumn("r", F.explode(F.sequence(F.lit(radii[0]), F.lit(radii[-1])))).where("r < distance").drop("distance")
+            parts = written(_cut_cores(levels, key, least_share), "parts")
+            if parts.isEmpty():
                 continue
-            part = large.withColumn("new", F.concat_ws("/", "seg", F.col("comp_id").cast("string")))
-            board = _framed(cells, core.join(part, [*key, "comp_id"]).select(*key, "new", "y", "x"), k, [*key, "new"])
-            back = dilate(board, k, [*key, "new"]).where("v = 1").join(found, [*key, "y", "x"], "left_semi").select(*RASTER, "y", "x", F.col("new").alias("seg"))
-            back = written(back, "parts")
+            part = [*key, "new", "r"]
+            named = parts.withColumn("new", F.concat_ws("/", "seg", "r", "comp_id"))
+            back = within_box(_framed(cells, named, radii[-1], part), F.col("r"), part).where("v = 1").join(found, [*key, "y", "x"], "left_semi")
+            back = written(back.select(*RASTER, "y", "x", F.col("new").alias("seg")), "split")
             split = back if split is None else split.unionByName(back)
-            found = written(found.join(large.select(*key).distinct(), key, "left_anti"), "segments")
+            found = written(found.join(parts.select(*key).distinct(), key, "left_anti"), "segments")
         settled = found if settled is None else settled.unionByName(found)
         if split is None:
             break

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Farther than any two cells of a line.
+FAR = 1 << 30
+
 
 def _reach(k: int, mirrored: bool = False) -> tuple[int, int]:
     """Offsets that a kernel of width k covers, around its anchor k // 2, or the other way round."""
@@ -67,6 +70,36 @@ def l1_dilate(cells: DataFrame, radius: int, keys: list[str], value: str = "v")
     return row.withColumn(value, F.when(d <= radius, 1).otherwise(0)).drop("__d")
 
 
+def _nearest(at: Column, keys: list[str], along: str) -> tuple[Column, Column]:
+    """The last ``at`` that isn't null before a cell or on it, and the next one, running along rows or columns from either end."""
+    line = Window.partitionBy(*keys, "y" if along == "x" else "x")
+    return tuple(F.last(at, True).over(line.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) for order in (F.asc(along), F.desc(along)))
+
+
+def _gap(at: Column, keys: list[str], along: str) -> Column:
+    """How far the nearest ``at`` that isn't null is along the line; far where there is none."""
+    before, after = _nearest(at, keys, along)
+    return F.least(F.coalesce(F.col(along) - before, F.lit(FAR)), F.coalesce(after - F.col(along), F.lit(FAR)))
+
+
+def chessboard_distance(cells: DataFrame, most: int, keys: list[str], value: str = "v") -> DataFrame:
+    """keys, y, x, distance of the set cells of a 0/1 mask: to the nearest cell there is that isn't set, in steps of a king, at most ``most`` + 1.
+
+    Two separable passes: along rows, how far the nearest such cell is; down columns, for each r how far the
+    nearest row is in which it is at most r away. A cell outlives the erosion by a box of 2 r + 1 if that is more than r, so the box's erosions are
+    the levels of the distance, and none of them costs a pass of its own."""
+    row = cells.withColumn("__g", _gap(F.when(F.col(value) == 0, F.col("x")), keys, "x"))
+    away = {r: _gap(F.when(F.col("__g") <= r, F.col("y")), keys, "y") for r in range(1, most + 1)}
+    levels = row.select(*keys, "y", "x", value, *[(d > r).cast("int").alias(f"__{r}") for r, d in away.items()])
+    return levels.where(F.col(value) == 1).select(*keys, "y", "x", sum((F.col(f"__{r}") for r in away), F.lit(1)).alias("distance"))
+
+
+def within_box(cells: DataFrame, radius: Column, keys: list[str], value: str = "v") -> DataFrame:
+    """Dilation of a 0/1 mask by a box of 2 ``radius`` + 1, a radius that may differ from key to key, at a cost free of it: rows first, then columns."""
+    row = cells.withColumn("__r", radius).withColumn("__g", _gap(F.when(F.col(value) == 1, F.col("x")), keys, "x"))
+    return row.withColumn(value, (_gap(F.when(F.col("__g") <= F.col("__r"), F.col("y")), keys, "y") <= F.col("__r")).cast("int")).drop("__g", "__r")
+
+
 def ellipse_dilate(cells: DataFrame, k: int, keys: list[str], value: str = "v") -> DataFrame:
     """Dilation by a k by k ellipse: a row window for each row of the kernel, and the largest of them."""
     return _ellipse(cells, k, keys, value, F.max)

@@ -12,6 +12,7 @@ from orthospark.operators import windows as W
 from orthospark.plans import demo
 from orthospark.plans.demo import MASK_SQL
 from orthospark.plans.demo_queries import BOX_SQL, RASTER, query, rounded
+from orthospark.sources.scratch import written
 
 #: Within the 64 by 64 rasters of the demo.
 _INSIDE = "y BETWEEN 0 AND 63 AND x BETWEEN 0 AND 63"
@@ -162,6 +163,53 @@ def keep_low_nodata_segments(spark, sf_dir):
     return M.keep_low_nodata_segments(wide, _nodata(spark, sf_dir), 1, 60, 0.3, most_width=3, least_share=0.05, depth=1).select("raster_id", "y", "x", "v")
 
 
+def _split_sql(segs: str, widths: range, depth: int, share: float) -> str:
+    """CTEs up to final(raster_id, seg, y, x): ``segs(raster_id, seg, y, x)`` split at so many depths by boxes of the widths, in turn."""
+    out, done = [], []
+    for d in range(depth):
+        open_, split = segs, []
+        for k in widths:
+            t, r = f"d{d}k{k}_", k // 2
+            around = " * ".join(f"(least(a.{c} + {r}, 63) - greatest(a.{c} - {r}, 0) + 1)" for c in "yx")
+            box = f"range({-r}, {r + 1}) i(i), range({-r}, {r + 1}) j(i)"
+            out.append(f"""{t}eroded AS MATERIALIZED (SELECT a.raster_id, a.seg, a.y, a.x FROM {open_} a, {box}, {open_} b WHERE b.raster_id = a.raster_id AND b.seg = a.seg AND b.y = a.y + i.i AND b.x = a.x + j.i GROUP BY ALL HAVING count(*) = {around})""")
+            out.append(regions_sql(8, f"SELECT * FROM {t}eroded", t, "raster_id, seg"))
+            out.append(f"""{t}sizes AS (SELECT *, sum(n) OVER (PARTITION BY raster_id, seg) AS whole FROM (SELECT raster_id, seg, comp_id, count(*) AS n FROM {t}regions GROUP BY ALL)),
+{t}large AS MATERIALIZED (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY raster_id, seg) AS parts FROM {t}sizes WHERE n >= floor(whole * {share})) WHERE parts > 1),
+{t}back AS MATERIALIZED (SELECT DISTINCT s.raster_id, s.seg || '/{k}/' || l.comp_id AS seg, s.y, s.x FROM {t}regions c JOIN {t}large l USING (raster_id, seg, comp_id), {box}, {open_} s WHERE s.raster_id = c.raster_id AND s.seg = c.seg AND s.y = c.y + i.i AND s.x = c.x + j.i),
+{t}open AS MATERIALIZED (SELECT * FROM {open_} WHERE (raster_id, seg) NOT IN (SELECT (raster_id, seg) FROM {t}large))""")
+            open_ = f"{t}open"
+            split.append(f"SELECT * FROM {t}back")
+        done.append(f"SELECT * FROM {open_}")
+        segs = f"d{d}split"
+        out.append(f"{segs} AS MATERIALIZED ({' UNION ALL '.join(split)})")
+    return ",\n".join(out) + f", final AS MATERIALIZED ({' UNION ALL '.join([*done, f'SELECT * FROM {segs}'])})"
+
+
+#: Squares of 8 by 8, and of 4 by 4 between them, wherever some place of the mask is set: bodies with bridges of several widths.
+_BODIES = """bodies AS MATERIALIZED (SELECT m.raster_id, m.y, m.x, greatest(a.v, b.v * c.v) AS v FROM mask m JOIN mask a ON a.raster_id = m.raster_id AND a.y = m.y // 8 AND a.x = m.x // 8
+  JOIN mask b ON b.raster_id = m.raster_id AND b.y = 32 + m.y // 4 AND b.x = m.x // 4 JOIN mask c ON c.raster_id = m.raster_id AND c.y = 32 + m.y // 4 AND c.x = 16 + m.x // 4)"""
+
+
+def _bodies(spark, sf_dir):
+    mask = demo.mask(spark, sf_dir)
+    of = lambda side, dy, dx, name: mask.select("raster_id", (F.col("y") - dy).alias(f"{name}_y"), (F.col("x") - dx).alias(f"{name}_x"), F.col("v").alias(name)).where(f"{name}_y BETWEEN 0 AND {side} AND {name}_x BETWEEN 0 AND {side}")
+    at = mask.select("raster_id", "y", "x", *[F.floor(F.col(c) / k).cast("int").alias(f"{n}_{c}") for n, k in (("a", 8), ("b", 4), ("c", 4)) for c in ("y", "x")])
+    for name, side, dy, dx in (("a", 7, 0, 0), ("b", 15, 32, 0), ("c", 15, 32, 16)):
+        at = at.join(of(side, dy, dx, name), ["raster_id", f"{name}_y", f"{name}_x"])
+    return at.select("raster_id", "y", "x", F.greatest(F.col("a"), F.col("b") * F.col("c")).alias("v"))
+
+
+@query(_START + _BODIES + ", " + regions_sql(8, "SELECT raster_id, y, x FROM bodies WHERE v = 1", "seg_") + """,
+segs AS MATERIALIZED (SELECT raster_id, comp_id::VARCHAR AS seg, y, x FROM seg_regions), """ + _split_sql("segs", range(3, 8, 2), 2, 0.02) + """
+SELECT raster_id, count(*) AS area, min(y * 64 + x)::BIGINT AS first_cell, sum(y * 64 + x)::BIGINT AS places FROM final GROUP BY raster_id, seg""")
+def split_bridges_deep(spark, sf_dir):
+    """Two depths, boxes of 3 to 7."""
+    parts = M.split_weak_bridges(written(_bodies(spark, sf_dir), "bodies"), 7, 0.02, 2)
+    place = F.col("y").cast("long") * 64 + F.col("x")
+    return parts.groupBy("raster_id", "comp_id").agg(F.count("*").alias("area"), F.min(place).alias("first_cell"), F.sum(place).alias("places")).drop("comp_id")
+
+
 #: Blocks of 16 by 16 within the grown mask as candidate segments, on an image of 0 to 255.
 _BLOCKS = MASK_SQL + ", wide AS MATERIALIZED (" + BOX_SQL.format(f="max", t="mask", lo=1, hi=1) + """),
 seg AS MATERIALIZED (SELECT raster_id, (y // 16 * 4 + x // 16)::INT AS seg_id, y, x FROM wide WHERE v = 1),

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from orthospark.operators import masks as M
+from orthospark.operators import regions as R
+from orthospark.operators import windows as W
 from orthospark.plans import demo
 from orthospark.plans import region_queries  # noqa: F401  registers its queries
 from orthospark.plans.demo_queries import QUERIES
@@ -142,3 +144,68 @@ def test_split_query_sees_the_whole_mask(spark):
     for r, areas in parts.items():
         # Cutting a bridge leaves more parts and may lose its cells.
         assert sorted(areas) == sorted(wholes[r]) or len(areas) > len(wholes[r]) and sum(areas) <= sum(wholes[r])
+
+
+def random_mask(seed, h, w, share):
+    return (np.random.default_rng(seed).random((h, w)) < share).astype(int)
+
+
+@pytest.mark.parametrize(("conn", "touching"), [(4, SIDES), (8, ALL_ROUND)])
+def test_blocks_of_every_size_give_the_same_regions(spark, conn, touching):
+    for share, block in ((0.45, 1), (0.55, 4), (0.5, 7), (0.6, 256)):
+        a = random_mask(conn + block, 23, 30, share)
+        got = R.label_components(grid(spark, a.tolist(), kind="int").repartition(3), conn, block=block).collect()
+        wanted = {}
+        for region in flood({("r", y, x) for y, x in zip(*np.nonzero(a), strict=True)}, touching):
+            wanted |= dict.fromkeys(region, min(y * 30 + x for _, y, x in region))
+        assert {("r", r.y, r.x): r.comp_id for r in got} == {(k, int(y), int(x)): int(v) for (k, y, x), v in wanted.items()}
+
+
+def test_edges_follow_the_seams(spark):
+    """A full mask has one region a block: an edge for each two blocks side by side (or corner to corner), whatever their area."""
+    for size, block in ((32, 8), (64, 16)):
+        m = grid(spark, np.ones((size, size), int).tolist(), kind="int")
+        for conn, edges in ((4, 24), (8, 24 + 18)):
+            regions = R.block_regions(m, conn, ["raster_id"], block)
+            assert R.seams(regions, conn, ["raster_id"], block).count() == edges
+    assert R.seams(R.block_regions(m, 8, ["raster_id"], 64), 8, ["raster_id"], 64).count() == 0
+
+
+def test_blocks_across_batches(spark):
+    """Blocks that don't end where a batch does, null keys among them, and a cell that stands there twice."""
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(k, y, x, 1) for k in ("a", "b") for y in range(9) for x in range(9) if (y + x) % 4] + [("a", 0, 1, 1)]
+        got = R.label_components(spark.createDataFrame(rows, "raster_id string, y int, x int, v int"), 4, block=4).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    cells = {(k, y, x) for k, y, x, _ in rows}
+    wanted = {c: min(y * 9 + x for _, y, x in g) for g in flood(cells, SIDES) for c in g}
+    assert {(r.raster_id, r.y, r.x): r.comp_id for r in got} == wanted and len(got) == len(rows)
+
+
+def test_levels_of_the_distance_are_the_erosions(spark):
+    a = random_mask(5, 20, 26, 0.93)
+    m = grid(spark, a.tolist(), kind="int")
+    far = {(r.y, r.x): r.distance for r in W.chessboard_distance(m, 4, ["raster_id"]).collect()}
+    assert set(far) == {(int(y), int(x)) for y, x in zip(*np.nonzero(a), strict=True)}
+    for r in range(1, 5):
+        eroded = {(int(y), int(x)) for y, x in zip(*np.nonzero(array(W.erode(m, 2 * r + 1, ["raster_id"]))), strict=True)}
+        assert {c for c, d in far.items() if d > r} == eroded
+    sparse = grid(spark, random_mask(6, 20, 26, 0.02).tolist(), kind="int")
+    for r in (1, 3, 50):
+        assert (array(W.within_box(sparse, F.lit(r), ["raster_id"])) == array(W.dilate(sparse, 2 * r + 1, ["raster_id"]))).all()
+
+
+def test_bridges_of_several_widths(spark):
+    """Two bodies joined by a bridge of three, one of which has a neck of one: widths up to 5 cut both, a depth each."""
+    a = np.zeros((13, 40), int)
+    a[2:11, 1:10] = a[2:11, 12:21] = a[2:11, 24:33] = 1
+    a[6, 10:12] = 1
+    a[5:8, 21:24] = 1
+    m = grid(spark, a.tolist(), kind="int")
+    areas = lambda *args: sorted(r["count"] for r in M.split_weak_bridges(m, *args).groupBy("comp_id").count().collect())
+    assert areas(3, 0.1, 1) == [81, 81 + 9 + 81]
+    assert areas(5, 0.1, 1) == [81, 81 + 9 + 81]  # a split segment's parts wait for the next depth
+    assert areas(5, 0.1, 2) == [81, 81, 81]
