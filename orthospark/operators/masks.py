@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orthospark.functions.columns import hsv_between
+from orthospark.operators.graph import connected
 from orthospark.operators.grids import remove_labels
 from orthospark.operators.regions import RASTER, label_components
 from orthospark.operators.windows import chessboard_distance, close, dilate, ellipse_dilate, ellipse_erode, erode, l1_dilate, within_box
@@ -148,29 +149,58 @@ def drop_low_variance_segments(cells: DataFrame, bands: DataFrame, threshold: fl
     return painted(cells, remove_labels(labelled, out))
 
 
-def adaptive_close(cells: DataFrame, threshold: float, least: int, sizes: tuple[int, ...] = (3, 9, 15, 21, 27)) -> DataFrame:
+def _merged_regions(labelled: DataFrame, roots: DataFrame, areas: DataFrame, added: DataFrame, level: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Regions (8-connected) after cells were added to them; only the added cells are labelled.
+
+    labelled: (raster_id, y, x, node) of the set cells so far, node being the region in which a cell first was; roots: (node, root), the region
+    that it is part of by now; areas: (raster_id, root, area). New regions and those they touch merge into one node of a higher level."""
+    new = label_components(added.withColumn("v", F.lit(1)), 8)
+    new = written(new.select(*RASTER, "y", "x", F.struct(*RASTER, F.lit(level).alias("level"), "comp_id").alias("node")), "added")
+    steps = F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])
+    near = new.select(*RASTER, F.col("node").alias("u"), F.explode(steps).alias("at")).select(*RASTER, "at.*", "u")
+    touched = near.join(labelled, [*RASTER, "y", "x"]).select("u", "node").distinct()
+    joined = written(connected(touched.join(roots, "node").select("u", F.col("root").alias("v"))).select(F.col("node").alias("root"), F.col("root").alias("top")), "joined")
+    now = lambda df: df.join(joined, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
+    own = new.groupBy(*RASTER, F.col("node").alias("root")).agg(F.count("*").alias("area"))
+    roots = written(now(roots.unionByName(own.select(F.col("root").alias("node"), "root"))), "roots")
+    areas = written(now(areas.unionByName(own)).groupBy(*RASTER, "root").agg(F.sum("area").alias("area")), "areas")
+    return labelled.unionByName(new), roots, areas
+
+
+def adaptive_close(cells: DataFrame, threshold: float, least: int, sizes: tuple[int, ...] = (3, 9, 15, 21, 27), least_change: int = 100) -> DataFrame:
     """Ellipse closings of growing size, one after the other, of each raster until it has enough large regions or
-    the number of regions hardly changes. Rasters that have them from the start stay as they are."""
+    the number of regions changes by less than ``least_change``. Rasters that have them from the start stay as they are.
 
-    def facts(m: DataFrame) -> DataFrame:
-        areas = region_areas(label_components(m, 8)).join(_totals(m), RASTER)
+    A closing only adds cells, so regions only merge: each round labels the cells that it added and merges what they touch,
+    and areas are added up along that tree of regions. Rasters leave when they stop."""
+    key = [*RASTER, "y", "x"]
+
+    def facts(areas: DataFrame) -> DataFrame:
+        sized = areas.join(_totals(cells), RASTER)
         a, t = F.col("area"), threshold * F.col("total")
-        return areas.groupBy(*RASTER).agg(F.count("*").alias("n"), F.count_if(a > t).alias("large"), F.count_if(a > 1.5 * t).alias("larger"), F.count_if(a > 2 * t).alias("largest"))
+        return sized.groupBy(*RASTER).agg(F.count("*").alias("n"), F.count_if(a > t).alias("large"), F.count_if(a > 1.5 * t).alias("larger"), F.count_if(a > 2 * t).alias("largest"))
 
-    start = written(facts(cells).where((F.col("larger") >= least) | (F.col("largest") >= 1)).select(*RASTER), "settled")
+    labelled = written(label_components(cells, 8).select(*key, F.struct(*RASTER, F.lit(0).alias("level"), "comp_id").alias("node")), "regions")
+    areas = labelled.groupBy(*RASTER, F.col("node").alias("root")).agg(F.count("*").alias("area"))
+    roots = written(areas.select(F.col("root").alias("node"), "root"), "roots")
+    start = written(facts(areas).where((F.col("larger") >= least) | (F.col("largest") >= 1)).select(*RASTER), "settled")
+    of_open = lambda df: df.join(start, RASTER, "left_anti")
     done = written(cells.join(start, RASTER, "left_semi"), "masks")
-    open_ = written(cells.join(start, RASTER, "left_anti"), "masks")
+    open_, labelled, areas = written(of_open(cells), "masks"), of_open(labelled), written(of_open(areas), "areas")
     before = open_.select(*RASTER).distinct().withColumn("prev", F.lit(0).cast("long"))
-    for size in sizes:
-        open_ = written(ellipse_erode(ellipse_dilate(open_, size, RASTER), size, RASTER), "masks")
+    for level, size in enumerate(sizes, 1):
+        closed = written(ellipse_erode(ellipse_dilate(open_, size, RASTER), size, RASTER), "masks")
+        added = closed.where("v = 1").join(open_.where("v = 1").select(*key), key, "left_anti").select(*key)
+        labelled, roots, areas = _merged_regions(labelled, roots, areas, added, level)
         # Without regions a raster has only its background, one label.
-        now = written(before.join(facts(open_), RASTER, "left").select(*RASTER, "prev", (F.coalesce("n", F.lit(0)) + 1).alias("n"), F.coalesce("large", F.lit(0)).alias("large")), "counts")
-        stop = now.where((F.col("large") >= least) | (F.abs(F.col("prev") - F.col("n")) < 100)).select(*RASTER)
-        done = done.unionByName(open_.join(stop, RASTER, "left_semi"))
-        open_ = written(open_.join(stop, RASTER, "left_anti"), "masks")
+        now = written(before.join(facts(areas), RASTER, "left").select(*RASTER, "prev", (F.coalesce("n", F.lit(0)) + 1).alias("n"), F.coalesce("large", F.lit(0)).alias("large")), "counts")
+        stop = now.where((F.col("large") >= least) | (F.abs(F.col("prev") - F.col("n")) < least_change)).select(*RASTER)
+        done = done.unionByName(closed.join(stop, RASTER, "left_semi"))
+        open_ = written(closed.join(stop, RASTER, "left_anti"), "masks")
+        if level == len(sizes) or open_.isEmpty():
+            break
         before = now.join(stop, RASTER, "left_anti").select(*RASTER, F.col("n").alias("prev"))
-        if open_.isEmpty():
-            return done
+        labelled, areas = (df.join(stop, RASTER, "left_anti") for df in (labelled, areas))
     return done.unionByName(open_)
 
 

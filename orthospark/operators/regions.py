@@ -113,7 +113,7 @@ def seams(regions: DataFrame, conn: int, keys: list[str], block: int = BLOCK) ->
     near = regions.where(at_end("x") | at_end("y")).select(*keys, node.alias("u"), F.explode(over_either).alias("to")).select(*keys, "to.*", "u")
     # What lies over the border is in the first row or column of its block; aside of a corner it may be in the last.
     border = regions.where((F.col("x") % block).isin(0, block - 1) | (F.col("y") % block).isin(0, block - 1)).select(*keys, "y", "x", node.alias("v"))
-    return near.join(border, [*keys, "y", "x"]).where("u != v").select("u", "v").distinct()
+    return near.join(border, [*keys, "y", "x"]).where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def label_components(cells: DataFrame, conn: int = 4, keys: list[str] = RASTER, block: int = BLOCK) -> DataFrame:

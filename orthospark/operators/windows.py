@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The widest box that slides over a line cell by cell.
+SLIDING = 15
 #: Farther than any two cells of a line.
 FAR = 1 << 30
 
@@ -26,15 +28,42 @@ def _column(keys: list[str], k: int, mirrored: bool = False):
     return Window.partitionBy(*keys, "x").orderBy("y").rangeBetween(*_reach(k, mirrored))
 
 
+def _extreme(cells: DataFrame, value: str, to: str, k: int, keys: list[str], along: str, best, reach: tuple[int, int]) -> DataFrame:
+    """Adds ``to``: the ``best`` value over ``k`` places of the line, from reach[0] to reach[1] around each cell.
+
+    Narrow boxes slide. Those wider than ``SLIDING`` cost the same at any width: lines are cut in blocks of k places, so a box
+    ends in at most two of them; best values run through each block from either end, and a box takes the one from its first cell to
+    the end of that cell's block, and the one from the start of its last cell's block to that cell."""
+    across = "y" if along == "x" else "x"
+    line = Window.partitionBy(*keys, across)
+    if k <= SLIDING:
+        return cells.withColumn(to, best(value).over(line.orderBy(along).rangeBetween(*reach)))
+    low, high = reach
+    block = Window.partitionBy(*keys, across, "__block")
+    running = lambda order: best(value).over(block.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    dealt = cells.repartition(*keys, across).withColumn("__block", F.floor(F.col(along) / k))
+    ends = dealt.withColumn("__head", running(F.asc(along))).withColumn("__tail", running(F.desc(along)))
+    # The last cell there is in the box, and the first one; a block without a cell of the box gives nothing.
+    last = F.last(F.struct("__block", "__head")).over(line.orderBy(along).rangeBetween(Window.unboundedPreceding, high))
+    first = F.last(F.struct("__block", "__tail")).over(line.orderBy(F.desc(along)).rangeBetween(Window.unboundedPreceding, -low))
+    met = ends.withColumn("__last", last).withColumn("__first", first)
+    within = lambda side, what, at: F.when(F.col(side)["__block"] == F.floor((F.col(along) + at) / k), F.col(side)[what])
+    pick = F.greatest if best is F.max else F.least
+    return met.withColumn(to, pick(within("__last", "__head", high), within("__first", "__tail", low))).drop("__block", "__head", "__tail", "__last", "__first")
+
+
+def _box(cells: DataFrame, k: int, keys: list[str], value: str, best, mirrored: bool = False) -> DataFrame:
+    reach = _reach(k, mirrored)
+    return _extreme(_extreme(cells, value, "__row", k, keys, "x", best, reach), "__row", value, k, keys, "y", best, reach).drop("__row")
+
+
 def dilate(cells: DataFrame, k: int, keys: list[str], value: str = "v", mirrored: bool = False) -> DataFrame:
     """Largest value over a k by k box of the cells there are; rows first, then columns. ``mirrored`` matters for even k only."""
-    once = cells.withColumn("__row", F.max(value).over(_row(keys, k, mirrored)))
-    return once.withColumn(value, F.max("__row").over(_column(keys, k, mirrored))).drop("__row")
+    return _box(cells, k, keys, value, F.max, mirrored)
 
 
 def erode(cells: DataFrame, k: int, keys: list[str], value: str = "v") -> DataFrame:
-    once = cells.withColumn("__row", F.min(value).over(_row(keys, k)))
-    return once.withColumn(value, F.min("__row").over(_column(keys, k))).drop("__row")
+    return _box(cells, k, keys, value, F.min)
 
 
 def close(cells: DataFrame, k: int, keys: list[str], value: str = "v") -> DataFrame:

@@ -209,3 +209,52 @@ def test_bridges_of_several_widths(spark):
     assert areas(3, 0.1, 1) == [81, 81 + 9 + 81]
     assert areas(5, 0.1, 1) == [81, 81 + 9 + 81]  # a split segment's parts wait for the next depth
     assert areas(5, 0.1, 2) == [81, 81, 81]
+
+
+def test_wide_boxes_are_the_narrow_ones(spark, monkeypatch):
+    """Blocks give what sliding gives: odd and even widths, mirrored, wider than the raster, on rasters with gaps and negative values."""
+    rng = np.random.default_rng(8)
+    cells = [("r", y, x, int(rng.integers(-50, 50))) for y in range(12) for x in range(17) if rng.random() < 0.7 and not (y == 3 and x < 9)] + [("s", 0, 0, 5)]
+    df = spark.createDataFrame(cells, "raster_id string, y int, x int, v int")
+    value = {c[:3]: c[3] for c in cells}
+    for k, mirrored in ((2, False), (3, False), (4, True), (5, False), (16, False), (41, False)):
+        low, high = W._reach(k, mirrored)
+        monkeypatch.setattr(W, "SLIDING", 1)
+        got = {(r.raster_id, r.y, r.x): r.v for r in W.dilate(df, k, ["raster_id"], mirrored=mirrored).collect()}
+        # Rows first, then columns, over the cells there are.
+        rows = {c: max(v for d, v in value.items() if d[:2] == c[:2] and low <= d[2] - c[2] <= high) for c in value}
+        assert got == {c: max(v for d, v in rows.items() if (d[0], d[2]) == (c[0], c[2]) and low <= d[1] - c[1] <= high) for c in value}
+    eroded = W.erode(df, 7, ["raster_id"]).collect()
+    monkeypatch.setattr(W, "SLIDING", 99)
+    assert sorted(eroded) == sorted(W.erode(df, 7, ["raster_id"]).collect())
+
+
+def test_adaptive_close_stops_raster_by_raster(spark):
+    """Against closing and labelling everything anew each time."""
+    rng = np.random.default_rng(3)
+    rasters = {"thick": (rng.random((24, 24)) < 0.75).astype(int), "thin": (rng.random((24, 24)) < 0.12).astype(int), "middle": (rng.random((24, 24)) < 0.3).astype(int), "none": np.zeros((24, 24), int)}
+    df = spark.createDataFrame([(k, y, x, int(a[y, x])) for k, a in rasters.items() for y in range(24) for x in range(24)], "raster_id string, y int, x int, v int")
+
+    def ellipse(a, k, best):
+        r = k // 2
+        offsets = [(dy, dx) for dy in range(-r, k - r) for dx in range(-round((r * r - dy * dy) ** 0.5), round((r * r - dy * dy) ** 0.5) + 1)]
+        return np.array([[best(a[y + dy, x + dx] for dy, dx in offsets if 0 <= y + dy < 24 and 0 <= x + dx < 24) for x in range(24)] for y in range(24)])
+
+    sizes, t, least, change = (3, 5, 7), 0.2 * 576, 1, 4
+    stopped, want = {}, {}
+    for k, a in rasters.items():
+        areas = lambda a: [len(g) for g in flood({("r", int(y), int(x)) for y, x in zip(*np.nonzero(a), strict=True)}, ALL_ROUND)]
+        stopped[k], prev = 0, 0
+        if not (sum(n > 1.5 * t for n in areas(a)) >= least or any(n > 2 * t for n in areas(a))):
+            for size in sizes:
+                a = ellipse(ellipse(a, size, max), size, min)
+                stopped[k] = size
+                n = len(areas(a)) + 1
+                if sum(x > t for x in areas(a)) >= least or abs(prev - n) < change:
+                    break
+                prev = n
+        want[k] = a
+    assert len(set(stopped.values())) >= 3
+    got = M.adaptive_close(df, 0.2, least, sizes, change)
+    for k, a in want.items():
+        assert (array(got.where(F.col("raster_id") == k)) == a).all(), k
