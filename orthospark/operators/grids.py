@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,27 +21,50 @@ def resample_nearest(cells: DataFrame, h: int, w: int) -> DataFrame:
     return at.join(cells, ["raster_id", "y", "x"]).select("raster_id", F.col("ty").alias("y"), F.col("tx").alias("x"), "v")
 
 
+def _linear(sizes: DataFrame, n: int, align_corners: bool) -> DataFrame:
+    """``(size, at, to, weight)``: how much the cells ``at`` of a line of ``size`` count in the n cells ``to`` of the new one; of each ``to`` they sum to one.
+    A border cell stands in for those outside."""
+    size = F.col("size")
+    s = F.col("to") * (size - 1) / max(n - 1, 1) if align_corners else (F.col("to") + 0.5) * size / n - 0.5
+    at = sizes.distinct().withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("s", F.least(F.greatest(s, F.lit(0.0)), size - 1.0))
+    low = F.floor("s").cast("int")
+    share = F.col("s") - low
+    both = F.array(F.struct(low.alias("at"), (1 - share).alias("weight")), F.struct(F.least(low + 1, size - 1).alias("at"), share.alias("weight")))
+    return at.select("size", "to", F.inline(both)).where("weight > 0")
+
+
 def resample_bilinear(cells: DataFrame, h: int, w: int, align_corners: bool = False) -> DataFrame:
-    """Every target cell weighs its four source cells; a border cell stands in for those outside."""
+    """Rows are resized along x, and what comes of them along y: each time a cell is sent on to the new ones it counts in, by a
+    table of weights a size of raster, and no cell is looked up."""
+    sized = cells.join(_sizes(cells), "raster_id")
+    across = _linear(sized.select(F.col("__w").alias("size")), w, align_corners)
+    rows = sized.join(across, (F.col("__w") == F.col("size")) & (F.col("x") == F.col("at")))
+    rows = rows.groupBy("raster_id", "__h", "y", F.col("to").alias("x")).agg(F.sum(F.col("v") * F.col("weight")).alias("v"))
+    down = _linear(sized.select(F.col("__h").alias("size")), h, align_corners)
+    found = rows.join(down, (F.col("__h") == F.col("size")) & (F.col("y") == F.col("at")))
+    return found.groupBy("raster_id", F.col("to").alias("y"), "x").agg(F.sum(F.col("v") * F.col("weight")).alias("v"))
 
-    def source(t, size, n):
-        s = t * (F.col(size) - 1) / max(n - 1, 1) if align_corners else (t + 0.5) * F.col(size) / n - 0.5
-        return F.least(F.greatest(s, F.lit(0.0)), F.col(size) - 1.0)
 
-    at = _targets(_sizes(cells), h, w).withColumn("sy", source(F.col("ty"), "__h", h)).withColumn("sx", source(F.col("tx"), "__w", w))
-    y0, x0 = F.floor("sy").cast("int"), F.floor("sx").cast("int")
-    fy, fx = F.col("sy") - y0, F.col("sx") - x0
-    corner = lambda dy, dx: F.struct(F.least(y0 + dy, F.col("__h") - 1).alias("y"), F.least(x0 + dx, F.col("__w") - 1).alias("x"), ((fy if dy else 1 - fy) * (fx if dx else 1 - fx)).alias("weight"))
-    corners = at.select("raster_id", "ty", "tx", F.inline(F.array(corner(0, 0), corner(0, 1), corner(1, 0), corner(1, 1))))
-    found = corners.join(cells, ["raster_id", "y", "x"])
-    return found.groupBy("raster_id", F.col("ty").alias("y"), F.col("tx").alias("x")).agg(F.sum(F.col("v") * F.col("weight")).alias("v"))
+def _shares(at: str, size: str, new: str) -> Column:
+    """``(to, part)`` of the one or two new cells over which a cell of a line lies; the parts of a new cell sum to the line's old size.
+    In whole numbers: a cell is ``new`` long, a new cell ``size``."""
+    start, end = F.col(at) * F.col(new), (F.col(at) + 1) * F.col(new)
+    first, last = F.floor(start / F.col(size)).cast("int"), F.floor((end - 1) / F.col(size)).cast("int")
+    return F.transform(F.sequence(first, last), lambda t: F.struct(t.alias("to"), (F.least(end, (t + 1) * F.col(size)) - F.greatest(start, t * F.col(size))).alias("part")))
 
 
 def regrid(cells: DataFrame, h: int, w: int) -> DataFrame:
-    """Down to at most h by w, keeping the sides' ratio: each target cell is the mean of the cells that fall in it."""
-    scale = F.least(F.lit(1.0), F.lit(h) / F.col("__h"), F.lit(w) / F.col("__w"))
-    at = cells.join(_sizes(cells), "raster_id")
-    return at.groupBy("raster_id", F.floor(F.col("y") * scale).cast("int").alias("y"), F.floor(F.col("x") * scale).cast("int").alias("x")).agg(F.avg("v").alias("v"))
+    """Down to at most h by w, keeping the sides' ratio: each new cell is the mean of what lies under it, cells across its border by
+    the part of them that does."""
+    high, wide = F.col("__h").cast("long"), F.col("__w").cast("long")
+    by_height = h * wide <= w * high
+    new_h = F.when((high <= h) & (wide <= w), high).when(by_height, F.lit(h)).otherwise(F.greatest(F.lit(1), F.floor(high * w / wide)))
+    new_w = F.when((high <= h) & (wide <= w), wide).when(by_height, F.greatest(F.lit(1), F.floor(wide * h / high))).otherwise(F.lit(w))
+    at = cells.join(_sizes(cells), "raster_id").withColumn("__nh", new_h.cast("int")).withColumn("__nw", new_w.cast("int"))
+    over = at.withColumn("__y", F.explode(_shares("y", "__h", "__nh"))).withColumn("__x", F.explode(_shares("x", "__w", "__nw")))
+    weight = F.col("__y.part") * F.col("__x.part")
+    whole = F.col("__h").cast("long") * F.col("__w")
+    return over.groupBy("raster_id", F.col("__y.to").alias("y"), F.col("__x.to").alias("x")).agg(F.sum(F.col("v") * weight / whole).alias("v"))
 
 
 def concat_features(scales: list[DataFrame], h: int, w: int) -> DataFrame:

@@ -498,7 +498,8 @@ def resample_bilinear(spark, sf_dir):
     return rounded(G.resample_bilinear(demo.raster(spark, sf_dir), 40, 100), "v", places=5)
 
 
-@query("WITH " + RASTER_SQL + " SELECT raster_id, floor(y * 0.3125)::INT AS y, floor(x * 0.3125)::INT AS x, round(avg(v), 5) AS v FROM raster GROUP BY ALL")
+@query("WITH " + RASTER_SQL + """, part AS (SELECT a.i AS at, t.i AS "to", least(20 * a.i + 20, 64 * t.i + 64) - greatest(20 * a.i, 64 * t.i) AS part FROM range(64) a(i), range(20) t(i) WHERE 20 * a.i < 64 * t.i + 64 AND 64 * t.i < 20 * a.i + 20)
+SELECT raster_id, p."to"::INT AS y, q."to"::INT AS x, round(sum(v * p.part * q.part) / 4096, 5) AS v FROM raster JOIN part p ON p.at = y JOIN part q ON q.at = x GROUP BY ALL""")
 def regrid(spark, sf_dir):
     return rounded(G.regrid(demo.raster(spark, sf_dir), 20, 30), "v", places=5)
 

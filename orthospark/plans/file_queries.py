@@ -12,8 +12,9 @@ from orthospark.operators import metadata as D
 from orthospark.operators import scoring
 from orthospark.operators import tiles as T
 from orthospark.plans import demo
-from orthospark.plans.demo import RUNS_SQL, SCORES_SQL, TILES_SQL
+from orthospark.plans.demo import MASK_SQL, RUNS_SQL, SCORES_SQL, TILES_SQL
 from orthospark.plans.demo_queries import JUDGED_SQL, SEED, SPLIT_SQL, TEST_SQL, limits_of, query, rounded
+from orthospark.sources import npy as NPY
 from orthospark.sources import tables as S
 from orthospark.sources.scratch import shared_dir, written
 
@@ -53,6 +54,52 @@ def result_files(spark, sf_dir):
     return rounded(S.read_results(spark, root), "pred", places=3).select("result_key", "pred")
 
 
+@query("WITH " + SCORES_SQL + """, rows_ AS (SELECT clsname, tile_id, score + 100 AS pred, 3 AS ran FROM scores WHERE clsname <= 'purchase' AND tile_id % 3 = 0 UNION ALL SELECT clsname, tile_id, score, 2 FROM scores WHERE tile_id % 5 > 0
+  UNION ALL SELECT clsname, tile_id, score - 100, 1 FROM scores WHERE clsname <= 'purchase')
+SELECT clsname, clsname || '_r_' || tile_id AS result_key, round(arg_max(pred, ran), 3) AS pred FROM rows_ GROUP BY clsname, tile_id""")
+def merged_results(spark, sf_dir):
+    """Three runs into one table: a first one without every fifth tile, a later one of some classes, and one that comes last but is the oldest."""
+    path = F.concat(F.lit("root/site/r/"), F.col("tile_id"), F.lit(".npy"))
+    of = lambda rows, at, by: rows.select("clsname", path.alias("filename"), F.lit(at).alias("at"), (F.col("score") + by).alias("pred"))
+    scores, root = demo.scores(spark, sf_dir), _folder(spark, "results")
+    some = scores.where("clsname <= 'purchase'")
+    for run in (of(scores.where("tile_id % 5 > 0"), 2, 0), of(some.where("tile_id % 3 = 0"), 3, 100), of(some, 1, -100)):
+        S.write_results(run, root, "at")
+    return rounded(S.read_results(spark, root), "pred", places=3).select("clsname", "result_key", "pred")
+
+
+def _npy(spark, sf_dir) -> str:
+    """Tiles as .npy files, a third of them in the test folder."""
+    split = F.when(F.col("tile_id") % 3 == 0, "test").otherwise("train")
+    root = _folder(spark, "npy")
+    root = root if "://" in root else f"file://{root}"
+    NPY.write_tiles(demo.tiles(spark, sf_dir).select("orchard", split.alias("split"), "case", F.format_string("%d.npy", "tile_id").alias("name"), "height", "width", "channels", "data"), root)
+    return root
+
+
+@query("WITH " + TILES_SQL + """ SELECT orchard, case_ AS "case", tile_id || '.npy' AS name, count(*) AS n, round(sum(v * (y * 8 + x)), 3) AS digest FROM cells WHERE tile_id % 3 = 0 GROUP BY ALL""")
+def npy_tiles(spark, sf_dir):
+    """Written, and the test folders read back."""
+    digest = F.aggregate(F.transform("data", lambda v, i: v * i), F.lit(0.0), lambda s, v: s + v)
+    return NPY.read_tiles(spark, _npy(spark, sf_dir)).where("split = 'test'").select("orchard", "case", "name", F.size("data").cast("long").alias("n"), F.round(digest, 3).alias("digest"))
+
+
+@query("WITH " + TILES_SQL + """ SELECT orchard || '_' || CASE WHEN tile_id % 3 = 0 THEN 'test' ELSE 'train' END || '_' || case_ || '_' || tile_id || '_npy' AS unique_id FROM tiles""")
+def list_inputs(spark, sf_dir):
+    return S.list_inputs(spark, _npy(spark, sf_dir), "*.npy").select("unique_id")
+
+
+@query("WITH " + MASK_SQL + " SELECT raster_id, y, x, m.v AS mask, CASE WHEN r.v > 2000 THEN -32767.0 ELSE 0.0 END AS ref, r.v FROM mask m JOIN raster r USING (raster_id, y, x)")
+def bucketed_layers(spark, sf_dir):
+    """Layers as bucketed tables, which meet without a shuffle."""
+    cells = demo.raster(spark, sf_dir)
+    layers = {"data": cells, "mask": demo.mask(spark, sf_dir).withColumnRenamed("v", "mask"), "ref": cells.select("raster_id", "y", "x", F.when(F.col("v") > 2000, -32767.0).otherwise(0.0).alias("ref"))}
+    named = {name: f"{name}_{uuid.uuid4().hex}" for name in layers}
+    for name, layer in layers.items():
+        S.write_layer(layer, named[name], 8, _folder(spark, name))
+    return T.colocate(*[spark.table(named[name]) for name in layers])
+
+
 @query("WITH " + TILES_SQL + " SELECT orchard, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM cells GROUP BY orchard")
 def stats_files(spark, sf_dir):
     root = _folder(spark, "stats")

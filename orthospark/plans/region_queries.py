@@ -210,6 +210,39 @@ def split_bridges_deep(spark, sf_dir):
     return parts.groupBy("raster_id", "comp_id").agg(F.count("*").alias("area"), F.min(place).alias("first_cell"), F.sum(place).alias("places")).drop("comp_id")
 
 
+def _ellipse_sql(cells: str, k: int, best: str) -> str:
+    """The best value over a k by k ellipse of the places there are."""
+    r = k // 2
+    places = ", ".join(f"({dy}, {dx})" for dy in range(-r, r + 1) for w in [round((r * r - dy * dy) ** 0.5)] for dx in range(-w, w + 1))
+    return f"SELECT a.raster_id, a.y, a.x, {best}(b.v) AS v FROM {cells} a, (VALUES {places}) o(dy, dx), {cells} b WHERE a.raster_id = b.raster_id AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY ALL"
+
+
+def _adaptive_sql(mask: str, threshold: float, least: int, sizes: tuple[int, ...], least_change: int) -> str:
+    """CTEs up to closed_(raster_id, y, x, v): every closing of every raster, and the one at which the raster stops."""
+    out, cells = [], mask
+    facts = lambda n: f"{n}facts AS (SELECT raster_id, count(*) AS n, count_if(area > {threshold} * 4096) AS large, count_if(area > 1.5 * {threshold} * 4096) AS larger, count_if(area > 2 * {threshold} * 4096) AS largest FROM (SELECT raster_id, comp_id, count(*) AS area FROM {n}regions GROUP BY ALL) GROUP BY ALL)"
+    for i, k in enumerate((0, *sizes)):
+        n = f"c{k}_"
+        if i:
+            out += [f"{n}wide AS MATERIALIZED ({_ellipse_sql(cells, k, 'max')})", f"{n}mask AS MATERIALIZED ({_ellipse_sql(f'{n}wide', k, 'min')})"]
+            cells = f"{n}mask"
+        out += [regions_sql(8, f"SELECT raster_id, y, x FROM {cells} WHERE v = 1", n), facts(n)]
+    names = f"(SELECT DISTINCT raster_id FROM {mask})"
+    levels = [f"SELECT 0 AS level, r.raster_id, 0 AS n, coalesce(larger, 0) >= {least} OR coalesce(largest, 0) >= 1 AS enough FROM {names} r LEFT JOIN c0_facts USING (raster_id)"]
+    levels += [f"SELECT {i}, r.raster_id, coalesce(n, 0) + 1, coalesce(large, 0) >= {least} FROM {names} r LEFT JOIN c{k}_facts USING (raster_id)" for i, k in enumerate(sizes, 1)]
+    out.append(f"levels AS ({' UNION ALL '.join(levels)})")
+    out.append(f"stops AS (SELECT raster_id, coalesce(min(level) FILTER (enough OR level > 0 AND abs(n - before) < {least_change}), {len(sizes)}) AS level FROM (SELECT *, lag(n) OVER (PARTITION BY raster_id ORDER BY level) AS before FROM levels) GROUP BY ALL)")
+    masks = [f"SELECT {i} AS level, * FROM {m}" for i, m in enumerate((mask, *[f"c{k}_mask" for k in sizes]))]
+    out.append(f"closed_ AS (SELECT raster_id, y, x, v, level FROM ({' UNION ALL '.join(masks)}) SEMI JOIN stops USING (raster_id, level))")
+    return ",\n".join(out)
+
+
+@query(_START + "bright AS MATERIALIZED (SELECT raster_id, y, x, CASE WHEN v > 2 * m THEN 1 ELSE 0 END AS v FROM raster JOIN (SELECT raster_id, round(avg(v), 6) AS m FROM raster GROUP BY raster_id) USING (raster_id)),\n" + _adaptive_sql("bright", 0.0083, 1, (3, 5, 7), 4) + " SELECT raster_id, y, x, v FROM closed_")
+def adaptive_close(spark, sf_dir):
+    """Rasters stop at different kernels."""
+    return M.adaptive_close(demo.mask(spark, sf_dir, times=2), 0.0083, 1, (3, 5, 7), 4).select("raster_id", "y", "x", "v")
+
+
 #: Blocks of 16 by 16 within the grown mask as candidate segments, on an image of 0 to 255.
 _BLOCKS = MASK_SQL + ", wide AS MATERIALIZED (" + BOX_SQL.format(f="max", t="mask", lo=1, hi=1) + """),
 seg AS MATERIALIZED (SELECT raster_id, (y // 16 * 4 + x // 16)::INT AS seg_id, y, x FROM wide WHERE v = 1),

@@ -7,11 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orthospark.functions.columns import result_key, unique_id
 from orthospark.schema import METADATA, PROJECT, RUN
+from orthospark.sources.npy import as_tile
+from orthospark.sources.scratch import written
 
 
 def list_inputs(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -30,10 +33,7 @@ def read_npy_tiles(spark: SparkSession, glob: str) -> DataFrame:
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                a = np.load(io.BytesIO(content))
-                a = a.reshape(1, -1) if a.ndim == 1 else a
-                h, w, c = *a.shape[:2], a.shape[2] if a.ndim > 2 else 1
-                rows.append((*path.split("/")[-4:], h, w, c, a.astype(float).ravel()))
+                rows.append((*path.split("/")[-4:], *as_tile(np.load(io.BytesIO(content)))))
             yield pd.DataFrame(rows, columns=["orchard", "split", "case", "name", "height", "width", "channels", "data"])
 
     files = spark.read.format("binaryFile").load(glob).select("path", "content")
@@ -60,19 +60,44 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def latest_results(results: DataFrame, at: str) -> DataFrame:
     """One row a result key, the last written; adds result_key from clsname and filename."""
-    keyed = results.withColumn("result_key", result_key(F.col("clsname"), F.col("filename")))
+    return _latest(results.withColumn("result_key", result_key(F.col("clsname"), F.col("filename"))), at)
+
+
+def _latest(keyed: DataFrame, at: str) -> DataFrame:
     w = Window.partitionBy("result_key").orderBy(F.desc(at))
     return keyed.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
 def write_results(results: DataFrame, path: str, at: str) -> None:
-    latest_results(results, at).write.mode("overwrite").partitionBy("clsname").parquet(path)
+    """Merges results into those at ``path``, if there are any: of each key the row with the largest ``at`` stays, whichever run it is of.
+    Only classes that the new results name are read and written again; the files of all others aren't touched."""
+    spark = results.sparkSession
+    new = results.withColumn("result_key", result_key(F.col("clsname"), F.col("filename")))
+    try:
+        # With the new rows' schema: names of classes that look like numbers stay texts.
+        old = spark.read.schema(new.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        old = None
+    if old is not None:
+        new = new.unionByName(old.join(new.select("clsname").distinct(), "clsname", "left_semi"))
+    # Written first, as a table can't be read and replaced at once.
+    merged = written(_latest(new, at), "results")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("clsname").parquet(path)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_layer(cells: DataFrame, name: str, buckets: int, path: str | None = None) -> None:
+    """A layer of rasters as the table ``name``, bucketed and sorted by place: layers with as many buckets meet without a shuffle."""
+    place = ["raster_id", "y", "x"]
+    writer = cells.repartition(buckets, *place).write.mode("overwrite").bucketBy(buckets, *place).sortBy(*place)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+
+
 def write_stats(stats: DataFrame, path: str) -> None:
     stats.write.mode("overwrite").parquet(path)
 

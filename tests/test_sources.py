@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orthospark.operators import scoring, training
+from orthospark.operators import scoring, tiles, training
+from orthospark.sources import npy
 from orthospark.sources import tables as S
 from orthospark.streaming.verdicts import verdict_counts
 
@@ -83,3 +84,59 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(tuple(r)[1:] for r in spark.table("verdicts").collect()) == [("a", 0, 0, 1), ("a", 1, 1, 0), ("b", 0, 0, 1)]
+
+
+def npy_rows(n):
+    return [(f"s{i % 2}", "test" if i % 3 == 0 else "train", "normal", f"{i}.npy", 1, 2, 1, [float(i), 0.5]) for i in range(n)]
+
+
+def test_npy_source_round_trip_and_pruning(spark, tmp_path):
+    """What is written comes back; folders that a filter or an option leaves out aren't opened, so what lies in them needn't even be readable."""
+    tiles = spark.createDataFrame(npy_rows(30), npy.SCHEMA)
+    root = f"file://{tmp_path}/npy"
+    npy.write_tiles(tiles.repartition(3), root)
+    assert sorted(map(tuple, npy.read_tiles(spark, root).collect())) == sorted(npy_rows(30))
+    npy.write_tiles(tiles, root)  # the same files again
+    assert npy.read_tiles(spark, root).count() == 30
+    (tmp_path / "npy" / "s1" / "train" / "normal" / "broken.npy").write_bytes(b"not an array")
+    test = [r for r in npy_rows(30) if r[1] == "test"]
+    assert sorted(map(tuple, npy.read_tiles(spark, root, split="test").collect())) == sorted(test)
+    pushed = npy.read_tiles(spark, root).where("split = 'test' AND orchard = 's0' AND height = 1")
+    assert sorted(map(tuple, pushed.collect())) == sorted(r for r in test if r[0] == "s0")
+    assert npy.read_tiles(spark, root).where("split = 'test' AND split = 'train'").count() == 0
+    with pytest.raises(Exception, match="npy|pickle|magic"):
+        npy.read_tiles(spark, root, split="train").collect()
+    parts = npy.NpyReader({"path": root, "split": "test", "files_per_partition": "4"}).partitions()
+    assert [len(p.files) for p in parts] == [4, 4, 2]
+
+
+def test_results_are_merged_class_by_class(spark, tmp_path):
+    path = str(tmp_path / "results")
+    run = lambda *rows: spark.createDataFrame([(c, f"a/{k}.npy", at, pred) for c, k, at, pred in rows], "clsname string, filename string, at int, pred double")
+    files = lambda c: {p.name: p.stat().st_mtime_ns for p in (tmp_path / "results" / f"clsname={c}").glob("*.parquet")}
+    S.write_results(run(("1", "x", 5, 0.1), ("1", "y", 5, 0.2), ("2", "x", 5, 0.3)), path, "at")
+    before = files("2")
+    # A later row of x, an older one of y, a new one; class 2 isn't named.
+    S.write_results(run(("1", "x", 6, 0.4), ("1", "y", 4, 0.5), ("1", "z", 1, 0.6), ("3", "x", 1, 0.7)), path, "at")
+    got = sorted((r.result_key, round(r.pred, 1)) for r in S.read_results(spark, path).collect())
+    assert got == [("1_a_x", 0.4), ("1_a_y", 0.2), ("1_a_z", 0.6), ("2_a_x", 0.3), ("3_a_x", 0.7)]
+    assert files("2") == before
+    S.write_results(run(), path, "at")
+    assert S.read_results(spark, path).count() == 5
+
+
+def test_bucketed_layers_meet_without_a_shuffle(spark, tmp_path):
+    cells = spark.createDataFrame([("r", y, x, y * 10 + x) for y in range(8) for x in range(8)], "raster_id string, y int, x int, v int")
+    for name in ("v", "mask", "ref"):
+        S.write_layer(cells.withColumnRenamed("v", name), f"layer_{name}", 4, str(tmp_path / name))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = tiles.colocate(*[spark.table(f"layer_{name}") for name in ("v", "mask", "ref")])
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert {(r.v, r.mask, r.ref) for r in met.collect()} == {(y * 10 + x,) * 3 for y in range(8) for x in range(8)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        for name in ("v", "mask", "ref"):
+            spark.sql(f"DROP TABLE layer_{name}")

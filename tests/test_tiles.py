@@ -164,3 +164,35 @@ def test_draws_with_nulls_and_repeats(spark):
     got = metadata.sample_k(df, ["orchard"], "tile_id", 7, "q").collect()
     assert sorted((r.orchard or "", r.tile_id) for r in got) == sorted((s, k) for s in ("", "a") for k in sorted(_ranked([k for k, o in ((i % 30, "" if i % 2 else "a") for i in range(60)) if o == s], "q"), key=lambda k: (hashlib.md5(f"{k}|q".encode()).hexdigest(), k))[:7])
     assert metadata.sample_k(df.limit(0), ["orchard"], "tile_id", 7, "q").count() == 0
+
+
+def test_regrid_shares_cells_by_area(spark):
+    """Ratios that don't divide: each new cell is the mean of the area under it; the whole keeps its mean."""
+    rng = np.random.default_rng(2)
+    for (h, w), (to_h, to_w), (nh, nw) in (((7, 10), (3, 9), (3, 4)), ((5, 5), (4, 9), (4, 4)), ((6, 4), (9, 9), (6, 4)), ((9, 2), (3, 3), (3, 1)), ((1, 7), (5, 2), (1, 2))):
+        a = rng.integers(0, 100, (h, w)).astype(float)
+        across = lambda n, m: np.array([[max(0.0, min((i + 1) * m, (t + 1) * n) - max(i * m, t * n)) / n for i in range(n)] for t in range(m)])
+        rows, columns = across(h, nh), across(w, nw)
+        assert np.allclose(rows.sum(1), 1) and np.allclose(columns.sum(1), 1)
+        got = array(grids.regrid(grid(spark, a.tolist()), to_h, to_w))
+        assert got.shape == (nh, nw) and np.allclose(got, rows @ a @ columns.T)
+        assert got.mean() == pytest.approx(a.mean())
+
+
+def test_bilinear_in_two_passes(spark):
+    """Against the four corners of each new cell, with and without aligned corners, up and down."""
+    rng = np.random.default_rng(4)
+    for (h, w), (nh, nw) in (((4, 6), (9, 5)), ((3, 3), (1, 7)), ((1, 5), (4, 4)), ((8, 8), (3, 3))):
+        a = rng.random((h, w))
+        for align in (False, True):
+            def line(n, m):
+                out = np.zeros((m, n))
+                for t in range(m):
+                    s = t * (n - 1) / max(m - 1, 1) if align else (t + 0.5) * n / m - 0.5
+                    s = min(max(s, 0.0), n - 1.0)
+                    out[t, int(s)] += 1 - (s - int(s))
+                    out[t, min(int(s) + 1, n - 1)] += s - int(s)
+                return out
+
+            got = array(grids.resample_bilinear(grid(spark, a.tolist()), nh, nw, align))
+            assert np.allclose(got, line(h, nh) @ a @ line(w, nw).T)
