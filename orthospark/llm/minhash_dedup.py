@@ -241,3 +241,21 @@ def deduplicate(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     name = apart(docs, "gone")
     gone = near_duplicates(docs, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias(name))
     return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+
+
+#: Every two documents with a shingle in common are compared; components hand their smallest id on from link to link.
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(w[i] || ' ' || coalesce(w[i + 1], '')) AS s FROM (SELECT *, unnest(range(1, greatest(len(w), 2))) AS i FROM words WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT u, v FROM pairs JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v WHERE 100 * common >= 80 * (a.n + b.n - common)),
+ways AS MATERIALIZED (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach(doc_id, component_id) USING KEY (doc_id) AS (
+  SELECT doc_id, doc_id FROM words UNION (
+  SELECT w.v, min(r.component_id) FROM reach r JOIN ways w ON w.u = r.doc_id JOIN recurring.reach o ON o.doc_id = w.v WHERE r.component_id < o.component_id GROUP BY ALL))
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = doc_id AS kept FROM reach LEFT JOIN sizes USING (doc_id)
+"""

@@ -9,7 +9,7 @@ from ._tables import table
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2).drop("n_links")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +78,10 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_minhash_dedup": minhash_dedup.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
+    "op8_decontaminate": decontaminate.ORACLE,
     "op11_filter_audit": filter_audit.ORACLE,
     "op12_mix": mixing.ORACLE,
     "op13_prefix_trie": prefix_trie.ORACLE,
