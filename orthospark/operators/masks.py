@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orthospark.functions.columns import hsv_between
@@ -85,7 +85,8 @@ def filter_regions(cells: DataFrame, least_share: float, least_circularity: floa
     enough, and the largest."""
     closed = written(ellipse_erode(ellipse_dilate(cells, 3, RASTER), 3, RASTER), "closed")
     labelled = written(label_components(closed, 8), "regions")
-    props = region_props(labelled).join(_totals(cells), RASTER).withColumn("__top", F.max("area").over(Window.partitionBy(*RASTER)))
+    props = written(region_props(labelled), "props")  # a row a region
+    props = props.join(_totals(cells), RASTER).join(props.groupBy(*RASTER).agg(F.max("area").alias("__top")), RASTER)
     fits = (F.col("area") >= F.floor(F.col("total") * least_share)) & (F.col("area") <= F.floor(F.col("total") * 0.9)) & (F.col("circularity") >= least_circularity)
     return painted(cells, labelled.join(props.where(fits | (F.col("area") == F.col("__top"))), [*RASTER, "comp_id"], "left_semi"))
 
@@ -138,9 +139,9 @@ def segment_spread(labelled: DataFrame, cells: DataFrame) -> DataFrame:
 
 def zscore_outliers(stats: DataFrame, threshold: float, value: str = "std") -> DataFrame:
     """Regions whose value in any band is more than ``threshold`` deviations below the mean of all regions."""
-    w = Window.partitionBy(*RASTER, "b")
-    z = F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_pop(value).over(w))
-    return stats.withColumn("z", z).groupBy(*RASTER, "comp_id").agg(F.coalesce(F.bool_or(F.col("z") < -threshold), F.lit(False)).alias("outlier"))
+    moments = stats.groupBy(*RASTER, "b").agg(F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__std"))
+    z = F.try_divide(F.col(value) - F.col("__mean"), F.col("__std"))
+    return stats.join(moments, [*RASTER, "b"]).withColumn("z", z).groupBy(*RASTER, "comp_id").agg(F.coalesce(F.bool_or(F.col("z") < -threshold), F.lit(False)).alias("outlier"))
 
 
 def drop_low_variance_segments(cells: DataFrame, bands: DataFrame, threshold: float = 1.5) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from orthospark.schema import CASES, REF_NODATA
 
 TILE = ("orchard", "i", "j")
+#: Size of a quantile sketch, and how far its ranks are off at most, as a share of the values (99 % of the time).
+SKETCH_K, RANK_ERROR = 2048, 0.0025
 
 
 def tiles_to_cells(tiles: DataFrame, *keys: str) -> DataFrame:
@@ -88,6 +90,22 @@ def site_range(percentiles: DataFrame, site: str = "orchard") -> DataFrame:
     return percentiles.groupBy(site, "b").agg(F.min("p1").alias("lo"), F.max("p99").alias("hi"))
 
 
+def site_sketches(cells: DataFrame, site: str = "orchard", k: int = SKETCH_K) -> DataFrame:
+    """A KLL sketch of all values of each site and band, a few kB each, instead of the exact percentiles of each tile. Sketches of different
+    tiles, days or runs merge (:func:`merged_sketches`) into that of all of them."""
+    return cells.groupBy(site, "b").agg(F.kll_sketch_agg_double(F.col("v").cast("double"), k).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, site: str = "orchard", k: int = SKETCH_K) -> DataFrame:
+    return sketches.groupBy(site, "b").agg(F.kll_merge_agg_double("sketch", k).alias("sketch"))
+
+
+def sketched_range(sketches: DataFrame, site: str = "orchard", low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """lo and hi of each site and band: values whose rank is within ``RANK_ERROR`` of the ranks asked for, with a probability of 99 %."""
+    at = lambda rank: F.kll_sketch_get_quantile_double("sketch", F.lit(rank))
+    return sketches.select(site, "b", at(low).alias("lo"), at(high).alias("hi"))
+
+
 def channel_stats(cells: DataFrame, site: str = "orchard") -> DataFrame:
     return cells.groupBy(site, "b").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
 

@@ -255,6 +255,18 @@ def site_range(spark, sf_dir):
     return rounded(T.site_range(T.tile_percentiles(cells, "orchard", "tile_id")), "lo", "hi").drop("b")
 
 
+@query("WITH " + TILES_SQL + " SELECT orchard, count(*) AS n, true AS low_holds, true AS high_holds FROM cells GROUP BY orchard")
+def sketched_range(spark, sf_dir):
+    """Ranks of what the merged sketches of two halves of the tiles give are within the error, with a value of slack."""
+    cells = T.tiles_to_cells(demo.tiles(spark, sf_dir), "tile_id", "orchard")
+    halves = [T.site_sketches(cells.where(F.col("tile_id") % 2 == k)) for k in (0, 1)]
+    found = T.sketched_range(T.merged_sketches(halves[0].unionByName(halves[1])))
+    met = cells.join(found, ["orchard", "b"]).groupBy("orchard").agg(F.count("*").alias("n"), *[F.count_if(F.col("v") < F.col(c)).alias(f"{c}_below") for c in ("lo", "hi")], *[F.count_if(F.col("v") <= F.col(c)).alias(f"{c}_upto") for c in ("lo", "hi")])
+    slack = T.RANK_ERROR * F.col("n") + 1
+    holds = lambda c, rank: (F.col(f"{c}_below") <= rank * F.col("n") + slack) & (F.col(f"{c}_upto") >= rank * F.col("n") - slack)
+    return met.select("orchard", "n", holds("lo", 0.01).alias("low_holds"), holds("hi", 0.99).alias("high_holds"))
+
+
 @query("WITH " + TILES_SQL + RANGE_SQL + " SELECT tile_id, round(avg(least(1, greatest(0, (v - lo) / nullif(hi - lo, 0)))), 5) AS mean, round(max(least(1, greatest(0, (v - lo) / nullif(hi - lo, 0)))), 5) AS top FROM cells JOIN ranges USING (orchard) GROUP BY tile_id")
 def minmax_scale(spark, sf_dir):
     cells = T.tiles_to_cells(demo.tiles(spark, sf_dir), "tile_id", "orchard")

@@ -10,6 +10,7 @@ from orthospark.operators import grids as G
 from orthospark.operators import masks as M
 from orthospark.operators import windows as W
 from orthospark.plans import demo
+from orthospark.plans import pipelines as P
 from orthospark.plans.demo import MASK_SQL
 from orthospark.plans.demo_queries import BOX_SQL, RASTER, query, rounded
 from orthospark.sources.scratch import written
@@ -258,3 +259,37 @@ def candidate_segments(spark, sf_dir):
     segments = wide.select("raster_id", (F.floor(F.col("y") / 16) * 4 + F.floor(F.col("x") / 16)).cast("int").alias("seg_id"), "y", "x")
     image = demo.raster(spark, sf_dir).withColumn("v", F.least("v", F.lit(255.0)))
     return M.candidate_segments(segments, image, 0.05, 0.1).select("raster_id", "y", "x", "v")
+
+
+#: The upper left quarter of each raster as a small image, squares of 8 by 8 of the grown mask as its candidate segments; what is left of them at twice
+#: the size, without regions that lack data or vary little, and the largest region outside.
+_CANDIDATES = _START + "wide AS MATERIALIZED (" + BOX_SQL.format(f="max", t="mask", lo=1, hi=1) + "), " + _NODATA + """,
+quarter AS MATERIALIZED (SELECT raster_id, y, x, least(v, 255) AS v FROM raster WHERE y < 32 AND x < 32),
+seg AS MATERIALIZED (SELECT raster_id, y // 8 * 4 + x // 8 AS seg_id, y, x FROM wide WHERE v = 1 AND y < 32 AND x < 32 AND (y % 8 < 6 OR x % 8 < 3)),
+keep AS (SELECT raster_id, seg_id FROM (SELECT s.raster_id, seg_id, count(*) / 1024 AS share, avg(q.v) AS mean FROM seg s JOIN quarter q USING (raster_id, y, x) GROUP BY ALL) WHERE share >= 0.04 AND (mean / 255 >= 0.115 OR share >= 0.3)),
+eroded AS (SELECT a.raster_id, a.y, a.x FROM (SELECT * FROM seg SEMI JOIN keep USING (raster_id, seg_id)) a, range(-1, 2) i(i), range(-1, 2) j(i), seg b WHERE b.raster_id = a.raster_id AND b.seg_id = a.seg_id AND b.y = a.y + i.i AND b.x = a.x + j.i GROUP BY ALL
+  HAVING count(*) = (least(a.y + 1, 31) - greatest(a.y - 1, 0) + 1) * (least(a.x + 1, 31) - greatest(a.x - 1, 0) + 1)),
+small AS MATERIALIZED (""" + _painted("SELECT * FROM eroded", "quarter") + """),
+m1 AS MATERIALIZED (SELECT raster_id, i.i::INT AS y, j.i::INT AS x, v FROM small, range(64) i(i), range(64) j(i) WHERE y = i.i // 2 AND x = j.i // 2),
+""" + regions_sql(4, "SELECT raster_id, y, x FROM m1 WHERE v = 1", "a_") + """,
+a_grown AS (SELECT DISTINCT r.raster_id, r.comp_id, r.y + a.i AS y, r.x + b.i AS x FROM a_regions r, range(-1, 2) a(i), range(-1, 2) b(i)),
+a_share AS (SELECT raster_id, comp_id, avg(nodata::INT) AS share FROM a_grown JOIN nodata USING (raster_id, y, x) GROUP BY ALL),
+a_keep AS (SELECT raster_id, comp_id FROM (SELECT raster_id, comp_id, count(*) AS area FROM a_regions GROUP BY ALL) JOIN a_share USING (raster_id, comp_id) WHERE area >= 20 AND share <= 0.345),
+m2 AS MATERIALIZED (""" + _painted("SELECT * FROM a_regions SEMI JOIN a_keep USING (raster_id, comp_id)", "m1") + "),\n" + regions_sql(4, "SELECT raster_id, y, x FROM m2 WHERE v = 1", "b_") + """,
+b_std AS (SELECT g.raster_id, comp_id, stddev_pop(r.v) AS std FROM b_regions g JOIN raster r USING (raster_id, y, x) GROUP BY ALL),
+b_gone AS (SELECT raster_id, comp_id FROM (SELECT *, (std - avg(std) OVER (PARTITION BY raster_id)) / nullif(stddev_pop(std) OVER (PARTITION BY raster_id), 0) AS z FROM b_std) WHERE z < -0.8),
+m3 AS MATERIALIZED (""" + _painted("SELECT * FROM b_regions ANTI JOIN b_gone USING (raster_id, comp_id)", "m2") + "),\n" + regions_sql(4, "SELECT raster_id, y, x FROM m3 WHERE v = 0", "c_") + """,
+c_top AS (SELECT raster_id, comp_id FROM (SELECT *, row_number() OVER (PARTITION BY raster_id ORDER BY n DESC, comp_id) AS k FROM (SELECT raster_id, comp_id, count(*) AS n FROM c_regions GROUP BY ALL)) WHERE k = 1)
+SELECT m3.raster_id, m3.y, m3.x, CASE WHEN t.comp_id IS NULL THEN -999 ELSE 0 END AS v, m3.v AS inside, m2.v AS held, m1.v AS grown FROM m3 JOIN m2 USING (raster_id, y, x) JOIN m1 USING (raster_id, y, x)
+LEFT JOIN (SELECT * FROM c_regions SEMI JOIN c_top USING (raster_id, comp_id)) t USING (raster_id, y, x)"""
+
+
+@query(_CANDIDATES.replace(", m3.v AS inside, m2.v AS held, m1.v AS grown FROM m3 JOIN m2 USING (raster_id, y, x) JOIN m1 USING (raster_id, y, x)", " FROM m3"))
+def segment_candidates(spark, sf_dir):
+    raster = demo.raster(spark, sf_dir)
+    quarter = "y < 32 AND x < 32"
+    wide = W.dilate(demo.mask(spark, sf_dir), 3, RASTER).where("v = 1").where(quarter).where("y % 8 < 6 OR x % 8 < 3")
+    segments = wide.select("raster_id", (F.floor(F.col("y") / 8) * 4 + F.floor(F.col("x") / 8)).cast("int").alias("seg_id"), "y", "x")
+    image = raster.where(quarter).withColumn("v", F.least("v", F.lit(255.0)))
+    mask = P.segment_candidates(image, segments, raster.withColumn("b", F.lit(0)), _nodata(spark, sf_dir), 64, 64, 0.04, 0.115, 0.345, 3, 20, 0.8)
+    return mask.select("raster_id", "y", "x", "v")

@@ -196,3 +196,18 @@ def test_bilinear_in_two_passes(spark):
 
             got = array(grids.resample_bilinear(grid(spark, a.tolist()), nh, nw, align))
             assert np.allclose(got, line(h, nh) @ a @ line(w, nw).T)
+
+
+def test_sketches_keep_their_rank_error(spark):
+    """Skewed values, many tiles: the ranks of what merged sketches give, against the exact ones."""
+    rng = np.random.default_rng(11)
+    values = {site: np.round(rng.lognormal(0, s, 60_000), 4) for site, s in (("a", 0.3), ("b", 2.0))}
+    rows = [(site, i % 30, 0, float(v)) for site, vs in values.items() for i, v in enumerate(vs)]
+    cells = spark.createDataFrame(rows, "orchard string, tile_id int, b int, v double").repartition(6)
+    sketches = [tiles.site_sketches(cells.where(F.col("tile_id") % 3 == k)) for k in range(3)]
+    merged = tiles.merged_sketches(sketches[0].unionByName(sketches[1]).unionByName(sketches[2]))
+    for r in tiles.sketched_range(merged).collect():
+        v = np.sort(values[r.orchard])
+        for found, rank in ((r.lo, 0.01), (r.hi, 0.99)):
+            assert np.searchsorted(v, found, "left") / len(v) - tiles.RANK_ERROR <= rank <= np.searchsorted(v, found, "right") / len(v) + tiles.RANK_ERROR
+    assert max(len(r.sketch) for r in merged.collect()) < 100_000
