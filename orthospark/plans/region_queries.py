@@ -4,6 +4,8 @@ Every query works on the whole mask. The SQL finds regions by handing the least
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from orthospark.operators import grids as G
@@ -151,14 +153,18 @@ def split_weak_bridges(spark, sf_dir):
     return parts.groupBy("raster_id", "comp_id").agg(F.count("*").alias("area"), F.min(F.col("y").cast("long") * 64 + F.col("x")).alias("first_cell")).drop("comp_id")
 
 
-@query(_SPLIT + ", " + _NODATA + f""", shape AS (SELECT DISTINCT raster_id, seg, comp_id, y + i.i AS y, x + j.i AS x FROM parts, range(-1, 2) i(i), range(-1, 2) j(i) WHERE abs(i.i) + abs(j.i) <= 1),
+#: Of the parts: their form grown by a cross and filled, and the parts of whose form little lacks data.
+_LOW = f"""shape AS (SELECT DISTINCT raster_id, seg, comp_id, y + i.i AS y, x + j.i AS x FROM parts, range(-1, 2) i(i), range(-1, 2) j(i) WHERE abs(i.i) + abs(j.i) <= 1),
 inside AS MATERIALIZED (SELECT * FROM shape WHERE {_INSIDE}),
 box AS (SELECT raster_id, seg, comp_id, greatest(min(y) - 1, 0) AS y0, least(max(y) + 1, 63) AS y1, greatest(min(x) - 1, 0) AS x0, least(max(x) + 1, 63) AS x1 FROM inside GROUP BY ALL),
 gaps AS (SELECT b.raster_id, b.seg, b.comp_id AS part, i.i AS y, j.i AS x FROM box b, range(64) i(i), range(64) j(i) WHERE i.i BETWEEN y0 AND y1 AND j.i BETWEEN x0 AND x1 AND (b.raster_id, b.seg, b.comp_id, i.i, j.i) NOT IN (SELECT (raster_id, seg, comp_id, y, x) FROM inside)),
 """ + regions_sql(4, "SELECT * FROM gaps", "gap_", "raster_id, seg, part") + """,
 open_ AS (SELECT DISTINCT g.raster_id, g.seg, g.part, g.comp_id FROM gap_regions g JOIN box b ON b.raster_id = g.raster_id AND b.seg = g.seg AND b.comp_id = g.part WHERE g.y IN (y0, y1) OR g.x IN (x0, x1)),
 full_ AS (SELECT raster_id, seg, comp_id AS part, y, x FROM inside UNION ALL SELECT raster_id, seg, part, y, x FROM gap_regions g ANTI JOIN open_ USING (raster_id, seg, part, comp_id)),
-keep AS (SELECT raster_id, seg, part AS comp_id FROM full_ JOIN nodata USING (raster_id, y, x) GROUP BY ALL HAVING count_if(nodata) <= 60 AND avg(nodata::INT) <= 0.3)""" + _painted("SELECT * FROM parts SEMI JOIN keep USING (raster_id, seg, comp_id)"))
+keep AS (SELECT raster_id, seg, part AS comp_id FROM full_ JOIN nodata USING (raster_id, y, x) GROUP BY ALL HAVING count_if(nodata) <= 60 AND avg(nodata::INT) <= 0.3)"""
+
+
+@query(_SPLIT + ", " + _NODATA + ", " + _LOW + _painted("SELECT * FROM parts SEMI JOIN keep USING (raster_id, seg, comp_id)"))
 def keep_low_nodata_segments(spark, sf_dir):
     wide = W.dilate(demo.mask(spark, sf_dir), 3, RASTER)
     return M.keep_low_nodata_segments(wide, _nodata(spark, sf_dir), 1, 60, 0.3, most_width=3, least_share=0.05, depth=1).select("raster_id", "y", "x", "v")
@@ -293,3 +299,48 @@ def segment_candidates(spark, sf_dir):
     image = raster.where(quarter).withColumn("v", F.least("v", F.lit(255.0)))
     mask = P.segment_candidates(image, segments, raster.withColumn("b", F.lit(0)), _nodata(spark, sf_dir), 64, 64, 0.04, 0.115, 0.345, 3, 20, 0.8)
     return mask.select("raster_id", "y", "x", "v")
+
+
+def _stage(name: str, source: str, sql: str) -> str:
+    """CTEs that read ``mask``, reading ``source`` instead, with ``name`` before each of their own names."""
+    own = set(re.findall(r"(\w+)(?:\([^()]*\))? (?:USING KEY \([^()]*\) )?AS (?:MATERIALIZED )?\(", sql))
+    renamed = re.sub(rf"\b({'|'.join(sorted(own))})\b", rf"{name}\1", sql)
+    return re.sub(r"\bmask\b", source, renamed)
+
+
+def _green_sql(name: str, source: str, kernel: int) -> str:
+    """CTEs from a mask of green places to <name>9_out, as the whole job makes it."""
+    r, out = kernel // 2, "out AS MATERIALIZED ("
+    box = lambda f, t, to: f"{to} AS MATERIALIZED (" + BOX_SQL.format(f=f, t=t, lo=r, hi=r) + ")"
+    small = _BACK + ", small AS (SELECT raster_id, comp_id FROM back_regions GROUP BY ALL HAVING count(*) <= 4), " + out + _painted(_ON + " SEMI JOIN small USING (raster_id, comp_id)") + ")"
+    cross = "wide AS MATERIALIZED (" + _CROSS.format(f="max", t="mask") + "), closed AS MATERIALIZED (" + _CROSS.format(f="min", t="wide") + "), "
+    fits = _PROPS + ", top AS (SELECT *, max(area) OVER (PARTITION BY raster_id) AS most FROM props), fit AS (SELECT raster_id, comp_id FROM top WHERE area = most OR area >= 40 AND area <= 3686 AND circularity >= 0.1), "
+    filtered = cross + regions_sql(8, "SELECT raster_id, y, x FROM closed WHERE v = 1") + ", " + fits + out + _painted("SELECT * FROM regions SEMI JOIN fit USING (raster_id, comp_id)") + ")"
+    cut = regions_sql(8, "SELECT raster_id, y, x FROM mask WHERE v = 1", "seg_") + ", " + _SPLIT[_SPLIT.index("segs AS") :] + ", " + _LOW + ", " + out + _painted("SELECT * FROM parts SEMI JOIN keep USING (raster_id, seg, comp_id)") + ")"
+    stages = [
+        ", ".join([box("max", "mask", "a"), box("min", "a", "b"), box("min", "b", "c"), box("max", "c", "out")]), small, _adaptive_sql("mask", 0.05, 3, (3, 5), 100).replace("closed_ AS", "out AS MATERIALIZED"), small, filtered, cut, filtered,
+        out + BOX_SQL.format(f="max", t="mask", lo=1, hi=1) + ")", _BACK + ", " + _OUTER + ", " + out + _painted(_ON + " ANTI JOIN outer_ USING (raster_id, comp_id)") + ")",
+    ]
+    done = []
+    for i, sql in enumerate(stages, 1):
+        done.append(_stage(f"{name}{i}_", source, sql))
+        source = f"{name}{i}_out"
+    return ",\n".join(done)
+
+
+#: Green bodies, black where much was sold, as an image; no raster is left without any, so none goes through again.
+_GREEN = _START + _BODIES + ", nodata AS (SELECT raster_id, y, x, v > 200 AS nodata FROM raster), green AS MATERIALIZED (SELECT raster_id, y, x, CASE WHEN b.v = 1 AND NOT nodata THEN 1 ELSE 0 END AS v FROM bodies b JOIN nodata USING (raster_id, y, x)),\n"
+_GREEN += _green_sql("g", "green", 3) + " SELECT raster_id, y, x, CASE WHEN v = 1 THEN -999 ELSE 0 END AS v FROM g9_out"
+
+
+@query(_GREEN)
+def segment_green(spark, sf_dir):
+    """Images whose bodies are green, black where there is no data, grey elsewhere."""
+    without = demo.raster(spark, sf_dir).select("raster_id", "y", "x", (F.col("v") > 200).alias("nodata"))
+    colour = lambda green: F.when(F.col("nodata"), 0).when(F.col("v") == 1, green).otherwise(10)
+    image = written(_bodies(spark, sf_dir).join(without, ["raster_id", "y", "x"]).select("raster_id", "y", "x", colour(10).alias("r"), colour(200).alias("g"), colour(10).alias("b")), "image")
+    p = P.GreenMask(
+        kernel=3, hole_share=0.001, close_threshold=0.05, close_sizes=(3, 5), least_share=0.01, least_circularity=0.1, border=1, most_nodata_cells=60, most_nodata_share=0.3,
+        bridge_width=3, bridge_share=0.05, bridge_depth=1, buffer=1, least_covered=0.0,
+    )
+    return P.segment_green(image, p).select("raster_id", "y", "x", "v")
