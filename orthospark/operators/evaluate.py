@@ -268,6 +268,7 @@ def class_rollup(judged: DataFrame, by: str = "clsname", k: int = 5) -> DataFram
 
 def classify_site(rollup: DataFrame) -> DataFrame:
     """Points for either case, the verdict (Anomalous beyond one point) and its reasons."""
+    # Limits, points and sentences of the usual verdict.
     c, point = F.col, lambda n, when: F.when(when, n).otherwise(0)
     one = point(2, c("bottom5") < 21) + point(2, c("pct_below") > 10) + point(1, c("anomalous_pct") > 50)
     two = point(2, c("pct_above") > 15) + F.when(c("top5") > 75, 2).when(c("top5") > 70, 1).otherwise(0) + point(1, c("mean") > 50) + point(1, c("anomalous_pct") > 50)
