@@ -269,29 +269,37 @@ def test_bins_are_full_and_whole():
     assert packing.plan({}) == []
 
 
-def chunks_of(text):
-    lines = text.split("\n")
+def chunks_of(lines):
+    """First line and end of every chunk of every series."""
     h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-    out, now = [], []
-    for i, line in enumerate(lines):
-        now.append(line)
-        if i == len(lines) - 1 or (h[i] + (h[i - 1] * 257 if i else 0)) % 2147483647 % line_dedup.DIVISOR == 0:
-            out.append(now)
-            now = []
-    return out
+    found = set()
+    for base in line_dedup.BASES:
+        ends, without = [], 0
+        for i in range(len(lines)):
+            end = (h[i] + (h[i - 1] * base if i else 0)) % 2147483647 % line_dedup.DIVISOR == 0 or without == line_dedup.MOST - 1
+            without = 0 if end else without + 1
+            ends.append(end)
+        start = 0
+        for i in range(len(lines)):
+            # Of adjoining ends every second; a single line before the first end or behind the last joins its neighbour.
+            if i == len(lines) - 1 or (ends[i] and i + 1 - start > 1 and i != len(lines) - 2):
+                found.add((start, i + 1))
+                start = i + 1
+    return sorted(found)
 
 
 def lines_left(texts):
     seen, out = set(), []
     for t in texts:
-        kept = []
-        for c in chunks_of(t or ""):
-            repeat = sum(bool(WORD.search(x)) for x in c) > 1 and tuple(c) in seen
-            if sum(bool(WORD.search(x)) for x in c) > 1:
-                seen.add(tuple(c))
-            if not repeat:
-                kept += c
-        out.append("\n".join(kept))
+        lines = (t or "").split("\n")
+        gone = set()
+        for a, b in chunks_of(lines):
+            chunk = tuple(lines[a:b])
+            if sum(bool(WORD.search(x)) for x in chunk) > 1:
+                if chunk in seen:
+                    gone.update(range(a, b))
+                seen.add(chunk)
+        out.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
     return out
 
 
