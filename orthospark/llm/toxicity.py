@@ -35,6 +35,8 @@ PREFIXES = (4, 5, 6)
 #: Pseudo-counts with which a level is drawn to the one above it.
 STRENGTH = 10.0
 DRIFT = 0.3
+#: Words within which a word counts once.
+REACH = 200
 #: A segment is significant from this -log expected count (0.1 by chance in a text of its length).
 SIGNIFICANT = 2.3
 
@@ -59,16 +61,18 @@ def _cells(words: _text.Words) -> np.ndarray:
 
 
 def _scores(words: _text.Words, m: Model) -> np.ndarray:
-    """A word counts once in a text, as it did in training: when it comes again it has no score of its own."""
+    """A word that came within the last ``REACH`` words has no positive score of its own, so a passage isn't toxic by one word said over and
+    over; farther on it counts anew, so a second passage of the same words is found as well."""
     cells = _cells(words)
     share = np.full(cells.shape[1], m.base)
     for level in cells:
         toxic, other = m.toxic[level], m.other[level]
         share = (toxic + STRENGTH * share) / (toxic + other + STRENGTH)
     scores = np.log(share / (1 - share)) - np.log(m.base / (1 - m.base))
-    first = np.unique(words.text * CELLS + cells[-1], return_index=True)[1]
-    again = np.ones(len(scores), bool)
-    again[first] = False
+    word = words.text * CELLS + cells[-1]
+    order = np.argsort(word, kind="stable")
+    again = np.zeros(len(scores), bool)
+    again[order[1:]] = (word[order[1:]] == word[order[:-1]]) & (np.diff(order) <= REACH)
     return np.where(again, np.minimum(scores, 0), scores) - DRIFT
 
 

@@ -413,6 +413,21 @@ def test_toxicity_and_quality_are_learned(spark, empty):
         assert one(empty, labels).count() == 0 and one(docs, labels.limit(0)).count() == len(texts) + 2
 
 
+def test_a_second_passage_of_the_same_words_is_found(spark):
+    texts, toxic, _ = labelled_texts()
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    bad = {w for t, y in zip(texts, toxic, strict=True) if y for w in t.split()}
+    passage = " ".join(sorted(bad - {w for t, y in zip(texts, toxic, strict=True) if not y for w in t.split()})[:12])
+    clean = " ".join(w for t, y in zip(texts, toxic, strict=True) if not y for w in t.split())
+    calm = " ".join((clean.split() * 9)[: 2 * toxicity.REACH])
+    model = toxicity.fit(docs, labels)
+    near, far = frame(spark, [f"{calm} {passage} {passage}"]), frame(spark, [f"{calm} {passage} {calm} {passage} {calm}"])
+    assert len(toxicity.segments(near, model).first().segments) == 1
+    found = toxicity.segments(far, model).first().segments
+    assert len(found) == 2 and found[0].score == pytest.approx(found[1].score)
+
+
 def test_pair_identity():
     rng = np.random.default_rng(0)
     m = quality_fm.Machine(0.3, rng.normal(size=9), rng.normal(size=(9, 4)), np.zeros(1), np.ones(1))
