@@ -65,11 +65,11 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     read = identified(docs)
     keys = written(_chunks(_chunked(read)).select("doc_id", "span", F.xxhash64("chunk").alias("key")), "keys")
     twice = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    # Written first, so that Spark knows its size: it is sent to the texts where it is small, and met by a shuffle where not.
-    some = written(keys.join(twice, "key").groupBy("doc_id").agg(F.collect_set("span").alias("spans")), "repeating")
-    may = written(_chunks(read.join(some, "doc_id").withColumn("lines", F.split("text", "\n", -1))).withColumn("key", F.xxhash64("chunk")), "chunks")
+    # What repeats grows with the texts: merged with them at every size.
+    some = written(keys.join(twice.hint("merge"), "key").groupBy("doc_id").agg(F.collect_set("span").alias("spans")), "repeating")
+    may = written(_chunks(read.join(some.hint("merge"), "doc_id").withColumn("lines", F.split("text", "\n", -1))).withColumn("key", F.xxhash64("chunk")), "chunks")
     first = may.groupBy("key", "chunk").agg(F.min(F.struct("doc_id", "span")).alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    same = may.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(first, ["key", "salt", "chunk"]).where(F.struct("doc_id", "span") > F.col("first"))
+    same = may.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(first.hint("merge"), ["key", "salt", "chunk"]).where(F.struct("doc_id", "span") > F.col("first"))
     return written(same.groupBy("doc_id").agg(F.collect_set("span").alias("spans")), "repeated")
 
 
@@ -81,7 +81,7 @@ def _left() -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed_chunks, n_removed_lines, kept_sha256 (of the text left)."""
-    joined = identified(docs).join(repeated_chunks(docs), "doc_id", "left").withColumn("lines", F.split("text", "\n", -1))
+    joined = identified(docs).join(repeated_chunks(docs).hint("merge"), "doc_id", "left").withColumn("lines", F.split("text", "\n", -1))
     parts = joined.withColumn("left", F.when(F.col("spans").isNull(), F.col("lines")).otherwise(_left()))
     return parts.select(
         "doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_removed_chunks"),
@@ -93,7 +93,7 @@ def remove(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines of repeated chunks; n_chars, where there is one, follows the text."""
     id_, at = apart(docs, "of"), apart(docs, "at")
     gone = repeated_chunks(docs).select(F.col("doc_id").alias(id_), F.col("spans").alias(at))
-    joined = docs.join(gone, F.col("doc_id") == F.col(id_), "left").select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(at).alias("spans"))
+    joined = docs.join(gone.hint("merge"), F.col("doc_id") == F.col(id_), "left").select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(at).alias("spans"))
     lines = joined.withColumn("lines", F.split(F.coalesce("row.text", F.lit("")), "\n", -1))
     left = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(F.array_join(_left(), "\n"))
     out = lines.select("row", F.col("spans").isNull().alias("whole"), left.alias("left"))
