@@ -58,18 +58,30 @@ def _chunks(read: DataFrame) -> DataFrame:
     return rows.where(with_word > 1).select("doc_id", "chunk.span", F.array_join("chunk.lines", "\n").alias("chunk"))
 
 
+def _key(chunk: Column) -> Column:
+    return F.xxhash64(chunk)
+
+
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """``(doc_id, spans)``: the chunks that repeat an earlier one, per document that has any.
 
     Keys are counted first; only chunks whose key occurs twice are sent with their text, and a common one's rows are dealt over ``SALTS`` parts."""
     read = identified(docs)
-    keys = written(_chunks(_chunked(read)).select("doc_id", "span", F.xxhash64("chunk").alias("key")), "keys")
+    keys = written(_chunks(_chunked(read)).select("doc_id", "span", _key(F.col("chunk")).alias("key")), "keys")
     twice = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     # What repeats grows with the texts: merged with them at every size.
     some = written(keys.join(twice.hint("merge"), "key").groupBy("doc_id").agg(F.collect_set("span").alias("spans")), "repeating")
-    may = written(_chunks(read.join(some.hint("merge"), "doc_id").withColumn("lines", F.split("text", "\n", -1))).withColumn("key", F.xxhash64("chunk")), "chunks")
-    first = may.groupBy("key", "chunk").agg(F.min(F.struct("doc_id", "span")).alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    same = may.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(first.hint("merge"), ["key", "salt", "chunk"]).where(F.struct("doc_id", "span") > F.col("first"))
+    may = written(_chunks(read.join(some.hint("merge"), "doc_id").withColumn("lines", F.split("text", "\n", -1))).withColumn("key", _key(F.col("chunk"))), "chunks")
+    # Here bytes are compared. Where they agree throughout a key, the key alone says which rows are equal, and no text is sent again.
+    groups = written(may.groupBy("key", "chunk").agg(F.min(F.struct("doc_id", "span")).alias("first")), "groups")
+    of_key = written(groups.groupBy("key").agg(F.count("*").alias("n"), F.min("first").alias("first")), "firsts")
+    first = of_key.where("n = 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = may.select("doc_id", "span", "key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    later = F.struct("doc_id", "span") > F.col("first")
+    same = salted.join(first.hint("merge"), ["key", "salt"]).where(later).select("doc_id", "span")
+    clashing = of_key.where("n > 1").select("key")
+    if not clashing.isEmpty():
+        same = same.unionByName(may.join(groups.join(clashing.hint("merge"), "key").hint("merge"), ["key", "chunk"]).where(later).select("doc_id", "span"))
     return written(same.groupBy("doc_id").agg(F.collect_set("span").alias("spans")), "repeated")
 
 

@@ -303,6 +303,13 @@ def lines_left(texts):
     return out
 
 
+def test_line_chunks_of_one_key(docs, monkeypatch):
+    """Keys only pick what may repeat: with keys that many different chunks share, the same lines go."""
+    want = rows_of(line_dedup.report(docs))
+    monkeypatch.setattr(line_dedup, "_key", lambda chunk: F.length(chunk).cast("long") % 7)
+    assert rows_of(line_dedup.report(docs)) == want
+
+
 def test_line_chunks(docs, empty):
     want = lines_left([*TEXTS, None])
     report = rows_of(line_dedup.report(docs))
