@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,13 +31,59 @@ END = 2
 BUCKETS, PART_ROWS = 256, 1 << 20
 SLICE_BYTES = 4 << 20
 #: Bytes that are given to the tokenizer at once.
-RUN_BYTES = 1 << 14
+RUN_BYTES = 1 << 12
+#: A worker keeps ids of chunks of at most so many bytes each; beyond so many together, those that were met again since the last time.
+KEPT_LENGTH, KEPT_BYTES = 64, 1 << 23
 
 _loaded: dict[str, tuple] = {}
 
 
+def _bytes_of(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all chunks, and where each begins, with the end."""
+    begin = np.frombuffer(chunks.buffers()[1], np.int64)[chunks.offset : chunks.offset + len(chunks) + 1]
+    return np.frombuffer(chunks.buffers()[2] or b"", np.uint8)[begin[0] : begin[-1]], begin - begin[0]
+
+
+class _Kept:
+    """Distinct chunks and their ids, kept from slice to slice. Chunks meet on a hash; whether they are equal is told by their bytes."""
+
+    def __init__(self) -> None:
+        self.chunks, self.ids = pa.array([], pa.large_binary()), pa.array([], pa.large_list(pa.uint32()))
+        self.hashes, self.rows, self.again = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.n_bytes = 0
+
+    def find(self, chunks: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """The row of each chunk, -1 where there is none."""
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        inside = at < len(self.hashes)
+        order, at = order[inside], at[inside]
+        met = self.hashes[at] == hashes[order]
+        order, row = order[met], self.rows[at[met]]
+        equal = pc.equal(chunks.take(pa.array(order)), self.chunks.take(pa.array(row))).to_numpy(zero_copy_only=False)
+        found = np.full(len(chunks), -1, np.int64)
+        found[order[equal]] = row[equal]
+        self.again[row[equal]] = True
+        return found
+
+    def add(self, chunks: pa.Array, hashes: np.ndarray, ids: pa.Array) -> None:
+        rows = np.concatenate([self.rows, np.arange(len(self.chunks), len(self.chunks) + len(chunks))])
+        both = np.concatenate([self.hashes, hashes])
+        order = np.argsort(both, kind="stable")
+        self.hashes, self.rows, self.again = both[order], rows[order], np.append(self.again, np.zeros(len(chunks), bool))
+        self.chunks, self.ids = pa.concat_arrays([self.chunks, chunks]), pa.concat_arrays([self.ids, ids])
+        self.n_bytes += int(_bytes_of(chunks)[1][-1])
+
+    def thin(self) -> None:
+        """Leaves out what wasn't met again since the last time."""
+        old, stay = self.again, np.flatnonzero(self.again)
+        self.hashes, self.rows = self.hashes[old[self.rows]], (np.cumsum(old) - 1)[self.rows[old[self.rows]]]
+        self.chunks, self.ids, self.again = self.chunks.take(pa.array(stay)), self.ids.take(pa.array(stay)), np.zeros(len(stay), bool)
+        self.n_bytes = int(_bytes_of(self.chunks)[1][-1])
+
+
 def _load(vocabulary: str):
-    """The tokenizer, and how many bytes each id stands for; once a worker."""
+    """The tokenizer, how many bytes each id stands for, and the chunks kept; once a worker."""
     if vocabulary not in _loaded:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are what runs side by side
         from tokenizers import Tokenizer
@@ -47,7 +94,7 @@ def _load(vocabulary: str):
             sizes[i] = len(token)  # a byte-level vocabulary spells each byte as one character
         for i, token in reader.get_added_tokens_decoder().items():
             sizes[i] = len(token.content.encode())
-        _loaded[vocabulary] = reader, sizes
+        _loaded[vocabulary] = reader, sizes, _Kept()
     return _loaded[vocabulary]
 
 
@@ -65,14 +112,10 @@ def _chunk_starts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def token_ids(buf: np.ndarray, offsets: np.ndarray, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of consecutive texts and where each text's begin. Every distinct chunk is encoded once."""
-    reader, sizes = _load(vocabulary)
-    start = _chunk_starts(buf, offsets)
-    end = np.append(start[1:], len(buf))
-    _, lead, inverse = np.unique(_text.span_hash(_text.prefix_sums(buf), start, end), return_index=True, return_inverse=True)
-    raw = buf.tobytes()
-    begin, stop = start[lead], end[lead]
+def _encode(chunks: pa.Array, reader, sizes: np.ndarray) -> pa.Array:
+    """Ids of each chunk, as lists."""
+    buf, bounds = _bytes_of(chunks)
+    begin, stop, raw = bounds[:-1], bounds[1:], buf.tobytes()
     # A chunk that starts with a space and doesn't end with one keeps its tokens when such chunks are joined.
     joins = ((buf[begin] == 0x20) | (buf[begin] == 0x0A)) & (buf[stop - 1] > 0x20) & (buf[stop - 1] < 0x7F)
     order = np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])
@@ -81,17 +124,36 @@ def token_ids(buf: np.ndarray, offsets: np.ndarray, vocabulary: str) -> tuple[np
     run = np.cumsum(length[:n_joined]) // RUN_BYTES
     cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), *range(n_joined, len(order) + 1)] if n_joined else list(range(len(order) + 1))
     texts = [b"".join([raw[a:b] for a, b in zip(begin[order[lo:hi]].tolist(), stop[order[lo:hi]].tolist(), strict=True)]).decode() for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
-    found = [np.array(e.ids, np.int64) for e in reader.encode_batch_fast(texts, add_special_tokens=False)]
-    tokens = np.concatenate(found) if found else np.zeros(0, np.int64)
+    found = [np.array(e.ids, np.uint32) for e in reader.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+    tokens = np.concatenate(found) if found else np.zeros(0, np.uint32)
     # Where the chunks' bytes end, their tokens do.
     last = np.searchsorted(np.cumsum(sizes[tokens]), np.cumsum(length), "left") + 1
-    first, count = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-    first[order] = np.concatenate([[0], last[:-1]]) if len(last) else last
-    count[order] = np.diff(np.concatenate([[0], last]))
+    lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], last]), pa.int64()), pa.array(tokens))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return lists.take(pa.array(place))
 
-    n = count[inverse]
-    flat = np.repeat(first[inverse] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    return tokens[flat], np.concatenate([[0], np.cumsum(n)])[np.searchsorted(start, offsets)]
+
+def token_ids(buf: np.ndarray, offsets: np.ndarray, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of consecutive texts and where each text's begin. A distinct chunk is encoded once, and not again while the worker keeps it."""
+    reader, sizes, kept = _load(vocabulary)
+    if kept.n_bytes >= KEPT_BYTES:
+        kept.thin()
+    start = _chunk_starts(buf, offsets)
+    spans = [None, pa.py_buffer(np.append(start, len(buf)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf))]
+    coded = pa.Array.from_buffers(pa.large_binary(), len(start), spans).dictionary_encode()
+    chunks, inverse = coded.dictionary, coded.indices.to_numpy()
+    data, bounds = _bytes_of(chunks)
+    hashes = _text.span_hash(_text.prefix_sums(data), bounds[:-1], bounds[1:])
+
+    row = kept.find(chunks, hashes)
+    new = np.flatnonzero(row < 0)
+    encoded = _encode(chunks.take(pa.array(new)), reader, sizes)
+    row[new] = np.arange(len(kept.ids), len(kept.ids) + len(new))
+    lists = pa.concat_arrays([kept.ids, encoded]).take(pa.array(row[inverse]))
+    short = np.flatnonzero(np.diff(bounds)[new] <= KEPT_LENGTH)
+    kept.add(chunks.take(pa.array(new[short])), hashes[new[short]], encoded.take(pa.array(short)))
+    return lists.values.to_numpy(), lists.offsets.to_numpy()[np.searchsorted(start, offsets)]
 
 
 def _pieces(vocabulary: str, capacity: int, keep_ids: bool):

@@ -249,6 +249,58 @@ def test_packing(spark, docs, empty):
     assert packing.pack(empty, _tokenizers.byte_bpe()).count() == 0
 
 
+def text_ids(texts):
+    """Ids of each text, from one slice."""
+    parts = [t.encode() for t in texts]
+    ids, first = packing.token_ids(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]), _tokenizers.byte_bpe())
+    return [ids[a:b].tolist() for a, b in itertools.pairwise(first.tolist())]
+
+
+def test_chunks_are_not_encoded_again_in_the_next_slice(monkeypatch):
+    vocabulary = _tokenizers.byte_bpe()
+    reader, *rest = packing._load(vocabulary)
+    given = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            given.extend(texts)
+            return reader.encode_batch_fast(texts, **how)
+
+    monkeypatch.setitem(packing._loaded, vocabulary, (Counted(), *rest))
+    first = text_ids(["two slices of", "", "the same words, twice"])
+    given.clear()
+    assert text_ids(["the same words, twice", "", "two slices of"]) == first[::-1] and not given
+
+
+def test_ids_of_words_of_one_hash():
+    one = "a"
+    while len(one) < 4096:  # a Thue-Morse word and its inverse have the same polynomial hash modulo 2**64
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    from tokenizers import Tokenizer
+
+    reader = Tokenizer.from_file(_tokenizers.byte_bpe())
+    want = [reader.encode(t, add_special_tokens=False).ids for t in (one, other)]
+    assert want[0] != want[1] and text_ids([one, other]) == want
+
+
+@pytest.mark.parametrize("length", [64, 1 << 13])
+def test_ids_stay_right_while_kept_chunks_are_thinned(monkeypatch, length):
+    from tokenizers import Tokenizer
+
+    vocabulary = _tokenizers.byte_bpe()
+    reader, kept = Tokenizer.from_file(vocabulary), packing._Kept()
+    monkeypatch.setattr(packing, "KEPT_LENGTH", length)
+    monkeypatch.setattr(packing, "KEPT_BYTES", 500)
+    monkeypatch.setitem(packing._loaded, vocabulary, (*packing._load(vocabulary)[:2], kept))
+    rng = random.Random(7)
+    for _ in range(60):
+        texts = [rng.choice(TEXTS) for _ in range(rng.randrange(1, 4))]
+        assert text_ids(texts) == [reader.encode(t, add_special_tokens=False).ids for t in texts]
+        assert max(map(len, kept.chunks.to_pylist()), default=0) <= length
+        assert kept.n_bytes == sum(map(len, kept.chunks.to_pylist())) <= 500 + 2 * sum(map(len, map(str.encode, texts)))
+
+
 def test_bins_are_full_and_whole():
     rng = random.Random(1)
     counts = Counter(rng.randrange(1, 101) for _ in range(400))
