@@ -29,9 +29,9 @@ from ._tables import identified, written
 CAPACITY = 1024
 END = 2
 BUCKETS, PART_ROWS = 256, 1 << 20
-SLICE_BYTES = 4 << 20
-#: Bytes that are given to the tokenizer at once.
-RUN_BYTES = 1 << 12
+SLICE_BYTES = 1 << 20
+#: Bytes of a text for the tokenizer, and texts that it is given at once: what it returns takes many times the ids.
+RUN_BYTES, RUNS = 1 << 12, 64
 #: A worker keeps ids of chunks of at most so many bytes each; beyond so many together, those that were met again since the last time.
 KEPT_LENGTH, KEPT_BYTES = 64, 1 << 23
 
@@ -123,8 +123,11 @@ def _encode(chunks: pa.Array, reader, sizes: np.ndarray) -> pa.Array:
     n_joined = int(joins.sum())
     run = np.cumsum(length[:n_joined]) // RUN_BYTES
     cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), *range(n_joined, len(order) + 1)] if n_joined else list(range(len(order) + 1))
-    texts = [b"".join([raw[a:b] for a, b in zip(begin[order[lo:hi]].tolist(), stop[order[lo:hi]].tolist(), strict=True)]).decode() for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
-    found = [np.array(e.ids, np.uint32) for e in reader.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+    found: list[np.ndarray] = []
+    for at in range(0, len(cuts) - 1, RUNS):
+        spans = zip(cuts[at : at + RUNS], cuts[at + 1 : at + RUNS + 1], strict=False)
+        texts = [b"".join([raw[a:b] for a, b in zip(begin[order[lo:hi]].tolist(), stop[order[lo:hi]].tolist(), strict=True)]).decode() for lo, hi in spans]
+        found += [np.array(e.ids, np.uint32) for e in reader.encode_batch_fast(texts, add_special_tokens=False)]
     tokens = np.concatenate(found) if found else np.zeros(0, np.uint32)
     # Where the chunks' bytes end, their tokens do.
     last = np.searchsorted(np.cumsum(sizes[tokens]), np.cumsum(length), "left") + 1

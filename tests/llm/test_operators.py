@@ -3,10 +3,14 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -301,6 +305,29 @@ def test_ids_stay_right_while_kept_chunks_are_thinned(monkeypatch, length):
         assert kept.n_bytes == sum(map(len, kept.chunks.to_pylist())) <= 500 + 2 * sum(map(len, map(str.encode, texts)))
 
 
+def test_a_worker_stays_small_where_all_words_are_new():
+    code = """
+import random
+import pyarrow as pa
+from orthospark.llm import _tokenizers, packing
+
+def mb(name):
+    return next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith(name)) / 1024
+
+rng = random.Random(3)
+texts = [" ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(400)) for _ in range(1680)]
+batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+packing._load(_tokenizers.byte_bpe())
+before = mb("VmRSS")
+rows = sum(out.num_rows for out in packing._pieces(_tokenizers.byte_bpe(), 1024, False)(iter([batch])))
+assert rows >= len(texts)
+print(mb("VmHWM") - before)
+"""
+    env = os.environ | {"PYTHONPATH": os.pathsep.join([str(Path(packing.__file__).parents[2]), os.environ.get("PYTHONPATH", "")])}
+    grown = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, check=True).stdout
+    assert float(grown) < 250  # over 6 MB of text; 421 when a slice was given to the tokenizer whole
+
+
 def test_bins_are_full_and_whole():
     rng = random.Random(1)
     counts = Counter(rng.randrange(1, 101) for _ in range(400))
