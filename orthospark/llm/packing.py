@@ -33,7 +33,7 @@ SLICE_BYTES = 1 << 20
 #: Bytes of a text for the tokenizer, and texts that it is given at once: what it returns takes many times the ids.
 RUN_BYTES, RUNS = 1 << 12, 64
 #: A worker keeps ids of chunks of at most so many bytes each; beyond so many together, those that were met again since the last time.
-KEPT_LENGTH, KEPT_BYTES = 64, 1 << 23
+KEPT_LENGTH, KEPT_BYTES = 64, 1 << 22
 
 _loaded: dict[str, tuple] = {}
 
@@ -150,10 +150,11 @@ def token_ids(buf: np.ndarray, offsets: np.ndarray, vocabulary: str) -> tuple[np
     hashes = _text.span_hash(_text.prefix_sums(data), bounds[:-1], bounds[1:])
 
     row = kept.find(chunks, hashes)
-    new = np.flatnonzero(row < 0)
+    known, new = np.flatnonzero(row >= 0), np.flatnonzero(row < 0)
     encoded = _encode(chunks.take(pa.array(new)), reader, sizes)
-    row[new] = np.arange(len(kept.ids), len(kept.ids) + len(new))
-    lists = pa.concat_arrays([kept.ids, encoded]).take(pa.array(row[inverse]))
+    place = np.empty(len(chunks), np.int64)
+    place[np.concatenate([known, new])] = np.arange(len(chunks))
+    lists = pa.concat_arrays([kept.ids.take(pa.array(row[known])), encoded]).take(pa.array(place[inverse]))
     short = np.flatnonzero(np.diff(bounds)[new] <= KEPT_LENGTH)
     kept.add(chunks.take(pa.array(new[short])), hashes[new[short]], encoded.take(pa.array(short)))
     return lists.values.to_numpy(), lists.offsets.to_numpy()[np.searchsorted(start, offsets)]
