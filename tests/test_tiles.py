@@ -211,3 +211,19 @@ def test_sketches_keep_their_rank_error(spark):
         for found, rank in ((r.lo, 0.01), (r.hi, 0.99)):
             assert np.searchsorted(v, found, "left") / len(v) - tiles.RANK_ERROR <= rank <= np.searchsorted(v, found, "right") / len(v) + tiles.RANK_ERROR
     assert max(len(r.sketch) for r in merged.collect()) < 100_000
+
+
+def test_drawn_turns_in_one_pass(spark):
+    """All flips and turns against numpy, two bands; the tile is gone through once, however many moves were drawn."""
+    a = np.arange(18).reshape(3, 3, 2)
+    rows = [(bool(h), bool(v), t, a.ravel().tolist()) for h in (0, 1) for v in (0, 1) for t in range(4)]
+    df = spark.createDataFrame(rows, "h boolean, v boolean, turn int, data array<int>").select("h", "v", "turn", C.turned_as_drawn(F.col("data"), 3, 2, F.struct("h", "v", "turn")).alias("out"))
+    got = df.collect()
+    for r in got:
+        flat = a[:, ::-1] if r.h else a
+        flat = flat[::-1] if r.v else flat
+        assert r.out == np.rot90(flat, r.turn).ravel().tolist()
+    assert len(got) == 16
+    assert df._jdf.queryExecution().analyzed().toString().count("lambdafunction(") == 2
+    null = spark.range(1).select(C.turned_as_drawn(F.array(*[F.lit(k) for k in range(4)]), 2, 1, C.drawn_turns(F.lit(None).cast("long"), "s")).alias("out")).first()
+    assert null.out == [0, 1, 2, 3]
