@@ -35,8 +35,8 @@ def clip_bounds(cells: DataFrame, rasters: DataFrame, left: float, bottom: float
 
 
 def colocate(cells: DataFrame, mask: DataFrame, ref: DataFrame) -> DataFrame:
-    """Data, mask and reference of the same cell."""
-    return cells.join(mask, ["raster_id", "y", "x"]).join(ref, ["raster_id", "y", "x"])
+    """Data, mask and reference of the same cell. Layers are merged at every size: their files are far smaller than their rows, so Spark takes them for small."""
+    return cells.join(mask.hint("merge"), ["raster_id", "y", "x"]).join(ref.hint("merge"), ["raster_id", "y", "x"])
 
 
 def assign_tiles(cells: DataFrame, height: int, width: int, block: int, overlap: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from orthospark.functions import columns as C
 from orthospark.operators import grids, metadata, tiles, windows
+from orthospark.sources.scratch import written
 
 
 def grid(spark, a, **more):
@@ -227,3 +228,10 @@ def test_drawn_turns_in_one_pass(spark):
     assert df._jdf.queryExecution().analyzed().toString().count("lambdafunction(") == 2
     null = spark.range(1).select(C.turned_as_drawn(F.array(*[F.lit(k) for k in range(4)]), 2, 1, C.drawn_turns(F.lit(None).cast("long"), "s")).alias("out")).first()
     assert null.out == [0, 1, 2, 3]
+
+
+def test_layers_are_not_broadcast(spark):
+    """A table's files are far smaller than its rows."""
+    layers = [written(grid(spark, np.zeros((4, 4)).tolist()).withColumnRenamed("v", name), name) for name in ("v", "mask", "ref")]
+    met = tiles.colocate(*layers)
+    assert met.count() == 16 and "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
