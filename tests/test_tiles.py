@@ -235,3 +235,15 @@ def test_layers_are_not_broadcast(spark):
     layers = [written(grid(spark, np.zeros((4, 4)).tolist()).withColumnRenamed("v", name), name) for name in ("v", "mask", "ref")]
     met = tiles.colocate(*layers)
     assert met.count() == 16 and "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_without_looking_up(spark):
+    """Up, down and at ratios that don't divide; no grid of targets is made, so none is broadcast."""
+    rng = np.random.default_rng(6)
+    for (h, w), (nh, nw) in (((4, 6), (9, 5)), ((3, 3), (1, 7)), ((1, 5), (4, 4)), ((8, 8), (3, 3)), ((64, 64), (100, 80))):
+        a = rng.random((h, w))
+        found = grids.resample_nearest(grid(spark, a.tolist()), nh, nw)
+        assert found.count() == nh * nw
+        assert (array(found) == a[np.arange(nh) * h // nh][:, np.arange(nw) * w // nw]).all()
+    joins = re.findall(r"BroadcastHashJoin \[(.*?)\]", found._jdf.queryExecution().executedPlan().toString())
+    assert all(re.sub(r"#\d+", "", keys) == "raster_id" for keys in joins)
