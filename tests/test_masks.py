@@ -1,15 +1,19 @@
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from orthospark.operators import graph as G
 from orthospark.operators import masks as M
 from orthospark.operators import regions as R
 from orthospark.operators import windows as W
 from orthospark.plans import demo
+from orthospark.plans import pipelines as P
 from orthospark.plans import region_queries  # noqa: F401  registers its queries
 from orthospark.plans.demo_queries import QUERIES
+from orthospark.sources.scratch import written
 
 from test_tiles import array, grid
 
@@ -258,3 +262,28 @@ def test_adaptive_close_stops_raster_by_raster(spark):
     got = M.adaptive_close(df, 0.2, least, sizes, change)
     for k, a in want.items():
         assert (array(got.where(F.col("raster_id") == k)) == a).all(), k
+
+
+#: Operators on a written mask, whose files are far smaller than its rows.
+_ON_WRITTEN = {
+    "region_props": lambda m, none: M.region_props(M.label_components(m, 8)),
+}
+
+
+@pytest.mark.parametrize("name", _ON_WRITTEN)
+def test_cells_regions_and_segments_are_not_broadcast(spark, monkeypatch, name):
+    """Only what has a row a raster may be sent to every executor, through the driver's memory."""
+    m = written(grid(spark, random_mask(9, 24, 24, 0.6).tolist(), kind="int"), "mask")
+    plans = []
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    for module in (M, R, G, P):
+        monkeypatch.setattr(module, "written", seen)
+    out = _ON_WRITTEN[name](m, m.select("raster_id", "y", "x", F.lit(False).alias("nodata")))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert out.count()
+    keys = {re.sub(r"#\d+", "", k) for plan in plans for k in re.findall(r"BroadcastHashJoin \[(.*?)\]", plan)}
+    assert keys <= {"raster_id"} and not any("BroadcastNestedLoopJoin" in plan for plan in plans)
