@@ -268,6 +268,7 @@ def test_adaptive_close_stops_raster_by_raster(spark):
 _ON_WRITTEN = {
     "region_props": lambda m, none: M.region_props(M.label_components(m, 8)),
     "split_weak_bridges": lambda m, none: M.split_weak_bridges(m, 3, 0.05, 1),
+    "split_bridges_deep": lambda m, none: M.split_weak_bridges(m, 7, 0.02, 2),
 }
 
 
