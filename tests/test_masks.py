@@ -267,6 +267,7 @@ def test_adaptive_close_stops_raster_by_raster(spark):
 #: Operators on a written mask, whose files are far smaller than its rows.
 _ON_WRITTEN = {
     "region_props": lambda m, none: M.region_props(M.label_components(m, 8)),
+    "filter_regions": lambda m, none: M.filter_regions(m, 0.01, 0.1),
     "split_weak_bridges": lambda m, none: M.split_weak_bridges(m, 3, 0.05, 1),
     "split_bridges_deep": lambda m, none: M.split_weak_bridges(m, 7, 0.02, 2),
 }
