@@ -271,6 +271,7 @@ _ON_WRITTEN = {
     "split_weak_bridges": lambda m, none: M.split_weak_bridges(m, 3, 0.05, 1),
     "split_bridges_deep": lambda m, none: M.split_weak_bridges(m, 7, 0.02, 2),
     "keep_low_nodata_segments": lambda m, none: M.keep_low_nodata_segments(m, none, 1, most_width=3, least_share=0.05, depth=1),
+    "adaptive_close": lambda m, none: M.adaptive_close(m, 0.3, 1, (3, 5), 1),
 }
 
 
