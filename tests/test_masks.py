@@ -272,6 +272,9 @@ _ON_WRITTEN = {
     "split_bridges_deep": lambda m, none: M.split_weak_bridges(m, 7, 0.02, 2),
     "keep_low_nodata_segments": lambda m, none: M.keep_low_nodata_segments(m, none, 1, most_width=3, least_share=0.05, depth=1),
     "adaptive_close": lambda m, none: M.adaptive_close(m, 0.3, 1, (3, 5), 1),
+    "segment_candidates": lambda m, none: P.segment_candidates(
+        m.withColumn("v", F.lit(255.0)), m.where("v = 1").select("raster_id", F.lit(1).alias("seg_id"), "y", "x"), m.withColumn("b", F.lit(0)), none, 24, 24, 0.01, 0.1, 0.9, 3, 2, 0.9
+    ),
 }
 
 
