@@ -275,6 +275,9 @@ _ON_WRITTEN = {
     "segment_candidates": lambda m, none: P.segment_candidates(
         m.withColumn("v", F.lit(255.0)), m.where("v = 1").select("raster_id", F.lit(1).alias("seg_id"), "y", "x"), m.withColumn("b", F.lit(0)), none, 24, 24, 0.01, 0.1, 0.9, 3, 2, 0.9
     ),
+    "segment_green": lambda m, none: P.segment_green(m.select("raster_id", "y", "x", F.lit(10).alias("r"), (10 + 190 * F.col("v")).alias("g"), F.lit(10).alias("b")), P.GreenMask(
+        close_sizes=(3, 5), border=1, bridge_width=3, bridge_depth=1, buffer=1, least_covered=0.0
+    )),
 }
 
 
